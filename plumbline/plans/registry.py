@@ -4,7 +4,7 @@ from importlib import import_module
 
 from plumbline.session import configure
 
-GROUPS = ["retrieval", "grounding"]
+GROUPS = ["retrieval", "grounding", "parsing", "checks"]
 
 
 def _modules():
