@@ -171,3 +171,10 @@ ORACLE = {
         SELECT episode_id, turn_idx, string_agg(CASE verdict WHEN 'contradicted' THEN 'CONTRADICTS THE PAPER' ELSE 'NOT IN THE PAPER' END || ': ' || claim_id, chr(10) ORDER BY claim_id) AS note,
                count(*) AS claims FROM f SEMI JOIN turns USING (episode_id, turn_idx) GROUP BY 1, 2""",
 }
+
+_ALL = ["c1_schema", "c2_alternation", "c3_turn_count", "c4_word_count", "c5_show_name", "c6_honorifics", "c7_expertise",
+        "c8_impersonation", "c9_direct_address", "c11_proper_nouns", "c12_numbers"]
+_UNION = " UNION ALL ".join(f"SELECT episode_id, check_id, passed, severity, offences FROM ({ORACLE[n]})" for n in _ALL)
+ORACLE["x3_run_checks"] = _UNION
+ORACLE["c13_compliance"] = f"""SELECT episode_id, count(*) FILTER (NOT passed AND severity = 'error') AS errors,
+    count(*) FILTER (NOT passed AND severity = 'warning') AS warnings, round(avg(CAST(passed AS INTEGER)), 6) AS compliance FROM ({_UNION}) GROUP BY 1"""

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from plumbline.session import configure
 
-GROUPS = ["retrieval", "grounding", "parsing", "checks"]
+GROUPS = ["retrieval", "grounding", "parsing", "checks", "scoring"]
 
 
 def _modules():
