@@ -40,7 +40,7 @@ def _pitch(spark, d):
     """Event values as frame pitch; one event type is one speaker."""
     e = tb.table(spark, d, "events").select(
         F.floor(F.dayofmonth("ts") / 10).cast("bigint").alias("episode_id"), F.col("event_type").alias("speaker"),
-        (F.col("user_id") % 10).alias("turn_idx"), "event_id", F.when(F.col("value") > 1, F.col("value") + 60).alias("hz"))
+        (F.col("user_id") % 10).alias("turn_idx"), "event_id", F.when(F.col("value") > 1, F.col("value") + 60 + 8 * (F.col("user_id") % 10)).alias("hz"))
     keys = ["episode_id", "speaker", "turn_idx"]
     n = sg.running_sum(e, keys, ["event_id"], sg.segment_of(F.col("event_id")), F.lit(1), "frame")
     return n.select(*keys, F.col("frame").cast("bigint").alias("frame"), "hz")
@@ -187,7 +187,7 @@ timings AS (SELECT episode_id, turn_idx, speaker, round(s, 6) AS start_ms, round
   SELECT *, coalesce(sum(ms + 350) OVER (PARTITION BY episode_id ORDER BY turn_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM per)),
 audio AS (SELECT episode_id, sum(end_ms - start_ms) AS file_ms, max(end_ms) AS total_ms FROM timings GROUP BY 1)"""
 _FRAMES = "frames AS (SELECT user_id AS episode_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame, CAST(floor(value * 100) AS BIGINT) AS sample FROM events)"
-_PITCH = """pitch0 AS (SELECT day(ts) // 10 AS episode_id, event_type AS speaker, user_id % 10 AS turn_idx, CASE WHEN value > 1 THEN value + 60 END AS hz,
+_PITCH = """pitch0 AS (SELECT day(ts) // 10 AS episode_id, event_type AS speaker, user_id % 10 AS turn_idx, CASE WHEN value > 1 THEN value + 60 + 8 * (user_id % 10) END AS hz,
   row_number() OVER w - 1 AS frame, count(*) OVER (PARTITION BY day(ts) // 10, event_type, user_id % 10) AS n FROM events WINDOW w AS (PARTITION BY day(ts) // 10, event_type, user_id % 10 ORDER BY event_id)),
 thin AS (SELECT * FROM pitch0 WHERE floor(ceil(frame / greatest(1.0::DOUBLE, n / 200)) * greatest(1.0::DOUBLE, n / 200)) = frame),
 floors AS (SELECT episode_id, speaker, turn_idx, count(hz) AS voiced, CASE WHEN count(hz) >= 20 THEN (list(hz ORDER BY hz) FILTER (hz IS NOT NULL))[CAST(floor(count(hz) * 0.1) AS BIGINT) + 1] END AS floor_hz FROM thin GROUP BY 1, 2, 3)"""
