@@ -214,6 +214,48 @@ def resolve(hits: DataFrame, segments: DataFrame, pages: DataFrame, bucket: int
     )
 
 
+def raw_offsets(hits: DataFrame, papers: DataFrame) -> DataFrame:
+    """Turn offsets in the normalised text into offsets in the text itself.
+
+    Only what was hit is walked: one text at a time, in Arrow batches.
+    """
+    names = hits.columns
+    rows = hits.withColumnRenamed("start", "_n0").withColumnRenamed("end", "_n1").join(papers.select("paper_id", "text"), "paper_id")
+    kept = [c for c in names if c not in ("start", "end")]
+    types = dict(hits.dtypes)
+
+    def run(batches):
+        import bisect
+        import re
+
+        import numpy as np
+
+        gap = re.compile(r"-[\r\n]+|\s+")
+        for b in batches:
+            starts, ends = [], []
+            for text, n0, n1 in zip(b["text"], b["_n0"], b["_n1"]):
+                norm, raw, seen, at, pending = [], [], 0, 0, False
+                for m in list(gap.finditer(text)) + [None]:
+                    stop = m.start() if m else len(text)
+                    if stop > at:
+                        if pending and seen:
+                            seen += 1
+                        pending = False
+                        norm.append(seen)
+                        raw.append(at)
+                        seen += stop - at
+                    if m:
+                        pending = pending or not m.group().startswith("-")
+                        at = m.end()
+                place = lambda n: (lambda i: raw[i] + n - norm[i])(bisect.bisect_right(norm, n) - 1)
+                starts.append(place(n0))
+                ends.append(place(n1 - 1) + 1)
+            yield b[kept].assign(start=np.array(starts, dtype="int64"), end=np.array(ends, dtype="int64"))
+
+    schema = ", ".join(f"`{c}` {types[c]}" for c in kept) + ", `start` bigint, `end` bigint"
+    return rows.mapInPandas(run, schema)
+
+
 def page_at(points: DataFrame, pages: DataFrame, bucket: int = 4096) -> DataFrame:
     """The page each (paper_id, offset) falls on; NULL when on none."""
     spread = F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("end") - 1) / bucket)))

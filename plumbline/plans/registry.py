@@ -4,7 +4,7 @@ from importlib import import_module
 
 from plumbline.session import configure
 
-GROUPS = ["retrieval", "grounding", "parsing", "checks", "scoring", "timeline", "ledger", "graph"]
+GROUPS = ["retrieval", "grounding", "parsing", "checks", "scoring", "timeline", "ledger", "graph", "jobs", "trace", "library"]
 
 
 def _modules():

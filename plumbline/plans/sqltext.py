@@ -79,7 +79,7 @@ spans AS (
 
 JOB_EVENTS = """
 job_events AS (
-  SELECT user_id AS job_id, event_id, ts AS at,
+  SELECT user_id AS job_id, event_id, ts AS ev_at,
          CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'parsing' WHEN 'click' THEN 'scripting'
               WHEN 'purchase' THEN 'done' ELSE 'error' END AS stage,
          CAST(json_extract_string(props, '$.k') AS INTEGER) AS percent, value

@@ -95,7 +95,7 @@ def spans(spark, sf_dir) -> DataFrame:
         eid.alias("span_id"),
         F.when(eid > 0, F.floor(eid / 4).cast("bigint")).alias("parent_id"),
         F.col("event_type").alias("name"),
-        F.col("ts").alias("start"),
+        F.col("ts").cast("timestamp").alias("start"),
         F.col("value").alias("duration_ms"),
         k.alias("input_tokens"),
         F.floor("value").cast("bigint").alias("output_tokens"),
@@ -111,6 +111,6 @@ def job_events(spark, sf_dir) -> DataFrame:
         .otherwise("error")
     )
     return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("job_id"), F.col("event_id"), F.col("ts").alias("at"), stage.alias("stage"),
+        F.col("user_id").alias("job_id"), F.col("event_id"), F.col("ts").cast("timestamp").alias("at"), stage.alias("stage"),
         F.get_json_object("props", "$.k").cast("int").alias("percent"), "value",
     )
