@@ -157,10 +157,11 @@ def lexicon(papers: DataFrame) -> DataFrame:
 
 
 def _unknown(rows: DataFrame, papers: DataFrame, forms: list[str]) -> DataFrame:
-    words = lexicon(papers)
-    for form in forms:
-        rows = rows.join(words.withColumnRenamed("word", form), ["paper_id", form], "left_anti")
-    return rows
+    """Rows none of whose forms is a word of their paper; only papers named are read."""
+    named = papers.join(rows.select("paper_id").distinct(), "paper_id", "left_semi")
+    told = rows.select("paper_id", F.explode(F.array(*forms)).alias("word"), F.col(forms[0])).distinct()
+    known = told.join(lexicon(named), ["paper_id", "word"], "left_semi").select("paper_id", forms[0]).distinct()
+    return rows.join(known, ["paper_id", forms[0]], "left_anti")
 
 
 def check_direct_address(turns, episodes, papers) -> DataFrame:
@@ -210,7 +211,8 @@ def unknown_numbers(turns, episodes, papers) -> DataFrame:
     ).withColumn("raw", bare(F.col("raw"))).withColumn("value", F.col("raw").cast("double")).filter(F.col("value") > 3)
     once = said.groupBy("episode_id", "raw", "value").agg(F.min(F.struct("turn_idx", "pos")).alias("at")).join(
         episodes.select("episode_id", "paper_id"), "episode_id")
-    stated = papers.select("paper_id", F.explode(F.array_distinct(_matches(F.col("text"), NUMBER))).alias("n")).select(
+    named = papers.join(once.select("paper_id").distinct(), "paper_id", "left_semi")
+    stated = named.select("paper_id", F.explode(F.array_distinct(_matches(F.col("text"), NUMBER))).alias("n")).select(
         "paper_id", bare(F.col("n")).cast("double").alias("p")).distinct().withColumn("whole", F.floor("p"))
     factor = F.pow(F.lit(10.0), F.length(F.regexp_extract("raw", r"\.(\d+)$", 1)))
     near = once.withColumn("whole", F.explode(F.array(*[F.floor("value") + d for d in (-1, 0, 1)])))

@@ -136,16 +136,22 @@ def canonical_names(concepts: DataFrame) -> DataFrame:
     return groups.join(best, "component").select(F.col("node").alias("key"), "name")
 
 
+def with_keys(concepts: DataFrame) -> DataFrame:
+    """Add the keys of term and label. A table of names can be keyed before it is joined to episodes."""
+    return concepts.withColumn("key", tx.concept_key(F.col("term"))).withColumn(
+        "label_key", F.when(F.col("label") == F.col("term"), F.col("key")).otherwise(tx.concept_key(F.col("label"))))
+
+
 def episode_concepts(concepts: DataFrame, names: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """One row per episode and canonical term: the strongest mention.
 
     ``concepts``: episode_id, term, label, weight. ``limit`` keeps an episode's
     strongest, as concept extraction does.
     """
-    keyed = concepts.withColumn("key", tx.concept_key(F.col("term"))).filter(F.col("key") != "")
+    keyed = (concepts if "key" in concepts.columns else with_keys(concepts)).filter(F.col("key") != "")
     if names is not None:
         keyed = keyed.join(names, "key", "left").withColumn("key", F.coalesce("name", "key")).drop("name")
-    spelt = F.when(tx.concept_key(F.col("label")) == F.col("key"), F.col("label"))
+    spelt = F.when(F.col("label_key") == F.col("key"), F.col("label"))
     merged = keyed.groupBy("episode_id", F.col("key")).agg(F.max("weight").alias("weight"), F.min(spelt).alias("label")).withColumnRenamed("key", "term")
     if limit is None:
         return merged

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import lexicons as lx
 from plumbline.functions import text as tx
+from plumbline.session import cut_lineage
 
 MIN_WORDS = 4
 MIN_CONTENT_WORDS = 4
@@ -52,9 +53,9 @@ def candidates(quotes: DataFrame, papers: DataFrame) -> DataFrame:
         F.array_distinct(tx.word_runs(F.col("bare"), n)),
         lambda s: F.struct(F.xxhash64(s).alias("h"), F.lit(n).alias("n")),
     )
-    runs = bare.select(
-        "paper_id", F.inline(F.flatten(F.array(*[hashed(n) for n in range(2, ANCHOR_WORDS + 1)])))
-    )
+    # At most five lengths exist; most quotes share the longest.
+    lengths = [r["n"] for r in anchors.select("n").distinct().collect()] or [ANCHOR_WORDS]
+    runs = bare.select("paper_id", F.inline(F.flatten(F.array(*[hashed(n) for n in sorted(lengths)]))))
     return anchors.join(runs, ["h", "n"]).select("quote_id", "paper_id").distinct()
 
 
@@ -91,6 +92,17 @@ def locate_squeezed(quotes: DataFrame, papers: DataFrame) -> DataFrame:
     )
 
 
+def split_whole(quotes: DataFrame, papers: DataFrame) -> DataFrame:
+    """Quotes that name their paper, each with ``whole``: found word for word or but for spaces."""
+    bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
+    needle = quotes.withColumn("needle", tx.normal_text(F.col("text"))).withColumn(
+        "_long", F.size(tx.quote_words(F.col("text"))) >= MIN_WORDS)
+    pairs = needle.join(norm_text(papers), "paper_id")
+    exact = F.contains(F.col("norm"), F.col("needle"))
+    loose = (F.length(bare("needle")) >= SQUEEZED_MIN) & F.contains(bare("norm"), bare("needle"))
+    return pairs.withColumn("whole", F.col("_long") & (F.col("needle") != "") & (exact | loose)).drop("norm", "needle", "_long")
+
+
 def locate_approx(quotes: DataFrame, papers: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The window of each paper that shares most content words with a quote.
 
@@ -106,9 +118,12 @@ def locate_approx(quotes: DataFrame, papers: DataFrame, min_score: float = MIN_S
         F.floor(F.size(tx.quote_words(F.col("text"))) * 1.6 + 0.5).cast("int").alias("size"),
         F.ceil(F.size("want") * F.lit(min_score) - 1e-9).cast("int").alias("need"), "want",
     )
-    tokens = token_positions(papers)
+    # Only the quotes' own words of each paper are kept; its length is counted first.
+    asked = shaped.select(F.explode("want").alias("word")).distinct()
+    listed = papers.select("paper_id", tx.quote_words(tx.normal_text(F.col("text"))).alias("w"))
+    tokens = listed.select("paper_id", F.size("w").alias("n_tokens"), F.posexplode("w").alias("pos", "word")).join(
+        asked, "word", "left_semi")
     have = tokens.select("paper_id", "word").distinct()
-    length = tokens.groupBy("paper_id").agg(F.count("*").alias("n_tokens"))
     if "paper_id" in quotes.columns:
         word = shaped.select("quote_id", "paper_id", "need", F.explode("want").alias("word"))
         enough = word.join(have, ["paper_id", "word"])
@@ -126,10 +141,9 @@ def locate_approx(quotes: DataFrame, papers: DataFrame, min_score: float = MIN_S
     ).select("quote_id", "paper_id")
     by = ["quote_id", "paper_id"] if "paper_id" in quotes.columns else ["quote_id"]
     posts = (
-        pairs.join(shaped.drop("want"), by).join(length, "paper_id")
-        .withColumn("size", F.least("size", "n_tokens"))
-        .join(shaped.select(*by, F.explode("want").alias("word")), by)
+        pairs.join(shaped.select(*by, "n_want", "size", "need", F.explode("want").alias("word")), by)
         .join(tokens, ["paper_id", "word"])
+        .withColumn("size", F.least("size", "n_tokens"))
     )
     # Windows differ in width by quote, so a match's window is found among the
     # quote's own matches: at most one document's tokens.
@@ -188,27 +202,24 @@ def resolve(hits: DataFrame, segments: DataFrame, pages: DataFrame, bucket: int
     """
     spread = lambda lo, hi: F.explode(F.sequence(F.floor(lo / bucket), F.floor((hi - 1) / bucket)))
     cut = segments.filter(F.col("to") > F.col("from")).withColumn("_b", spread(F.col("from"), F.col("to")))
-    paged = pages.filter(F.col("end") > F.col("start")).withColumn("_b", spread(F.col("start"), F.col("end")))
-    first = cut.select("paper_id", "_b", F.col("from").alias("f1"), F.col("to").alias("t1"), F.col("at").alias("a1"), "heading")
-    last = cut.select("paper_id", "_b", F.col("from").alias("f2"), F.col("to").alias("t2"), F.col("at").alias("a2"))
     start, stop = F.col("start"), F.col("end") - 1
+    first = cut.select("paper_id", "_b", F.col("from").alias("f1"), F.col("to").alias("t1"), F.col("at").alias("a1"), "heading")
     found = (
         hits.withColumn("_b", F.floor(start / bucket)).join(first, ["paper_id", "_b"])
-        .filter((start >= F.col("f1")) & (start < F.col("t1"))).drop("_b")
-        .withColumn("_b", F.floor(stop / bucket))
+        .filter((start >= F.col("f1")) & (start < F.col("t1"))).withColumn("_b", F.floor(stop / bucket))
     )
-    ended = found.join(
-        last, (found["paper_id"] == last["paper_id"]) & (found["_b"] == last["_b"]) & (stop >= last["f2"]) & (stop < last["t2"]), "left"
-    ).drop(last["paper_id"]).drop(last["_b"]).drop("_b")
+    last = cut.select(F.col("paper_id").alias("_p2"), F.col("_b").alias("_b2"), F.col("from").alias("f2"), F.col("to").alias("t2"), F.col("at").alias("a2"))
+    on = (F.col("paper_id") == F.col("_p2")) & (F.col("_b") == F.col("_b2")) & (stop >= F.col("f2")) & (stop < F.col("t2"))
+    ended = found.join(last, on, "left").drop("_p2", "_b2", "_b")
     placed = ended.withColumn("source_start", F.col("a1") + start - F.col("f1")).withColumn(
         "source_end",
         F.when(F.col("f2").isNotNull(), F.col("a2") + stop - F.col("f2") + 1)
         .otherwise(F.col("a1") + F.col("t1") - F.col("f1")),
     )
-    on = lambda df, at, name: page_at(df.withColumn("offset", at), pages, bucket).withColumnRenamed("page", name).drop("offset")
-    one = on(placed, F.col("source_start"), "page").filter(F.col("page").isNotNull())
-    two = on(one, F.greatest("source_start", F.col("source_end") - 1), "_last")
-    return two.withColumn("page_end", F.when(F.col("_last") != F.col("page"), F.col("_last"))).select(
+    paged = lambda df, at, name: page_at(df.withColumn("offset", at), pages, bucket).withColumnRenamed("page", name).drop("offset")
+    one = paged(placed, F.col("source_start"), "_first").filter(F.col("_first").isNotNull())
+    two = paged(one, F.greatest("source_start", F.col("source_end") - 1), "_last")
+    return two.withColumn("page", F.col("_first")).withColumn("page_end", F.when(F.col("_last") != F.col("_first"), F.col("_last"))).select(
         *[c for c in hits.columns if c not in ("start", "end")], "heading", "page", "page_end",
         F.col("source_start").alias("start"), F.col("source_end").alias("end"),
     )
@@ -286,12 +297,11 @@ def ground_turns(turns: DataFrame, episodes: DataFrame, papers: DataFrame) -> Da
         .withColumn("quote_id", F.concat_ws(":", "episode_id", "turn_idx", "cand"))
     )
     quotes = cand.select("quote_id", "paper_id", "text")
-    exact = locate_exact(quotes, papers).select("quote_id", "score", F.lit("exact").alias("match"))
-    rest = quotes.join(exact.select("quote_id"), "quote_id", "left_anti")
-    loose = locate_squeezed(rest, papers).select("quote_id", F.lit(1.0).alias("score"), F.lit("exact").alias("match"))
-    rest = rest.join(loose.select("quote_id"), "quote_id", "left_anti")
-    near = locate_approx(rest, papers, MIN_TURN_SCORE).select("quote_id", "score", F.lit("approximate").alias("match"))
-    hits = exact.unionByName(loose).unionByName(near)
+    placed = cut_lineage(split_whole(quotes, papers))
+    exact = placed.filter("whole").select("quote_id", F.lit(1.0).alias("score"), F.lit("exact").alias("match"))
+    near = locate_approx(placed.filter(~F.col("whole")), papers, MIN_TURN_SCORE).select(
+        "quote_id", "score", F.lit("approximate").alias("match"))
+    hits = exact.unionByName(near)
     best = F.min(F.struct((-F.col("score")).alias("s"), "cand", "match"))
     return (
         cand.drop("text").join(hits, "quote_id").groupBy("episode_id", "turn_idx", "paper_id").agg(best.alias("b"))
@@ -375,11 +385,9 @@ def ground_concepts(concepts: DataFrame, papers: DataFrame) -> DataFrame:
 
 def evidence_found(quotes: DataFrame, papers: DataFrame) -> DataFrame:
     """quote_id of every quote its paper has, word for word or nearly."""
-    exact = locate_exact(quotes, papers).select("quote_id")
-    rest = quotes.join(exact, "quote_id", "left_anti")
-    loose = locate_squeezed(rest, papers).select("quote_id")
-    rest = rest.join(loose, "quote_id", "left_anti")
-    return exact.unionByName(loose).unionByName(locate_approx(rest, papers).select("quote_id")).distinct()
+    placed = cut_lineage(split_whole(quotes, papers))
+    near = locate_approx(placed.filter(~F.col("whole")), papers).select("quote_id")
+    return placed.filter("whole").select("quote_id").unionByName(near).distinct()
 
 
 def ground_relations(relations: DataFrame, concepts: DataFrame, papers: DataFrame) -> DataFrame:

@@ -61,8 +61,9 @@ def bm25(sections: DataFrame, questions: DataFrame) -> DataFrame:
         "question_id", "paper_id", F.explode(F.array_distinct(tx.terms(F.col("text")))).alias("word")
     )
     wanted = asked.select("paper_id", "word").distinct()
-    # Lengths are taken before the words are exploded, so once per section.
-    bag = sections.select(
+    # Only papers that were asked about are read into words, and lengths are taken
+    # before the words are exploded, so once per section.
+    bag = sections.join(wanted.select("paper_id").distinct(), "paper_id", "left_semi").select(
         "paper_id", "section_idx", tx.terms(F.col("content")).alias("body"), tx.terms(F.col("heading")).alias("head")
     )
     sized = bag.withColumn("len", F.size("body"))

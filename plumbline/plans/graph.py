@@ -61,10 +61,10 @@ def canonical(spark, d):
 
 def _library(spark, d):
     """Orders as episodes, the parts on them as concepts, customers as papers."""
-    part = tb.table(spark, d, "part").select("p_partkey", "p_name")
+    part = gp.with_keys(tb.table(spark, d, "part").select("p_partkey", F.col("p_name").alias("term"), F.col("p_name").alias("label")))
     lines = tb.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_discount", "l_returnflag")
     concepts = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("l_orderkey").alias("episode_id"), F.col("p_name").alias("term"), F.col("p_name").alias("label"), F.col("l_discount").alias("weight"),
+        F.col("l_orderkey").alias("episode_id"), "term", "label", "key", "label_key", F.col("l_discount").alias("weight"),
         F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("flag"))
     episodes = tb.table(spark, d, "orders").select(F.col("o_orderkey").alias("episode_id"), F.col("o_custkey").alias("paper_key"), F.col("o_orderdate").alias("created_at"))
     return concepts, episodes

@@ -16,7 +16,7 @@ from plumbline.plans import graph as gq
 from plumbline.plans import sqltext as sq
 from plumbline.plans.jobs import ORACLE as JOB_ORACLE
 from plumbline.plans.jobs import _costed, _stamp
-from plumbline.session import fresh_folder
+from plumbline.session import cut_lineage, fresh_folder
 from plumbline.sources import library as lb
 from plumbline.sources import tables as tb
 from plumbline.streaming import jobs as sj
@@ -85,7 +85,7 @@ def fixtures(spark, d):
         F.struct(F.lit(0.7).alias("minFaithfulness")).alias("expectation"),
         F.struct(F.lit("").alias("summary"), F.array(F.struct("speaker", "text")).alias("turns")).alias("episode"))
     opening.write.json(path)
-    return lb.read_fixtures(spark, path).select("id", "paperId", F.col("expectation.minFaithfulness").alias("bound"), F.size("episode.turns").alias("turns"))
+    return lb.read_fixtures(spark, path, one_per_file=False).select("id", "paperId", F.col("expectation.minFaithfulness").alias("bound"), F.size("episode.turns").alias("turns"))
 
 
 def annotated(spark, d):
@@ -280,7 +280,7 @@ def ground_concepts(spark, d):
 
 def ground_relations(spark, d):
     papers, stated = _titled(spark, d), _concepts(spark, d)
-    kept = gr.ground_concepts(stated, papers)
+    kept = cut_lineage(gr.ground_concepts(stated, papers))
     nxt = stated.select("paper_id", (F.col("concept_no") - 2).alias("concept_no"), F.col("name").alias("target"))
     told = stated.join(nxt, ["paper_id", "concept_no"]).select("paper_id", F.col("concept_no").alias("relation_no"), F.col("name").alias("source"), "target", F.lit("builds-on").alias("type"), "evidence")
     return gr.grounding_report(told, gr.ground_relations(told, kept, papers), "relation_no")

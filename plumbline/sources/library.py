@@ -133,10 +133,10 @@ def embed_with_cache(
     return found.withColumn("vector", F.coalesce("_hit", "_new")).drop("_hit", "_new"), fresh
 
 
-def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
+def read_fixtures(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
     """Captured episodes with their expected bounds, in file order; a broken file is an error."""
     return (
-        spark.read.schema(FIXTURE).option("multiLine", True).option("mode", "FAILFAST").json(path)
+        spark.read.schema(FIXTURE).option("multiLine", one_per_file).option("mode", "FAILFAST").json(path)
         .withColumn("file", F.col("_metadata.file_name")).orderBy("file")
     )
 

@@ -17,8 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share a scan that came as too few splits among all cores.
+
+    A large input has splits enough and is left as it is; only a small one, such
+    as a single file, is shuffled, and by the key its rows are worked on.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def papers(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(F.col("doc_id").alias("paper_id"), "text")
 
 
 def sections(spark, sf_dir) -> DataFrame:
@@ -37,7 +47,7 @@ def turns(spark, sf_dir) -> DataFrame:
     speaker = (
         F.when(role == "user", "host").when(role == "assistant", "guest").otherwise("narrator")
     )
-    return table(spark, sf_dir, "conversations").select(
+    return spread(table(spark, sf_dir, "conversations"), "conv_id").select(
         F.col("conv_id").alias("episode_id"),
         F.col("turn").alias("turn_idx"),
         speaker.alias("speaker"),
