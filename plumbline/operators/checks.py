@@ -18,7 +18,7 @@ from plumbline.functions import text as tx
 
 CHARS_PER_MINUTE = 1_100
 COLLAPSED, SHORT = 0.7, 0.85
-SHOW = "PaperCast"
+SHOW = "Paperline"
 LEFT, RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 NUMBER = r"\d[\d,]*(?:\.\d+)?"
 

@@ -33,7 +33,8 @@ def join_verdicts(claims: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
 
 
-def must_fix(verdict: Column = F.col("verdict"), specific: Column = F.col("specific")) -> Column:
+def must_fix() -> Column:
+    verdict, specific = F.col("verdict"), F.col("specific")
     return (verdict == "contradicted") | ((verdict == "unsupported") & specific)
 
 

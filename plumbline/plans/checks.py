@@ -109,7 +109,7 @@ sent AS (SELECT episode_id, turn_idx, unnest(range(len(s))) AS si, unnest(s) AS
 tok AS (SELECT episode_id, turn_idx, si, unnest(range(len(w))) AS wi, unnest(w) AS tok FROM (SELECT *, string_split_regex({sq.strip('s')}, '\\s+') AS w FROM sent)),
 noun AS (SELECT *, lower(word) AS lower, regexp_replace(lower(word), '[''’]s$|s$', '') AS stem FROM (
     SELECT *, regexp_replace(tok, '^[^A-Za-z0-9_]+|[^A-Za-z0-9_]+$', '', 'g') AS word FROM tok WHERE wi > 0)
-  WHERE regexp_matches(word, '^[A-Z][a-zA-Z''’-]{{2,}}$') AND lower(word) NOT IN {sq.words(lx.PROPER_NOUN_ALLOW)} AND lower(word) <> 'papercast'),
+  WHERE regexp_matches(word, '^[A-Z][a-zA-Z''’-]{{2,}}$') AND lower(word) NOT IN {sq.words(lx.PROPER_NOUN_ALLOW)} AND lower(word) <> 'paperline'),
 once AS (SELECT episode_id, word, lower, stem, min(turn_idx * 1000000 + si * 1000 + wi) AS a FROM noun GROUP BY 1, 2, 3, 4),
 """
 
@@ -135,7 +135,7 @@ ORACLE = {
     "c4_word_count": _result(f"""WITH {BASE},
         s AS (SELECT episode_id, sum(length({sq.strip('text')})) + count(*) - 1 AS chars, sum(len(regexp_extract_all(text, '\\S+')))::BIGINT AS words FROM turns GROUP BY 1),
         off AS (SELECT episode_id, 0 AS a, 0 AS b, words || ' words' AS what FROM s JOIN episodes USING (episode_id) WHERE chars / 1100 / minutes < 0.7)""", "word-count", "warning"),
-    "c5_show_name": _regex("show-name", _B + "(?i:welcome(?:\\s+back)?\\s+to|listening\\s+to|here\\s+on|this\\s+is)\\s+(?i:(?:(?:this|another|our|the)\\s+)?(?:episode\\s+of\\s+)?)([A-Z][\\w''’-]*(?:\\s+[A-Z][\\w''’-]*){0,3})", group=1, where="NOT starts_with(lower(what), 'papercast')"),
+    "c5_show_name": _regex("show-name", _B + "(?i:welcome(?:\\s+back)?\\s+to|listening\\s+to|here\\s+on|this\\s+is)\\s+(?i:(?:(?:this|another|our|the)\\s+)?(?:episode\\s+of\\s+)?)([A-Z][\\w''’-]*(?:\\s+[A-Z][\\w''’-]*){0,3})", group=1, where="NOT starts_with(lower(what), 'paperline')"),
     "c6_honorifics": _result(f"""WITH {BASE}, hit AS (SELECT episode_id, turn_idx AS a, unnest(range(len(h))) AS b, trim(unnest(h)) AS what FROM (
         SELECT *, regexp_extract_all(text, '{_B}((?:Dr\\.|Prof\\.|Professor|PhD|Ph\\.D\\.)\\s*[A-Z]?)', 1) AS h FROM turns)),
         off AS (SELECT hit.* FROM hit JOIN episodes USING (episode_id) LEFT JOIN documents d ON d.doc_id = paper_id WHERE NOT coalesce(contains(lower(text), lower(what)), false))""", "honorifics", "error"),

@@ -2,6 +2,7 @@
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from plumbline.functions import text as tx
 from plumbline.operators import dense as de
@@ -140,7 +141,7 @@ def once(spark, d):
     return lb.once_per_key(turns, "paper_id", count, done)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _row_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     import numpy as np
 
