@@ -104,6 +104,7 @@ def concept_families(scores: DataFrame, limit: int = PER_EPISODE) -> DataFrame:
     The family takes the longest name, the best score and its weight against the
     paper's top family. A tie in length goes to the better ranked.
     """
+    scores = cut_lineage(scores)
     tag = lambda kind, c: F.concat_ws("\u0001", "paper_id", F.lit(kind), c)
     edges = scores.select(tag("t", F.col("term")).alias("u"), F.explode(F.array_distinct(F.split("term", " "))).alias("w"), "paper_id").select(
         "u", tag("w", F.col("w")).alias("v"))

@@ -11,6 +11,7 @@ from plumbline.operators import timeline as tl
 from plumbline.plans import sqltext as sq
 from plumbline.plans.retrieval import _LONGEST
 from plumbline.plans.timeline import _TIME
+from plumbline.session import cut_lineage
 from plumbline.sources import tables as tb
 
 THRESHOLD = 0.4
@@ -141,8 +142,8 @@ def moments(spark, d):
 
 
 def ego(spark, d):
-    centre = _nodes(spark, d).orderBy(F.desc("papers"), F.desc("episodes"), "term").limit(1).select("term")
-    return gp.ego(_edges(spark, d), _relations(spark, d), centre)
+    centre = cut_lineage(_nodes(spark, d).orderBy(F.desc("papers"), F.desc("episodes"), "term").limit(1).select("term"))
+    return gp.ego(cut_lineage(_edges(spark, d)), cut_lineage(_relations(spark, d)), centre)
 
 
 def seen(spark, d):
@@ -202,7 +203,21 @@ _FLAT = sq.flatten
 _MENTION = f"""{_TIME}, {sq.QUESTIONS}, {_LONGEST}, names AS (SELECT paper_id AS episode_id, question_id AS idea, phrase AS name FROM longest),
   said AS (SELECT n.*, t.turn_idx, t.text FROM names n JOIN turns t USING (episode_id) WHERE regexp_matches({_FLAT('t.text')}, '(^|[^a-z0-9])' || {_FLAT('name')} || '(e?s)?([^a-z0-9]|$)'))"""
 
+_REL = f"""rel AS (SELECT CASE WHEN type = 'contrasts-with' THEN least(s, t) ELSE s END AS source, CASE WHEN type = 'contrasts-with' THEN greatest(s, t) ELSE t END AS target FROM (
+  SELECT {ckey('x.label')} AS s, {ckey('y.label')} AS t, CASE WHEN x.flag = 'R' THEN 'contrasts-with' ELSE 'builds-on' END AS type
+  FROM (SELECT episode_id, line, min(label) AS label, min(flag) AS flag FROM lib GROUP BY 1, 2) x JOIN (SELECT episode_id, line, min(label) AS label FROM lib GROUP BY 1, 2) y
+    ON y.episode_id = x.episode_id AND y.line = x.line + 1) WHERE s <> t)"""
+
 ORACLE = {
+    "k15_ego": f"""WITH {_LIB}, {_EDGES}, {_REL},
+        st AS (SELECT source AS f, target AS t, 0 AS kind FROM rel UNION ALL SELECT target, source, 0 FROM rel UNION ALL SELECT a, b, 1 FROM edges UNION ALL SELECT b, a, 1 FROM edges),
+        link AS (SELECT f, t, min(kind) AS kind FROM st WHERE f <> t GROUP BY 1, 2),
+        c AS (SELECT term FROM nodes ORDER BY papers DESC, episodes DESC, term LIMIT 1),
+        near AS (SELECT * FROM (SELECT t AS term, row_number() OVER (ORDER BY kind, t) - 1 AS place FROM link JOIN c ON f = term) WHERE place < 10),
+        away AS (SELECT t, min(near.place * 10 + kind) AS o FROM link JOIN near ON f = near.term
+                 WHERE t NOT IN (SELECT term FROM near UNION ALL SELECT term FROM c) GROUP BY t),
+        far AS (SELECT * FROM (SELECT t AS term, row_number() OVER (ORDER BY o, t) - 1 AS place FROM away) WHERE place < 12)
+        SELECT term, place, 'near' AS ring FROM near UNION ALL SELECT term, place, 'far' FROM far""",
     "k1_ngrams": f"WITH src AS (SELECT doc_id AS paper_id, text, 1 AS n, 0 AS pos0 FROM documents), {grams('src')} SELECT paper_id, term, count(*) AS n FROM grams GROUP BY 1, 2",
     "k3_concept_scores": f"""WITH {sq.LINES}, src AS (SELECT paper_id, text, 2 - line_no AS n, line_no * 1000000 AS pos0 FROM lines WHERE line_no < 2), {grams('src')},
         c AS (SELECT paper_id, term, sum(n) AS n FROM grams GROUP BY 1, 2),

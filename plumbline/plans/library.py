@@ -14,6 +14,7 @@ from plumbline.operators import retrieval as rt
 from plumbline.operators import timeline as tl
 from plumbline.operators import trace as tr
 from plumbline.plans import graph as gq
+from plumbline.plans import parsing as pq
 from plumbline.plans import sqltext as sq
 from plumbline.plans.jobs import ORACLE as JOB_ORACLE
 from plumbline.plans.jobs import _costed, _stamp
@@ -123,9 +124,8 @@ def backfill(spark, d):
     """Every document parsed again from its text, its first line looked up again."""
     papers = tb.papers(spark, d)
     lines = pa.lines(papers)
-    titles = pa.titles(lines)
-    body = lines.join(titles.select("paper_id", "from_line"), "paper_id").filter("line_no >= from_line").drop("from_line")
-    parsed = pa.body_sections(pa.sections(body, pa.section_starts(lines, titles.select("paper_id", "from_line"))), body)
+    body, starts = pq._body_lines(spark, d)
+    parsed = pa.body_sections(cut_lineage(pa.sections(body, starts)), body)
     old = tb.sections(spark, d).groupBy("paper_id").agg(F.count("*").alias("sections"))
     quote = lines.filter("line_no = 0").select(F.col("paper_id").alias("quote_id"), "paper_id", "text")
     found = gr.locate_exact(quote, papers).groupBy("paper_id").agg(F.count("*").alias("anchors"))
@@ -324,6 +324,12 @@ ORACLE = {
     "r6_event_windows_stream": JOB_ORACLE["r6_event_windows"],
     "g7_anchor_rate": f"""WITH {gq._MENTION}, c AS (SELECT DISTINCT episode_id, turn_idx FROM said)
         SELECT t.episode_id, count(c.turn_idx) AS anchored, count(*) - count(c.turn_idx) AS unanchored FROM turns t LEFT JOIN c USING (episode_id, turn_idx) GROUP BY 1""",
+    "g8_dedupe_overlaps": """WITH c AS (SELECT l_orderkey AS answer_id, l_linenumber - 1 AS quote_no, CAST(min(l_partkey) AS INT) AS start, CAST(min(l_partkey) + max(l_quantity) * 10 AS INT) AS stop
+          FROM lineitem GROUP BY 1, 2),
+        f AS (SELECT * FROM c WHERE quote_no < 3),
+        a AS (SELECT x.*, EXISTS (SELECT 1 FROM f z WHERE z.answer_id = x.answer_id AND z.quote_no = 0 AND x.quote_no > 0 AND x.start < z.stop AND z.start < x.stop) AS hits0 FROM f x),
+        b AS (SELECT x.*, EXISTS (SELECT 1 FROM a z WHERE z.answer_id = x.answer_id AND z.quote_no = 1 AND x.quote_no = 2 AND NOT z.hits0 AND x.start < z.stop AND z.start < x.stop) AS hits1 FROM a x)
+        SELECT answer_id, quote_no, start, stop AS "end" FROM b WHERE NOT hits0 AND NOT hits1""",
     "g10_answer_grounding": """WITH l AS (SELECT l_orderkey AS answer_id, l_linenumber, max(l_tax) AS tax FROM lineitem GROUP BY 1, 2)
         SELECT answer_id, CASE WHEN o_orderstatus = 'F' THEN 'background' ELSE 'from-paper' END AS kind, count(*) FILTER (tax > 0.03) AS found, count(*) FILTER (tax <= 0.03) AS missing,
           o_orderstatus <> 'F' AND count(*) FILTER (tax > 0.03) > 0 AS grounded FROM l JOIN orders ON o_orderkey = answer_id GROUP BY 1, o_orderstatus""",

@@ -7,6 +7,7 @@ from plumbline.functions import text as tx
 from plumbline.operators import grounding as gr
 from plumbline.operators import parsing as pa
 from plumbline.plans import sqltext as sq
+from plumbline.session import cut_lineage
 from plumbline.sources import tables as tb
 
 
@@ -61,8 +62,10 @@ def starts(spark, d):
 
 def _body_lines(spark, d):
     lines, titles = _split(spark, d)
+    # One small row per paper, and one per heading: written once, used twice.
+    titles = cut_lineage(titles)
     body = lines.join(titles.select("paper_id", "from_line"), "paper_id").filter(F.col("line_no") >= F.col("from_line"))
-    return body.drop("from_line"), pa.section_starts(lines, titles.select("paper_id", "from_line"))
+    return body.drop("from_line"), cut_lineage(pa.section_starts(lines, titles.select("paper_id", "from_line")))
 
 
 def sections(spark, d):
@@ -75,7 +78,7 @@ def clean(spark, d):
 
 def body(spark, d):
     lines, starts = _body_lines(spark, d)
-    return pa.body_sections(pa.sections(lines, starts), lines).select(
+    return pa.body_sections(cut_lineage(pa.sections(lines, starts)), lines).select(
         "paper_id", "section_idx", "kind", "heading", F.length("content").alias("chars"))
 
 
