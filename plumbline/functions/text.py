@@ -97,17 +97,16 @@ def concept_key(c: Column) -> Column:
     """The key two spellings of one idea share."""
     base = squeeze(F.regexp_replace(flatten(c), r"""[“”"'’().,;:]""", ""))
     base = F.regexp_replace(base, r"^the\s+", "")
-    last = F.regexp_extract(base, r"[^ ]+$", 0)
+    return let(base, _singular)
+
+
+def _singular(base: Column) -> Column:
+    """The last word of a name without its plural ending."""
+    last = F.substring_index(base, " ", -1)
     size = F.length(base)
     return (
-        F.when(
-            (F.length(last) > 4) & last.endswith("ies"),
-            F.concat(F.substring(base, F.lit(1), size - 3), F.lit("y")),
-        )
-        .when(
-            (F.length(last) > 3) & last.endswith("s") & ~last.rlike(r"(ss|us|is)$"),
-            F.substring(base, F.lit(1), size - 1),
-        )
+        F.when((F.length(last) > 4) & last.endswith("ies"), F.concat(F.substring(base, F.lit(1), size - 3), F.lit("y")))
+        .when((F.length(last) > 3) & last.endswith("s") & ~last.rlike(r"(ss|us|is)$"), F.substring(base, F.lit(1), size - 1))
         .otherwise(base)
     )
 

@@ -184,10 +184,12 @@ def edges(concepts: DataFrame, episodes: DataFrame, limit: int = PER_EPISODE) ->
 def relations(stated: DataFrame, concepts: DataFrame, episodes: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Typed relations merged over the library: source, target, type, episodes, papers.
 
-    ``stated``: episode_id, source, target, type. Both ends must be concepts of the
+    ``stated``: episode_id, source, target, type, and maybe source_key and
+    target_key where names were keyed before. Both ends must be concepts of the
     episode; contrasts-with has no direction.
     """
-    keyed = stated.withColumn("s", tx.concept_key(F.col("source"))).withColumn("t", tx.concept_key(F.col("target")))
+    key = lambda c: F.col(f"{c}_key") if f"{c}_key" in stated.columns else tx.concept_key(F.col(c))
+    keyed = stated.withColumn("s", key("source")).withColumn("t", key("target"))
     if names is not None:
         for c in ("s", "t"):
             keyed = keyed.join(names.select(F.col("key").alias(c), F.col("name").alias("_n")), c, "left").withColumn(c, F.coalesce("_n", c)).drop("_n")

@@ -95,10 +95,11 @@ def edges(spark, d):
 
 def _relations(spark, d):
     c, e = _library(spark, d)
-    one = c.groupBy("episode_id", "line").agg(F.min("term").alias("term"), F.min("flag").alias("flag"))
-    after = one.select("episode_id", (F.col("line") - 1).alias("line"), F.col("term").alias("target"))
+    one = c.groupBy("episode_id", "line").agg(F.min(F.struct("term", "key")).alias("n"), F.min("flag").alias("flag"))
+    after = one.select("episode_id", (F.col("line") - 1).alias("line"), F.col("n.term").alias("target"), F.col("n.key").alias("target_key"))
     stated = one.join(after, ["episode_id", "line"]).select(
-        "episode_id", F.col("term").alias("source"), "target", F.when(F.col("flag") == "R", "contrasts-with").otherwise("builds-on").alias("type"))
+        "episode_id", F.col("n.term").alias("source"), F.col("n.key").alias("source_key"), "target", "target_key",
+        F.when(F.col("flag") == "R", "contrasts-with").otherwise("builds-on").alias("type"))
     return gp.relations(stated, gp.episode_concepts(c), e.drop("created_at"))
 
 
