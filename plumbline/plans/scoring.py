@@ -6,6 +6,7 @@ from plumbline.functions import text as tx
 from plumbline.operators import checks as ck
 from plumbline.operators import scoring as sc
 from plumbline.plans import sqltext as sq
+from plumbline.plans.checks import ORACLE as CHECK_ORACLE
 from plumbline.sources import tables as tb
 
 
@@ -212,3 +213,14 @@ ORACLE = {
         WHEN regexp_matches(text, '(?i)different audio format|only uncompressed pcm|no audio to join|wave file has no|not a wave') THEN 'audio_join_failed'
         WHEN regexp_matches(text, '(?i)Could not extract text|no dialogue turns|not a riff|pdf') THEN 'unreadable_input' ELSE 'internal' END AS code, count(*) AS n FROM documents GROUP BY 1""",
 }
+
+ORACLE["e11_leaderboard"] = f"""WITH {sq.VERDICTS}, {_COST},
+    f AS (SELECT claim_id // 10 AS run_id, {_FAITH} FROM verdicts GROUP BY 1),
+    cov AS ({ORACLE["e3_coverage"]}),
+    chk AS ({CHECK_ORACLE["x3_run_checks"]}),
+    g AS (SELECT episode_id AS run_id, round(avg(CAST(passed AS INTEGER)), 6) AS compliance, count(*) FILTER (NOT passed AND severity = 'error') AS errors,
+          coalesce(string_agg(check_id, ',' ORDER BY check_id) FILTER (NOT passed AND severity = 'error'), '') AS failing FROM chk GROUP BY 1),
+    u AS (SELECT event_id % 100 AS run_id, round(sum(usd), 6) AS usd FROM costs GROUP BY 1)
+    SELECT r.run_id, r.run_id AS paper_id, lang AS generator, 'en' AS judge, faithfulness, hallucination, coverage, compliance, g.errors, failing, usd, lang = 'en' AS self_judged
+    FROM (SELECT DISTINCT conv_id AS run_id FROM conversations) r JOIN documents ON doc_id = r.run_id LEFT JOIN f ON f.run_id = r.run_id LEFT JOIN cov ON cov.paper_id = r.run_id
+    LEFT JOIN g ON g.run_id = r.run_id LEFT JOIN u ON u.run_id = r.run_id"""
