@@ -178,3 +178,21 @@ _UNION = " UNION ALL ".join(f"SELECT episode_id, check_id, passed, severity, off
 ORACLE["x3_run_checks"] = _UNION
 ORACLE["c13_compliance"] = f"""SELECT episode_id, count(*) FILTER (NOT passed AND severity = 'error') AS errors,
     count(*) FILTER (NOT passed AND severity = 'warning') AS warnings, round(avg(CAST(passed AS INTEGER)), 6) AS compliance FROM ({_UNION}) GROUP BY 1"""
+
+
+def _say(kind):
+    return "'" + ck.SAID[kind].replace("'", "''") + "'"
+
+
+_NUMBER = "\\b\\d[\\d,]*(?:\\.\\d+)?\\b"
+_KINDS = ", ".join(f"'{k}'" for k in [ck.CONTROL] + [k for k, _ in ck.MUTATIONS])
+ORACLE["c14_mutate"] = f"""WITH {sq.TURNS},
+    f AS (SELECT episode_id, max(turn_idx) AS last, coalesce(min(turn_idx) FILTER (regexp_matches(text, '{_NUMBER}')), 0) AS num, min_by(speaker, turn_idx) AS opener FROM turns GROUP BY 1),
+    e AS (SELECT *, unnest([{_KINDS}]) AS kind FROM turns JOIN f USING (episode_id))
+    SELECT episode_id, kind, turn_idx, CASE WHEN kind = 'break-alternation' AND turn_idx = 1 THEN opener ELSE speaker END AS speaker,
+      md5(CASE WHEN kind = 'swap-number' AND turn_idx = num THEN CASE WHEN regexp_matches(text, '{_NUMBER}') THEN regexp_replace(text, '{_NUMBER}', '8317') ELSE text || {_say('swap-number')} END
+        WHEN kind = 'fabricate-entity' AND turn_idx = least(1, last) THEN text || {_say('fabricate-entity')} WHEN kind = 'claim-authorship' AND turn_idx = least(1, last) THEN text || {_say('claim-authorship')}
+        WHEN kind = 'add-honorific' AND turn_idx = 0 THEN text || {_say('add-honorific')} WHEN kind = 'claim-expertise' AND turn_idx = 0 THEN text || {_say('claim-expertise')}
+        WHEN kind = 'invent-show-name' AND turn_idx = 0 THEN {_say('invent-show-name')} || text WHEN kind = 'address-by-name' AND turn_idx = last THEN {_say('address-by-name')} || text
+        ELSE text END) AS text_md5
+    FROM e WHERE kind <> 'truncate-dialogue' OR turn_idx < 3"""
