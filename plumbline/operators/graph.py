@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import lexicons as lx
 from plumbline.functions import text as tx
+from plumbline.functions.components import connected_components
 from plumbline.operators.grounding import mentions
 from plumbline.session import cut_lineage
 
@@ -77,27 +78,6 @@ def concept_scores(stated: DataFrame, papers: DataFrame) -> DataFrame:
     return folded.select("paper_id", "term", "pos", (F.col("n") * (1 + 0.6 * (words - 1)) * boost).alias("raw"))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of an undirected graph of (u, v).
-
-    Each round takes the smallest label among neighbours and then the label of
-    that label, so the rounds grow with the logarithm of the longest path.
-    """
-    both = edges.select(F.col("u").alias("node"), F.col("v").alias("near")).unionByName(
-        edges.select(F.col("v").alias("node"), F.col("u").alias("near"))).distinct()
-    both = cut_lineage(both)
-    labels = cut_lineage(both.groupBy("node").agg(F.least(F.min("near"), F.first("node")).alias("component")))
-    while True:
-        seen = labels.select(F.col("node").alias("near"), F.col("component").alias("c"))
-        lower = both.join(seen, "near").groupBy("node").agg(F.min("c").alias("c"))
-        pulled = labels.join(lower, "node").select("node", F.col("component").alias("old"), F.least("component", "c").alias("c"))
-        roots = pulled.select(F.col("node").alias("c"), F.col("c").alias("root"))
-        step = cut_lineage(pulled.join(roots, "c", "left").select("node", "old", F.least("c", F.coalesce("root", "c")).alias("component")))
-        labels = step.select("node", "component")
-        if step.filter(F.col("old") != F.col("component")).isEmpty():
-            return labels
-
-
 def concept_families(scores: DataFrame, limit: int = PER_EPISODE) -> DataFrame:
     """Terms that share a word, however indirectly, become one family per paper.
 
