@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontam, mixing, pii, rules
+from plumbline.llm import decontam, jaccard, mixing, pii, rules
 from plumbline.llm.common import table
 
 
@@ -12,6 +12,7 @@ def _docs(fn):
 
 QUERIES = {
     "op2_pii": _docs(pii.op2),
+    "op3_ngram_jaccard": _docs(jaccard.op3),
     "op4_quality_rules": _docs(rules.op4),
     "op6_decontamination": lambda spark, sf_dir: decontam.op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op10_mixing": _docs(mixing.op10),
