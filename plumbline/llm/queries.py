@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontam, jaccard, mixing, pii, rules
+from plumbline.llm import decontam, jaccard, mixing, pii, quality, rules, token_files
 from plumbline.llm.common import table
 
 
@@ -11,10 +11,12 @@ def _docs(fn):
 
 
 QUERIES = {
+    "op1_quality": lambda spark, sf_dir: quality.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op2_pii": _docs(pii.op2),
     "op3_ngram_jaccard": _docs(jaccard.op3),
     "op4_quality_rules": _docs(rules.op4),
     "op6_decontamination": lambda spark, sf_dir: decontam.op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op8_token_files": _docs(token_files.op8),
     "op10_mixing": _docs(mixing.op10),
 }
 
