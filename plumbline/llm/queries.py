@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontam, jaccard, mixing, pii, quality, rules, token_files
+from plumbline.llm import decontam, jaccard, mixing, pii, quality, rules, token_files, warc
 from plumbline.llm.common import table
 
 
@@ -17,11 +17,13 @@ QUERIES = {
     "op4_quality_rules": _docs(rules.op4),
     "op6_decontamination": lambda spark, sf_dir: decontam.op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op8_token_files": _docs(token_files.op8),
+    "op9_warc": lambda spark, sf_dir: warc.op9(table(spark, sf_dir, "pages")),
     "op10_mixing": _docs(mixing.op10),
 }
 
 ORACLE = {
     "op4_quality_rules": rules.SQL,
     "op6_decontamination": decontam.SQL,
+    "op9_warc": warc.SQL,
     "op10_mixing": mixing.SQL,
 }
