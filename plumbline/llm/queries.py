@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontam, jaccard, mixing, pii, quality, rules, token_files, warc
+from plumbline.llm import decontam, html, jaccard, mixing, pii, quality, rules, token_files, warc
 from plumbline.llm.common import table
 
 
@@ -16,6 +16,7 @@ QUERIES = {
     "op3_ngram_jaccard": _docs(jaccard.op3),
     "op4_quality_rules": _docs(rules.op4),
     "op6_decontamination": lambda spark, sf_dir: decontam.op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op7_main_text": lambda spark, sf_dir: html.op7(table(spark, sf_dir, "pages")),
     "op8_token_files": _docs(token_files.op8),
     "op9_warc": lambda spark, sf_dir: warc.op9(table(spark, sf_dir, "pages")),
     "op10_mixing": _docs(mixing.op10),
