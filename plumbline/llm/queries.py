@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontam, html, jaccard, mixing, pii, quality, rules, token_files, warc
+from plumbline.llm import decontam, html, jaccard, mixing, pii, quality, rules, substring, token_files, warc
 from plumbline.llm.common import table
 
 
@@ -15,6 +15,7 @@ QUERIES = {
     "op2_pii": _docs(pii.op2),
     "op3_ngram_jaccard": _docs(jaccard.op3),
     "op4_quality_rules": _docs(rules.op4),
+    "op5_substring_dedup": _docs(substring.op5),
     "op6_decontamination": lambda spark, sf_dir: decontam.op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op7_main_text": lambda spark, sf_dir: html.op7(table(spark, sf_dir, "pages")),
     "op8_token_files": _docs(token_files.op8),
