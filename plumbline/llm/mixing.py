@@ -16,7 +16,7 @@ word, gives targets of 0 and no taken words. Columns other than ``doc_id``,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import words as W
@@ -69,14 +69,17 @@ def _digits(level: int):
     return F.conv(F.substring("hash", 1 + level * DIGITS, DIGITS), 16, 10).cast("int")
 
 
-def mix(docs: DataFrame, repeats: int = REPEATS, weights=WEIGHTS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source.
+def _hash(doc_id: Column) -> Column:
+    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
+
+
+def thresholds(sized: DataFrame, repeats: int = REPEATS, weights=WEIGHTS) -> DataFrame:
+    """One row per source: source_size, target, copies of every document, and the threshold of one more copy.
 
-    A source takes every document ``floor(target / source_size)`` times, and once
-    more those below its threshold: the longest run of hash places whose words
-    fit the rest, and the next place too if that comes nearer.
+    ``sized``: source, size, hash. Documents whose hash lies below ``prefix`` are
+    taken once more, those at it where ``take``: the longest run of hash places
+    whose words fit the rest, and the next place too if that comes nearer.
     """
-    sized = keep_table(sizes(docs).withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "mix-sizes")
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     goal = keep_table(goal.withColumn("copies", whole).withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size")), "mix-goals")
@@ -98,13 +101,38 @@ def mix(docs: DataFrame, repeats: int = REPEATS, weights=WEIGHTS) -> DataFrame:
             state = state.drop("words")
     # All digits are fixed: one hash value is left, taken if that comes nearer to the budget.
     edge = state.select(F.col("source").alias("_s"), F.col("prefix"), (F.col("words") - F.col("rest") <= F.col("rest")).alias("take"))
-    full = goal.join(edge, goal["source"].eqNullSafe(edge["_s"]), "left").select(
-        F.col("source").alias("_source"), "source_size", "target", "copies", "rest", "prefix", "take")
-    head = F.substring("hash", 1, LEVELS * DIGITS)
-    extra = F.when(F.col("rest") <= 0, 0).when(F.col("prefix").isNull(), 1).when(head < F.col("prefix"), 1).when(
-        (head == F.col("prefix")) & F.col("take"), 1).otherwise(0)
+    return goal.join(edge, goal["source"].eqNullSafe(edge["_s"]), "left").select(
+        F.col("source").alias("_source"), "source_size", "target", F.col("copies").alias("_copies"), F.col("rest").alias("_rest"),
+        F.col("prefix").alias("_prefix"), F.col("take").alias("_take"))
+
+
+def copies(hash_: Column) -> Column:
+    """How often a document is taken, beside the threshold row of its source."""
+    head = F.substring(hash_, 1, LEVELS * DIGITS)
+    extra = F.when(F.col("_rest") <= 0, 0).when(F.col("_prefix").isNull(), 1).when(head < F.col("_prefix"), 1).when(
+        (head == F.col("_prefix")) & F.col("_take"), 1).otherwise(0)
+    return F.col("_copies") + extra
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return keep_table(sizes(docs).withColumn("hash", _hash(F.col("doc_id"))), "mix-sizes")
+
+
+def mix(docs: DataFrame, repeats: int = REPEATS, weights=WEIGHTS) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source."""
+    sized = _sized(docs)
+    full = thresholds(sized, repeats, weights)
     joined = sized.join(full, sized["source"].eqNullSafe(full["_source"]), "left")
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + extra)).alias("taken"), "source")
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("hash"))).alias("taken"), "source")
+
+
+def mixed(docs: DataFrame, repeats: int = REPEATS, weights=WEIGHTS) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, each as often as it takes it. Rows without a word are not taken."""
+    full = thresholds(_sized(docs), repeats, weights).select("_source", "_copies", "_rest", "_prefix", "_take")
+    held = docs.join(full, docs["source"].eqNullSafe(full["_source"]))
+    own = [docs[c] for c in docs.columns]
+    taken = held.filter(docs["text"].rlike(r"[^\x20\x09-\x0D]")).select(*own, copies(_hash(docs["doc_id"])).alias("_taken"))
+    return taken.withColumn("_pass", F.explode(F.array_repeat(F.lit(1), F.col("_taken").cast("int")))).select(*docs.columns)
 
 
 def op10(docs: DataFrame) -> DataFrame:
