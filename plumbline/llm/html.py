@@ -53,7 +53,7 @@ _SCOPE = {"div", "section", "article", "main", "td", "th", "table", "ul", "ol",
 #: Fixed scores: a word with no element around it, and the least and most a word or a tag can score.
 WORD_BASE, WORD_LIMIT, TAG_LEAST, TAG_MOST = 0.5, 3.0, -3.0, -0.02
 #: Fixed scores: a word of a block that is left out, the least of such a block, a word of a link, a word outside an author's mark.
-OUTSIDE_SCORE, OUTSIDE_LEAST, LINK_SCORE, UNMARKED = -3.0, -4.0, -1.0, -0.5
+OUTSIDE_SCORE, OUTSIDE_LEAST, LINK_SCORE, UNMARKED = -0.25, -0.75, -1.0, -0.5
 SMOOTH = 5
 MIN_WORDS, MAX_FEATURES = 50, 10_000
 

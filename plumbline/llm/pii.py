@@ -36,7 +36,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Other kinds: pattern, score without context, context words.
 _MORE = {
     "iban": (re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])"), 0.8, ("iban", "account", "bank", "konto", "compte", "cuenta")),
-    "ssn": (re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), 0.3, ("ssn", "social", "security", "insurance")),
+    "ssn": (re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"), 0.3, ("ssn", "social", "security", "insurance")),
     "local_phone": (re.compile(r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"), 0.3, ("phone", "tel", "call", "mobile", "fax", "telefon")),
     "secret": (re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:password|token|secret|api_key) ?= ?\"?[A-Za-z0-9_+/-]{8,128}"), 0.7, ("key", "login", "secret")),
 }
