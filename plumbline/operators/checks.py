@@ -175,7 +175,7 @@ def proper_nouns(turns: DataFrame, show: str = SHOW) -> DataFrame:
     """Capitalised words inside sentences: episode_id, turn_idx, word, lower, stem."""
     inner = F.flatten(F.transform(
         tx.sentences_after_mark(F.col("text")),
-        lambda s: F.slice(F.split(tx.strip(s), r"\s+"), F.lit(2), F.lit(1_000_000)),
+        lambda s: F.filter(F.split(tx.strip(s), r"\s+"), lambda w, i: i > 0),
     ))
     tokens = turns.select("episode_id", "turn_idx", F.posexplode(inner).alias("pos", "tok"))
     word = F.regexp_replace("tok", r"^[^\w]+|[^\w]+$", "")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,8 +65,9 @@ def concept_scores(stated: DataFrame, papers: DataFrame) -> DataFrame:
     text, headings (one text). A paper's terms come from its key points, a few
     sentences, and are gathered beside its text once.
     """
-    points = ngram_candidates(stated, "paper_id", text="key_points").withColumn("n", F.lit(2)).withColumn("pos", F.col("clause"))
-    told = ngram_candidates(stated, "paper_id", text="summary").withColumn("n", F.lit(1)).withColumn("pos", F.col("clause") + 1_000_000)
+    place = lambda source: F.struct(F.lit(source).alias("source"), F.col("clause"))
+    points = ngram_candidates(stated, "paper_id", text="key_points").withColumn("n", F.lit(2)).withColumn("pos", place(0))
+    told = ngram_candidates(stated, "paper_id", text="summary").withColumn("n", F.lit(1)).withColumn("pos", place(1))
     counts = points.unionByName(told).groupBy("paper_id", "term").agg(F.sum("n").alias("n"), F.min("pos").alias("pos"))
     listed = counts.groupBy("paper_id").agg(F.collect_list(F.struct("term", "n", "pos")).alias("terms"))
     held = listed.join(papers.select("paper_id", F.lower("text").alias("text"), F.lower("headings").alias("headings")), "paper_id")
@@ -78,25 +82,44 @@ def concept_scores(stated: DataFrame, papers: DataFrame) -> DataFrame:
     return folded.select("paper_id", "term", "pos", (F.col("n") * (1 + 0.6 * (words - 1)) * boost).alias("raw"))
 
 
+def _families(terms: list) -> list[list]:
+    """Groups of one paper's terms that share a word, however indirectly."""
+    owner, groups = {}, []
+    for t in terms:
+        met = {id(owner[w]): owner[w] for w in t["term"].split(" ") if w in owner}
+        group = [x for g in met.values() for x in g] + [t]
+        groups = [g for g in groups if id(g) not in met] + [group]
+        for x in group:
+            owner.update(dict.fromkeys(x["term"].split(" "), group))
+    return groups
+
+
 def concept_families(scores: DataFrame, limit: int = PER_EPISODE) -> DataFrame:
     """Terms that share a word, however indirectly, become one family per paper.
 
     The family takes the longest name, the best score and its weight against the
-    paper's top family. A tie in length goes to the better ranked.
+    paper's top family. A tie in length goes to the better ranked. A paper's
+    terms come from a few sentences and are one row, so its families are settled
+    in one pass over that row.
     """
-    scores = cut_lineage(scores)
-    tag = lambda kind, c: F.concat_ws("\u0001", "paper_id", F.lit(kind), c)
-    edges = scores.select(tag("t", F.col("term")).alias("u"), F.explode(F.array_distinct(F.split("term", " "))).alias("w"), "paper_id").select(
-        "u", tag("w", F.col("w")).alias("v"))
-    groups = connected_components(edges)
-    member = scores.withColumn("node", tag("t", F.col("term"))).join(groups, "node")
-    order = F.struct((-F.col("raw")).alias("r"), "pos", "term")
-    name = F.struct((-F.size(F.split("term", " "))).alias("w"), (-F.col("raw")).alias("r"), "pos", "term")
-    family = member.groupBy("paper_id", "component").agg(F.min(order).alias("o"), F.min(name)["term"].alias("term"))
-    rank = Window.partitionBy("paper_id").orderBy("o")
-    kept = family.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= limit)
-    top = kept.filter("rank = 1").select("paper_id", (-F.col("o.r")).alias("_top"))
-    return kept.join(top, "paper_id").select("paper_id", "rank", "term", (-F.col("o.r") / F.col("_top")).alias("weight"))
+    kind = scores.schema["paper_id"].dataType.simpleString()
+    pos = scores.schema["pos"].dataType
+    place = (lambda p: tuple(p.values())) if pos.typeName() == "struct" else (lambda p: p)
+    listed = scores.groupBy("paper_id").agg(F.collect_list(F.struct("term", "raw", "pos")).alias("terms"))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for paper, terms in zip(batch.column("paper_id").to_pylist(), batch.column("terms").to_pylist()):
+                order = lambda t: (-t["raw"], place(t["pos"]), t["term"])
+                name = lambda t: (-len(t["term"].split(" ")), *order(t))
+                found = sorted((min(map(order, g)), min(g, key=name)["term"]) for g in _families(terms))
+                rows += [(paper, k + 1, term, o[0] / found[0][0][0]) for k, (o, term) in enumerate(found[:limit])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, (batch.schema.field("paper_id").type, pa.int32(), pa.string(), pa.float64()))],
+                ["paper_id", "rank", "term", "weight"])
+
+    return listed.mapInArrow(run, f"paper_id {kind}, rank int, term string, weight double")
 
 
 def canonical_names(concepts: DataFrame) -> DataFrame:
@@ -147,17 +170,21 @@ def nodes(concepts: DataFrame, episodes: DataFrame) -> DataFrame:
         F.coalesce(F.min("label"), F.first("term")).alias("label"))
 
 
-def edges(concepts: DataFrame, episodes: DataFrame, limit: int = PER_EPISODE) -> DataFrame:
-    """Terms an episode covers together: a, b, episodes, papers.
+def edges(concepts: DataFrame, episodes: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """Terms an episode covers together, every pair of them: a, b, episodes, papers.
 
-    An episode has at most ``limit`` concepts, as extraction gives, so its pairs are few.
+    Pairs meet by a join on the episode, so a large episode is rows and not one
+    array, and are counted before they are shuffled. ``terms`` keeps the pairs
+    with an end among few terms (one column, term) and joins no other episode.
     """
-    order = Window.partitionBy("episode_id").orderBy(F.desc("weight"), "term")
-    strongest = concepts.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit)
-    terms = strongest.groupBy("episode_id").agg(F.array_sort(F.collect_list("term")).alias("t")).join(episodes, "episode_id")
-    pair = F.flatten(F.transform("t", lambda a, i: F.transform(
-        F.slice("t", i + 2, F.lit(limit)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return terms.select("episode_id", "paper_key", F.explode(pair).alias("p")).groupBy("p.a", "p.b").agg(
+    mine = concepts.select("episode_id", F.col("term").alias("a"))
+    other = concepts.select("episode_id", F.col("term").alias("b"))
+    if terms is None:
+        pairs = mine.join(other, "episode_id").filter(F.col("a") < F.col("b"))
+    else:
+        near = mine.join(terms.select(F.col("term").alias("a")).distinct(), "a").join(other, "episode_id").filter(F.col("a") != F.col("b"))
+        pairs = near.select("episode_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.join(episodes, "episode_id").groupBy("a", "b").agg(
         F.count("*").alias("episodes"), F.countDistinct("paper_key").alias("papers"))
 
 
@@ -216,21 +243,27 @@ def moments(names: DataFrame, turns: DataFrame, timings: DataFrame, limit: int =
         "episode_id", "idea", "turn_idx", "moment", cut.alias("snippet"), "start_ms")
 
 
-def ego(edges: DataFrame, relations: DataFrame, centre: DataFrame, near: int = NEAR, far: int = FAR) -> DataFrame:
+def ego(edges_at: Callable[[DataFrame], DataFrame], relations: DataFrame, centre: DataFrame, near: int = NEAR, far: int = FAR) -> DataFrame:
     """The ring around one concept and the ring around that: term, ring, place.
 
-    ``centre``: one row, term. Typed neighbours come before those only met together.
+    ``centre``: one row, term. ``edges_at`` gives the edges (a, b) that touch some
+    terms; only those of the centre and of its ring are asked for. Typed
+    neighbours come before those only met together.
     """
     both = lambda df, a, b, kind: df.select(F.col(a).alias("from"), F.col(b).alias("to"), F.lit(kind).alias("kind")).unionByName(
         df.select(F.col(b).alias("from"), F.col(a).alias("to"), F.lit(kind).alias("kind")))
-    steps = both(relations, "source", "target", 0).unionByName(both(edges, "a", "b", 1))
-    links = steps.filter(F.col("from") != F.col("to")).groupBy("from", "to").agg(F.min("kind").alias("kind"))
-    ring = links.join(centre.select(F.col("term").alias("from")), "from").orderBy("kind", "to").limit(near)
+
+    def links(terms: DataFrame) -> DataFrame:
+        steps = both(relations, "source", "target", 0).unionByName(both(edges_at(terms), "a", "b", 1))
+        here = steps.filter(F.col("from") != F.col("to")).join(terms.select(F.col("term").alias("from")), "from", "left_semi")
+        return here.groupBy("from", "to").agg(F.min("kind").alias("kind"))
+
+    ring = links(centre).orderBy("kind", "to").limit(near)
     inner = ring.select(F.col("to").alias("term"), F.struct("kind", "to").alias("o"))
-    place = inner.agg(F.array_sort(F.collect_list("o")).alias("p")).select(F.posexplode("p").alias("place", "o")).select(
-        F.col("o.to").alias("term"), "place")
+    place = cut_lineage(inner.agg(F.array_sort(F.collect_list("o")).alias("p")).select(F.posexplode("p").alias("place", "o")).select(
+        F.col("o.to").alias("term"), "place"))
     seen = place.select("term").unionByName(centre.select("term"))
-    outer = links.join(place.select(F.col("term").alias("from"), "place"), "from").join(
+    outer = links(place).join(place.select(F.col("term").alias("from"), "place"), "from").join(
         seen.select(F.col("term").alias("to")), "to", "left_anti").groupBy("to").agg(F.min(F.struct("place", "kind")).alias("o"))
     shown = outer.orderBy("o", "to").limit(far).select(F.col("to").alias("term"), F.struct("o", "to").alias("o"))
     spots = shown.agg(F.array_sort(F.collect_list("o")).alias("p")).select(F.posexplode("p").alias("place", "o")).select(F.col("o.to").alias("term"), "place")

@@ -306,17 +306,20 @@ def _block(heading: str = "heading", content: str = "content") -> Column:
     return F.concat(F.lit("## "), F.col(heading), F.lit("\n"), F.col(content))
 
 
-def render(sections: DataFrame, titles: DataFrame | None = None, limit: int = MAX_PROMPT_CHARS) -> DataFrame:
-    """The paper as one text, and whether it is longer than a prompt takes."""
+def render(sections: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """The whole paper as one text."""
     packed = F.array_sort(F.collect_list(F.struct("section_idx", _block().alias("b"))))
     body = sections.groupBy("paper_id").agg(F.array_join(F.transform(packed, lambda e: e["b"]), "\n\n").alias("body"))
     if titles is not None:
         body = body.join(titles.select("paper_id", "title"), "paper_id", "left").withColumn(
             "body", F.concat_ws("\n\n", F.when(F.col("title") != "", F.concat(F.lit("# "), "title")), "body")
         )
-    return body.select(
-        "paper_id", F.substring("body", 1, limit).alias("text"), (F.length("body") > limit).alias("truncated")
-    )
+    return body.select("paper_id", F.col("body").alias("text"))
+
+
+def prompt(rendered: DataFrame, limit: int = MAX_PROMPT_CHARS) -> DataFrame:
+    """What a model is shown of a rendered paper, and whether that is less than all of it."""
+    return rendered.select("paper_id", F.substring("text", 1, limit).alias("prompt"), (F.length("text") > limit).alias("truncated"))
 
 
 def segments(sections: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ CLIP_MS = 20_000
 TOLERANCE_MS = 50
 SILENCE_RMS = 30
 MIN_WPM, MAX_WPM = 80, 260
-VOICE_TOLERANCE, VOICE_MIN_TURNS, MIN_VOICED, MAX_PITCH_FRAMES = 0.16, 3, 20, 200
+VOICE_TOLERANCE, VOICE_MIN_TURNS, MIN_VOICED = 0.16, 3, 20
 GAP_MS = 350
 FRAME_BUCKET = 1024
 
@@ -135,8 +135,8 @@ def check_timeline_matches(timings, audio, episodes) -> DataFrame:
     return result(episodes, rows, "timeline-matches-audio", "error")
 
 
-def turn_loudness(frames: DataFrame, timings: DataFrame, rate: float) -> DataFrame:
-    """RMS of the frames inside each turn; long turns are sampled at an even step.
+def turn_loudness(frames: DataFrame, timings: DataFrame, rate: float, at_most: int | None = None) -> DataFrame:
+    """RMS of all frames inside each turn, or of about ``at_most`` of them at an even step.
 
     ``frames``: episode_id, frame, sample. Frames meet turns on a bucket of frame numbers.
     """
@@ -144,8 +144,9 @@ def turn_loudness(frames: DataFrame, timings: DataFrame, rate: float) -> DataFra
     first = F.greatest(F.lit(0), F.floor(F.col("start_ms") / 1000 * rate)).cast("bigint")
     spanned = timings.join(count, "episode_id", "left").withColumn("f0", first).withColumn(
         "f1", F.least(F.coalesce("total", F.lit(0)), F.ceil(F.col("end_ms") / 1000 * rate)).cast("bigint"))
+    step = F.greatest(F.lit(1), F.floor((F.col("f1") - F.col("f0")) / at_most)).cast("bigint") if at_most else F.lit(1)
     wide = spanned.filter(F.col("f1") > F.col("f0")).select(
-        "episode_id", "turn_idx", "f0", "f1", F.greatest(F.lit(1), F.floor((F.col("f1") - F.col("f0")) / 20_000)).cast("bigint").alias("step"),
+        "episode_id", "turn_idx", "f0", "f1", step.alias("step"),
         F.explode(F.sequence(F.floor(F.col("f0") / FRAME_BUCKET), F.floor((F.col("f1") - 1) / FRAME_BUCKET))).alias("b"))
     heard = frames.withColumn("b", F.floor(F.col("frame") / FRAME_BUCKET)).join(wide, ["episode_id", "b"]).filter(
         (F.col("frame") >= F.col("f0")) & (F.col("frame") < F.col("f1")) & ((F.col("frame") - F.col("f0")) % F.col("step") == 0))
@@ -182,19 +183,24 @@ def check_audio_parses(audio, episodes) -> DataFrame:
     return result(episodes, rows, "audio-parses", "error")
 
 
-def pitch_floor(pitch: DataFrame) -> DataFrame:
+def pitch_floor(pitch: DataFrame, at_most: int | None = None) -> DataFrame:
     """Tenth percentile of the voiced pitch of each turn; NULL under 20 voiced frames.
 
     ``pitch``: episode_id, speaker, turn_idx, frame (from 0), hz (NULL where
-    unvoiced). At most 200 evenly spread frames of a turn are kept and collected.
+    unvoiced). Equal pitches of a turn are counted together before they are
+    ordered. ``at_most`` keeps about so many evenly spread frames of a turn.
     """
     keys = ["episode_id", "speaker", "turn_idx"]
-    n = pitch.groupBy(*keys).agg(F.count("*").alias("n"))
-    step = F.greatest(F.lit(1.0), F.col("n") / MAX_PITCH_FRAMES)
-    thin = pitch.join(n, keys).withColumn("step", step).filter(F.floor(F.ceil(F.col("frame") / F.col("step")) * F.col("step")) == F.col("frame"))
-    voiced = F.array_sort(F.collect_list("hz"))
-    floor = F.when(F.size("hz") >= MIN_VOICED, F.get("hz", F.floor(F.size("hz") * 0.1).cast("int")))
-    return thin.groupBy(*keys).agg(voiced.alias("hz")).select(*keys, F.size("hz").alias("voiced"), floor.alias("floor_hz"))
+    if at_most:
+        n = pitch.groupBy(*keys).agg(F.count("*").alias("n"))
+        step = F.greatest(F.lit(1.0), F.col("n") / at_most)
+        pitch = pitch.join(n, keys).withColumn("step", step).filter(F.floor(F.ceil(F.col("frame") / F.col("step")) * F.col("step")) == F.col("frame"))
+    tally = pitch.groupBy(*keys, "hz").agg(F.count("hz").alias("n"))
+    turn = Window.partitionBy(*keys)
+    upto = tally.withColumn("voiced", F.sum("n").over(turn)).withColumn("upto", F.sum("n").over(turn.orderBy(F.col("hz").asc_nulls_first())))
+    # The value at place floor(voiced / 10) of the sorted pitches, counted from 0.
+    floor = F.min(F.when((F.col("voiced") >= MIN_VOICED) & (F.col("upto") > F.floor(F.col("voiced") * 0.1)), F.col("hz")))
+    return upto.groupBy(*keys).agg(F.max("voiced").cast("int").alias("voiced"), floor.alias("floor_hz"))
 
 
 def off_voice(floors: DataFrame) -> DataFrame:

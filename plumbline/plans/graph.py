@@ -144,7 +144,9 @@ def moments(spark, d):
 
 def ego(spark, d):
     centre = cut_lineage(_nodes(spark, d).orderBy(F.desc("papers"), F.desc("episodes"), "term").limit(1).select("term"))
-    return gp.ego(cut_lineage(_edges(spark, d)), cut_lineage(_relations(spark, d)), centre)
+    c, e = _library(spark, d)
+    concepts, episodes = gp.episode_concepts(c), e.drop("created_at")
+    return gp.ego(lambda terms: gp.edges(concepts, episodes, terms), _relations(spark, d), centre)
 
 
 def seen(spark, d):
@@ -195,8 +197,7 @@ _LIB = f"""
 lib AS (SELECT l_orderkey AS episode_id, {ckey('p_name')} AS term, p_name AS label, l_discount AS weight, l_linenumber AS line, l_returnflag AS flag FROM lineitem JOIN part ON p_partkey = l_partkey),
 con AS (SELECT episode_id, term, max(weight) AS weight, min(CASE WHEN {ckey('label')} = term THEN label END) AS label FROM lib GROUP BY 1, 2),
 nodes AS (SELECT term, count(*) AS episodes, count(DISTINCT o_custkey) AS papers, round(sum(weight), 6) AS weight, coalesce(min(label), term) AS label FROM con JOIN orders ON o_orderkey = episode_id GROUP BY 1)"""
-_EDGES = """top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY weight DESC, term) AS n FROM con) WHERE n <= 8),
-edges AS (SELECT x.term AS a, y.term AS b, count(*) AS episodes, count(DISTINCT o_custkey) AS papers FROM top x JOIN top y ON x.episode_id = y.episode_id AND x.term < y.term
+_EDGES = """edges AS (SELECT x.term AS a, y.term AS b, count(*) AS episodes, count(DISTINCT o_custkey) AS papers FROM con x JOIN con y ON x.episode_id = y.episode_id AND x.term < y.term
   JOIN orders ON o_orderkey = x.episode_id GROUP BY 1, 2)"""
 _SIM = """p AS (SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 9) AS score FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id),
 sim AS (SELECT * FROM p WHERE score >= 0.4)"""

@@ -299,7 +299,7 @@ QUERIES = {
 
 _REC = """rec AS (SELECT 'ep-' || conv_id AS id, conv_id * 1000 AS createdAt, count(*)::INTEGER AS turnCount, min_by(text, turn) AS opening, min_by(role, turn) AS who FROM conversations GROUP BY conv_id)"""
 _SUM = "CASE WHEN who IN ('user', 'system') THEN opening ELSE '' END"
-_KEY = f"substring(sha256('{MODEL} ' || substring(text, 1, 2000)), 1, 32)"
+_KEY = f"substring(sha256('{MODEL} ' || text), 1, 32)"
 
 ORACLE = {
     "s1_library": f"WITH {_REC} SELECT id, createdAt, turnCount, md5({_SUM}) AS summary_md5, CASE who WHEN 'user' THEN 'host' WHEN 'assistant' THEN 'guest' ELSE 'narrator' END AS keys FROM rec",

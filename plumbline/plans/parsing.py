@@ -91,7 +91,11 @@ def counts(spark, d):
 
 
 def render(spark, d):
-    return pa.render(tb.sections(spark, d)).select("paper_id", F.md5("text").alias("text_md5"), F.length("text").alias("chars"), "truncated")
+    return pa.render(tb.sections(spark, d)).select("paper_id", F.md5("text").alias("text_md5"), F.length("text").alias("chars"))
+
+
+def prompt(spark, d):
+    return pa.prompt(pa.render(tb.sections(spark, d))).select("paper_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("chars"), "truncated")
 
 
 def segments(spark, d):
@@ -134,7 +138,7 @@ def outline(spark, d):
 QUERIES = {
     "p1_lines": lines, "p2_page_spans": spans, "p3_page_at": page_at, "p4_stitch": stitch, "p5_heading_shape": shapes,
     "p6_section_starts": starts, "p7_sections": sections, "p8_clean_block": clean, "p9_body_sections": body,
-    "p10_titles": titles, "p11_word_counts": counts, "p12_render": render, "p12_segments": segments,
+    "p10_titles": titles, "p11_word_counts": counts, "p12_render": render, "p12_prompt": prompt, "p12_segments": segments,
     "p13_references": references, "p14_caption_pages": captions, "p16_title_key": title_key, "p17_sentences": sentences,
     "p18_chunks": chunks, "p19_digest": digest, "p21_outline": outline,
 }
@@ -185,7 +189,9 @@ ORACLE = {
                md5(CASE WHEN line_no = hi THEN regexp_replace(led, '\\s+$', '') ELSE led END) AS text_md5 FROM f""",
     "p11_word_counts": f"WITH {sq.SECTIONS} SELECT paper_id, sum(len(regexp_extract_all(content, '\\S+')))::BIGINT AS word_count, count(*) AS sections FROM sections GROUP BY 1",
     "p12_render": f"""WITH {sq.SECTIONS}, r AS (SELECT paper_id, string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY section_idx) AS t FROM sections GROUP BY 1)
-        SELECT paper_id, md5(substring(t, 1, 120000)) AS text_md5, least(length(t), 120000) AS chars, length(t) > 120000 AS truncated FROM r""",
+        SELECT paper_id, md5(t) AS text_md5, length(t) AS chars FROM r""",
+    "p12_prompt": f"""WITH {sq.SECTIONS}, r AS (SELECT paper_id, string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY section_idx) AS t FROM sections GROUP BY 1)
+        SELECT paper_id, md5(substring(t, 1, 120000)) AS prompt_md5, least(length(t), 120000) AS chars, length(t) > 120000 AS truncated FROM r""",
     "p12_segments": f"""WITH {sq.SECTIONS}, l AS (SELECT paper_id, line_no, {_AT} AS at FROM lines),
         s AS (SELECT s.*, l."at", coalesce(sum(length({_BLOCK}) + 2) OVER (PARTITION BY s.paper_id ORDER BY section_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lead_in
               FROM sections s JOIN l ON l.paper_id = s.paper_id AND l.line_no = s.section_idx)

@@ -189,8 +189,7 @@ audio AS (SELECT episode_id, sum(end_ms - start_ms) AS file_ms, max(end_ms) AS t
 _FRAMES = "frames AS (SELECT user_id AS episode_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame, CAST(floor(value * 100) AS BIGINT) AS sample FROM events)"
 _PITCH = """pitch0 AS (SELECT day(ts) // 10 AS episode_id, event_type AS speaker, user_id % 10 AS turn_idx, CASE WHEN value > 1 THEN value + 60 + 8 * (user_id % 10) END AS hz,
   row_number() OVER w - 1 AS frame, count(*) OVER (PARTITION BY day(ts) // 10, event_type, user_id % 10) AS n FROM events WINDOW w AS (PARTITION BY day(ts) // 10, event_type, user_id % 10 ORDER BY event_id)),
-thin AS (SELECT * FROM pitch0 WHERE floor(ceil(frame / greatest(1.0::DOUBLE, n / 200)) * greatest(1.0::DOUBLE, n / 200)) = frame),
-floors AS (SELECT episode_id, speaker, turn_idx, count(hz) AS voiced, CASE WHEN count(hz) >= 20 THEN (list(hz ORDER BY hz) FILTER (hz IS NOT NULL))[CAST(floor(count(hz) * 0.1) AS BIGINT) + 1] END AS floor_hz FROM thin GROUP BY 1, 2, 3)"""
+floors AS (SELECT episode_id, speaker, turn_idx, count(hz) AS voiced, CASE WHEN count(hz) >= 20 THEN (list(hz ORDER BY hz) FILTER (hz IS NOT NULL))[CAST(floor(count(hz) * 0.1) AS BIGINT) + 1] END AS floor_hz FROM pitch0 GROUP BY 1, 2, 3)"""
 
 ORACLE = {
     "a1_norm_words": f"WITH {sq.TURNS} SELECT episode_id, turn_idx, unnest(range(len(w))) AS pos, unnest(w) AS word FROM (SELECT *, {hw('text')} AS w FROM turns)",
@@ -210,8 +209,7 @@ ORACLE = {
                 WHERE abs(file_ms - total_ms) > 50 OR last > file_ms + 50)""", "timeline-matches-audio", "error"),
     "a11_silent_turns": _result(f"""WITH {_TIME}, {_FRAMES}, n AS (SELECT episode_id, count(*) AS total FROM frames GROUP BY 1),
         r AS (SELECT t.episode_id, turn_idx, greatest(0, floor(start_ms / 1000)) AS f0, least(coalesce(total, 0), ceil(end_ms / 1000)) AS f1 FROM timings t LEFT JOIN n USING (episode_id)),
-        p AS (SELECT r.episode_id, r.turn_idx, sqrt(avg(sample * sample)) AS rms FROM r LEFT JOIN frames f ON f.episode_id = r.episode_id AND frame >= f0 AND frame < f1
-              AND (frame - f0) % greatest(1, floor((f1 - f0) / 20000)) = 0 GROUP BY 1, 2),
+        p AS (SELECT r.episode_id, r.turn_idx, sqrt(avg(sample * sample)) AS rms FROM r LEFT JOIN frames f ON f.episode_id = r.episode_id AND frame >= f0 AND frame < f1 GROUP BY 1, 2),
         off AS (SELECT episode_id, turn_idx AS a, 0 AS b, turn_idx::VARCHAR AS what FROM p SEMI JOIN (SELECT * FROM turns WHERE regexp_matches(text, '\\S')) USING (episode_id, turn_idx) WHERE coalesce(rms, 0) < 30)""", "silent-turns", "error"),
     "a12_speech_rate": _result(f"""WITH {_TIME}, r AS (SELECT t.episode_id, t.turn_idx, len(regexp_extract_all(text, '\\S+')) / ((end_ms - start_ms) / 60000) AS wpm FROM timings t JOIN turns USING (episode_id, turn_idx)
           WHERE len(regexp_extract_all(text, '\\S+')) >= 5 AND end_ms > start_ms),

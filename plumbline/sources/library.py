@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 ID = r"^[A-Za-z0-9_-]{1,64}$"
 HEAVY = ["episode", "citations", "timings", "paper", "concepts", "relations"]
-EMBED_CHARS = 2_000
 LEDGER_VERSION = 1
 
 TURNS = "ARRAY<STRUCT<speaker STRING, text STRING>>"
@@ -94,9 +93,13 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return ledger
 
 
+class ModelUnavailable(Exception):
+    """A model function raises this when the model cannot be reached."""
+
+
 def cache_key(text: Column, model: str) -> Column:
-    """First 32 hex digits of the hash of the model and the clipped text."""
-    return F.substring(F.sha2(F.concat(F.lit(model + " "), F.substring(text, 1, EMBED_CHARS)), 256), 1, 32)
+    """First 32 hex digits of the hash of the model and the whole text."""
+    return F.substring(F.sha2(F.concat(F.lit(model + " "), text), 256), 1, 32)
 
 
 def split_cached(texts: DataFrame, cache: DataFrame, model: str) -> DataFrame:
@@ -105,21 +108,23 @@ def split_cached(texts: DataFrame, cache: DataFrame, model: str) -> DataFrame:
 
 
 def embed_with_cache(
-    texts: DataFrame, cache: DataFrame, embed: Callable[[list[str]], list[list[float]]], model: str
+    texts: DataFrame, cache: DataFrame, embed: Callable[[list[str]], list[list[float]]], model: str, clip: int | None = None
 ) -> tuple[DataFrame, DataFrame] | None:
     """(texts with vectors, rows to add to the cache), or None when the model cannot embed.
 
-    Each missing text goes to the model once, in Arrow batches.
+    Each missing text goes to the model once, in Arrow batches; a model that takes
+    no more than ``clip`` characters is shown those, under the key of the whole
+    text. A model is not available if it says so (``ModelUnavailable``) or answers with too few vectors.
     """
     keyed = split_cached(texts, cache, model)
-    missing = keyed.filter(F.col("vector").isNull()).select("key", F.substring("text", 1, EMBED_CHARS).alias("text")).dropDuplicates(["key"])
+    missing = keyed.filter(F.col("vector").isNull()).select("key", (F.substring("text", 1, clip) if clip else F.col("text")).alias("text")).dropDuplicates(["key"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             try:
                 got = embed(list(b["text"]))
                 ok = len(got) == len(b)
-            except Exception:
+            except ModelUnavailable:
                 ok = False
             yield pd.DataFrame({"key": b["key"], "vector": got if ok else [None] * len(b)})
 

@@ -212,7 +212,7 @@ def test_canonical_names(spark):
 def test_ego(spark):
     edges = spark.createDataFrame([("a", "c"), ("b", "d"), ("c", "e")], "a string, b string")
     rel = spark.createDataFrame([("b", "a")], "source string, target string")
-    got = gp.ego(edges, rel, spark.createDataFrame([("a",)], "term string")).orderBy(F.desc("ring"), "place").collect()
+    got = gp.ego(lambda terms: edges, rel, spark.createDataFrame([("a",)], "term string")).orderBy(F.desc("ring"), "place").collect()
     assert [(r["term"], r["ring"]) for r in got] == [("b", "near"), ("c", "near"), ("d", "far"), ("e", "far")]
 
 
