@@ -3,6 +3,7 @@
 import json
 import os
 import sys
+import tempfile
 import time
 
 from plumbline import build_session
@@ -11,13 +12,15 @@ from plumbline.plans import registry
 HEADLINE = [
     "q3_bm25", "q5_cosine", "q8_rrf", "g2_locate_exact", "g4_locate_approx", "c11_proper_nouns", "a2_word_recall", "a7_timeline",
     "e2_faithfulness", "e10_cost", "k9_edges", "k12_similar_pairs", "l5_title_match", "r1_job_state", "t2_subtree_totals", "p17_sentences",
+    "k4_families", "a17_detection_rate", "c14_detection_rate", "g5_resolve", "s11_backfill", "l6_suggest", "k6_canonical_names",
 ]
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = build_session(f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8)
+    shared = tempfile.mkdtemp(prefix="spark-")
+    spark = build_session(f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8, shared)
     queries = registry.queries()
     spark.range(1).count()
     seconds = {}

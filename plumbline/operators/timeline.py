@@ -237,12 +237,17 @@ def _kinds() -> Column:
     return F.explode(F.array(*[F.lit(k) for k in [CONTROL] + [k for k, _ in AUDIO_MUTATIONS]]))
 
 
-def mutate_timeline(timings, audio, frames, pitch, rate):
-    """(timings, audio, frames, pitch), each once clean and once per fault, keyed by ``kind``."""
+def _targets(timings: DataFrame) -> DataFrame:
+    """episode_id, _first, _target: the first turn, and the one a fault strikes."""
     bounds = timings.groupBy("episode_id").agg(F.array_sort(F.collect_set(F.when(F.col("turn_idx") < 2, F.col("turn_idx")))).alias("_two"),
                                                F.min("turn_idx").alias("_first"), F.count("*").alias("_n"))
     target = F.when(F.col("_n") > 1, F.coalesce(F.get("_two", F.lit(1)), F.col("_first"))).otherwise(F.col("_first"))
-    mark = bounds.select("episode_id", "_first", target.alias("_target"))
+    return bounds.select("episode_id", "_first", target.alias("_target"))
+
+
+def mutate_timeline(timings, audio, frames, pitch, rate):
+    """(timings, audio, frames, pitch), each once clean and once per fault, keyed by ``kind``."""
+    mark = _targets(timings)
     head = timings.join(mark, "episode_id").filter(F.col("turn_idx") == F.col("_first")).select("episode_id", F.col("end_ms").alias("_head_end"))
     span = timings.join(mark, "episode_id").filter(F.col("turn_idx") == F.col("_target")).select(
         "episode_id", F.floor(F.col("start_ms") / 1000 * rate).alias("_f0"), F.ceil(F.col("end_ms") / 1000 * rate).alias("_f1"))
@@ -270,7 +275,11 @@ def mutate_timeline(timings, audio, frames, pitch, rate):
 
 
 def detection(turns, timings, audio, frames, pitch, rate, episodes) -> DataFrame:
-    """Per episode and fault: was the named check clean before, and did it fail after."""
+    """Per episode and fault: was the named check clean before, and did it fail after.
+
+    An episode counts for a changed voice only where its voices can be told: the
+    changed turn and enough turns of its speaker have a floor.
+    """
     variant = F.concat_ws("|", "episode_id", "kind")
     keyed = lambda df: df.withColumn("episode_id", variant).drop("kind")
     t, a, f, p = (keyed(df) for df in mutate_timeline(timings, audio, frames, pitch, rate))
@@ -280,7 +289,12 @@ def detection(turns, timings, audio, frames, pitch, rate, episodes) -> DataFrame
     book = F.create_map(*[F.lit(x) for pair in AUDIO_MUTATIONS for x in pair])
     hit = rows.filter(F.col("check_id") == book[F.col("kind")]).select("episode_id", "kind", "check_id", (~F.col("passed")).alias("detected"))
     clean = rows.filter(F.col("kind") == CONTROL).select("episode_id", "check_id", F.col("passed").alias("clean"))
-    return hit.join(clean, ["episode_id", "check_id"])
+    floors = pitch_floor(pitch).filter(F.col("floor_hz").isNotNull())
+    told = floors.withColumn("n", F.count("*").over(Window.partitionBy("episode_id", "speaker"))).filter(F.col("n") >= VOICE_MIN_TURNS).join(
+        _targets(timings), "episode_id").filter(F.col("turn_idx") == F.col("_target"))
+    told = told.select(F.col("episode_id").cast("string").alias("episode_id"), F.lit("change-voice").alias("kind"), F.lit(True).alias("_told")).distinct()
+    return hit.join(clean, ["episode_id", "check_id"]).join(told, ["episode_id", "kind"], "left").filter(
+        (F.col("kind") != "change-voice") | F.col("_told")).drop("_told")
 
 
 def active_turn(points: DataFrame, timings: DataFrame, bucket_ms: int = 60_000) -> DataFrame:

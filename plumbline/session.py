@@ -26,15 +26,21 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session for tests and the bench; a cluster brings its own."""
+def build_session(master: str = "local[*]", shuffle_partitions: int = 8, shared: str | None = None) -> SparkSession:
+    """A local session for tests and the bench; a cluster brings its own.
+
+    ``shared`` is the folder for checkpoints and tables that a job writes on its way.
+    """
     builder = (
         SparkSession.builder.master(master)
         .appName("plumbline")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

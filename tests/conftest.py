@@ -4,8 +4,8 @@ from plumbline import build_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("local[4]", 4)
+def spark(tmp_path_factory):
+    session = build_session("local[4]", 4, str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 
