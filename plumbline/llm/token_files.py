@@ -24,7 +24,6 @@ from __future__ import annotations
 import json
 import re
 import struct
-import unicodedata
 import zlib
 
 import numpy as np
@@ -41,7 +40,7 @@ from plumbline.session import fresh_folder
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 BLOCK_IDS = 1 << 20
 #: Words and pieces a task remembers the ids of.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 _HEAD = struct.Struct("<4sQQQQ")
 
 
@@ -58,15 +57,17 @@ class Encoder:
     """Ids of texts by a tokenizer file whose tokens never span white space.
 
     Texts are cut at ASCII white space, which this tokenizer drops, and each
-    different word is encoded once. A word of plain letters, digits and signs is
-    cut into the pre-tokenizer's pieces here and each piece given to the model;
-    any other word goes through the whole tokenizer.
+    different word of a batch, told by a 64-bit hash, is looked up once. A new
+    word of plain letters, digits and signs is cut into the pre-tokenizer's
+    pieces here and each piece given to the model; any other word goes through
+    the whole tokenizer.
     """
 
     #: Fixed value: the pre-tokenizer's pattern.
     _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-    _PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-įĲ-ž]+")
-    _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^a-zß-öø-ž0-9]+")
+    #: Lines of plain words: each character is its own composed form and has one lower-case character.
+    _PLAIN = re.compile("[\n\x21-\x7eÀ-ÖØ-öø-įĲ-ž]*")
+    _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|\n|[^a-zß-öø-ž0-9\n]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -79,36 +80,66 @@ class Encoder:
         if [n["type"] for n in normal.get("normalizers", [])] != ["NFC", "Replace", "Lowercase"] or self._SPLIT not in json.dumps(cut, ensure_ascii=False):
             raise ValueError(f"{path} does not drop white space before it cuts words")
         self._level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words: dict[bytes, bytes] = {}
+        self.words: dict[int, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.type).tobytes()
 
     def _part(self, piece: str) -> bytes:
-        got = self.parts.get(piece)
-        if got is None:
-            shown = piece if piece.isascii() else self._level.pre_tokenize_str(piece)[0][0]
-            got = self._pack([t.id for t in self.model.tokenize(shown)])
-            if len(self.parts) < REMEMBERED:
-                self.parts[piece] = got
+        shown = piece if piece.isascii() else self._level.pre_tokenize_str(piece)[0][0]
+        got = self._pack([t.id for t in self.model.tokenize(shown)])
+        if len(self.parts) < REMEMBERED:
+            self.parts[piece] = got
         return got
 
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if "<|" not in text and self._PLAIN.fullmatch(text) and len(text) < 2000 and unicodedata.is_normalized("NFC", text):
-            return b"".join(map(self._part, self._PIECES.findall(text.lower())))
-        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def encode(self, texts: W.Texts) -> list[bytes]:
-        """The packed ids of each text."""
-        raw = [texts.data[a:z].tobytes().split() for a, z in zip(texts.offsets[:-1], texts.offsets[1:])]
-        if len(self.words) > REMEMBERED:
-            self.words = {}
-        known = self.words
-        for word in set().union(*raw) - known.keys():
-            known[word] = self._word(word)
-        return [b"".join([known[w] for w in words]) for words in raw]
+    def _plain(self, lines: str) -> list[bytes]:
+        """The packed ids of each line of plain words."""
+        known, out, held = self.parts.get, [], []
+        for piece in self._PIECES.findall(lines.lower()):
+            if piece == "\n":
+                out.append(b"".join(held))
+                held.clear()
+            else:
+                held.append(known(piece) or self._part(piece))
+        out.append(b"".join(held))
+        return out
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        lines = b"\n".join(words).decode()
+        if "<|" not in lines and self._PLAIN.fullmatch(lines):
+            return self._plain(lines)
+        if len(words) == 1:
+            return [self._pack(self.tokenizer.encode(lines, add_special_tokens=False).ids)]
+        half = len(words) // 2
+        return self._words(words[:half]) + self._words(words[half:])
+
+    def encode(self, texts: W.Texts, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each followed by ``end_id`` if given, and their number in each text."""
+        words = W.find_words(texts)
+        marks, at, back = np.unique(W.hash_words(texts, words), return_index=True, return_inverse=True)
+        names, known = marks.tolist(), self.words
+        packed = list(map(known.get, names))
+        new = [i for i, got in enumerate(packed) if got is None]
+        if new:
+            raw, starts, ends = texts.data.tobytes(), words.start[at[new]].tolist(), words.end[at[new]].tolist()
+            for i, got in zip(new, self._words([raw[s:e] for s, e in zip(starts, ends)])):
+                packed[i] = got
+                if len(known) < REMEMBERED:
+                    known[names[i]] = got
+        order, counts = back, words.count
+        if end_id is not None:
+            order = np.insert(back, words.first[1:], len(packed))
+            packed.append(self._pack([end_id]))
+            counts = counts + 1
+        ids = np.frombuffer(b"".join(packed), self.type)
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.type.itemsize
+        begins = np.cumsum(sizes) - sizes
+        each = sizes[order]
+        run = np.concatenate(([0], np.cumsum(each)))
+        where = np.repeat(begins[order] - run[:-1], each) + np.arange(run[-1])
+        stop = np.cumsum(counts)
+        return ids[where], run[stop] - run[stop - counts]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -202,11 +233,13 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = END_ID)
         shard, out, coder = TaskContext.get().partitionId(), None, None
         n_docs = n_ids = pending = 0
         counts = None
-        ids, sizes, held = [], [], []
+        ids, sizes, held = [], [], []  # of the block at hand: document ids, ids of each, arrays of ids
 
         def flush():
             valid = np.array([d is not None for d in ids], np.uint8).tobytes()
-            packed = zstandard.ZstdCompressor(level=1).compress(b"".join(held))
+            values = np.concatenate(held)
+            counts[:] += np.bincount(values, minlength=coder.size)
+            packed = zstandard.ZstdCompressor(level=1).compress(values.tobytes())
             out.write(struct.pack("<QQQ", len(ids), len(packed), sum(sizes)) + valid + np.array([d or 0 for d in ids], "<i8").tobytes() + np.array(sizes, "<u8").tobytes() + packed)
             for x in (ids, sizes, held):
                 x.clear()
@@ -215,20 +248,17 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = END_ID)
             for part, texts in pieces(batch):
                 if out is None:
                     coder, out = encoder(path), AtomicFile(folder, f"raw-{shard}")
-                    counts, end = np.zeros(coder.size, np.int64), coder._pack([end_id])
-                for doc, packed in zip(part.column("doc_id").to_pylist(), coder.encode(texts)):
-                    held.append(packed + end)
-                    sizes.append(len(held[-1]) // coder.type.itemsize)
-                    ids.append(doc)
-                    n_docs, n_ids = n_docs + 1, n_ids + sizes[-1]
-                    pending += sizes[-1]
-                    if pending >= BLOCK_IDS:
-                        counts += np.bincount(np.frombuffer(b"".join(held), coder.type), minlength=coder.size)
-                        flush()
-                        pending = 0
+                    counts = np.zeros(coder.size, np.int64)
+                values, own = coder.encode(texts, end_id)
+                held.append(values)
+                sizes += own.tolist()
+                ids += part.column("doc_id").to_pylist()
+                n_docs, n_ids, pending = n_docs + len(own), n_ids + len(values), pending + len(values)
+                if pending >= BLOCK_IDS:
+                    flush()
+                    pending = 0
         if out is not None:
             if ids:
-                counts += np.bincount(np.frombuffer(b"".join(held), coder.type), minlength=coder.size)
                 flush()
             out.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": [n_docs], "n_ids": [n_ids], "counts": pa.array([counts.tobytes()], pa.binary())})
