@@ -61,6 +61,16 @@ def test_large_groups_are_let_out_in_parts(spark, monkeypatch):
     check(spark, [(k, edited(base, k, k % 5), None, None, None) for k in range(60)])
 
 
+def test_what_pivots_leave_is_compared_in_chunks(spark, monkeypatch):
+    """Without pivots, links away from a group's first member come from the comparison inside groups."""
+    monkeypatch.setattr(J, "ROUNDS", 0)
+    monkeypatch.setattr(J, "CHUNK", 7)
+    long = prose(8, 1400)
+    table = [(k, edited(long, k, 14 + k % 9), None, None, None) for k in range(12)]
+    table += [(100 + k, edited(prose(k % 2, 30), k, k % 4), None, None, None) for k in range(60)]
+    check(spark, table)
+
+
 def test_empty_table(spark):
     assert J.op3(spark.createDataFrame([], SCHEMA)).count() == 0
 
