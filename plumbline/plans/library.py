@@ -202,7 +202,7 @@ def _stream(spark, d):
 def stream_state(spark, d):
     events = _stream(spark, d)
     shaped = _events_of(events)
-    state = sj.run_to_table(sj.job_state(shaped), "complete", "job-state")
+    state = sj.run_to_table(sj.job_state(shaped), "update", "job-state", ["job_id"])
     return state.select("job_id", "stage", "percent", "input_tokens", F.round("usd", 6).alias("usd"), "events")
 
 
@@ -216,7 +216,7 @@ def _events_of(events):
 
 def stream_windows(spark, d):
     counted = sj.event_windows(_events_of(_stream(spark, d)), "1 day", "2 hours")
-    return _stamp(sj.run_to_table(counted, "complete", "windows"), "window_start")
+    return _stamp(sj.run_to_table(counted, "update", "windows", ["window_start", "stage"]), "window_start")
 
 
 def stream_admit(spark, d):

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from plumbline.operators import jobs as jb
 from plumbline.session import fresh_folder
@@ -101,14 +102,23 @@ def visible_text(whole: str, field: str) -> str | None:
     return json.loads(f'"{m.group(1)}"', strict=False) if m else None
 
 
-def run_to_table(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run what is there through a stream and read back the table it wrote."""
+def run_to_table(stream: DataFrame, mode: str, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Run what is there through a stream and read back the table it wrote.
+
+    In update mode a batch writes only the keys it changed, into a folder of its
+    own that a repeated batch replaces; the table holds the latest row of each key.
+    """
     spark = stream.sparkSession
     out, marks = fresh_folder(spark, name), fresh_folder(spark, name + "-marks")
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", marks)
     if mode == "append":
-        query = stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", marks)
+        query = query.format("parquet").option("path", out)
     else:
-        query = stream.writeStream.outputMode(mode).option("checkpointLocation", marks).foreachBatch(
-            lambda df, _: df.write.mode("overwrite").parquet(out))
+        query = query.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}"))
     query.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(out)
+    written = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(out)
+    rest = [c for c in stream.columns if c not in keys]
+    latest = written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
+    return latest.select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in stream.columns])
