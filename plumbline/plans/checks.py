@@ -9,8 +9,19 @@ from plumbline.plans import sqltext as sq
 from plumbline.sources import tables as tb
 
 
+KINDS = [ck.CONTROL] + [k for k, _ in ck.MUTATIONS]
+
+
+def _faulty(spark, d):
+    """The conversations, nine in ten with one of the injected faults, and some with a speaker that does not exist."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("episode_id") % len(KINDS)).cast("int") + 1)
+    stranger = (F.col("episode_id") % 7 == 3) & (F.col("turn_idx") == 1)
+    return ck.mutate(tb.turns(spark, d)).filter(F.col("kind") == kind).select(
+        "episode_id", "turn_idx", F.when(stranger, "announcer").otherwise(F.col("speaker")).alias("speaker"), "text")
+
+
 def _args(spark, d):
-    return tb.turns(spark, d), tb.episodes(spark, d), tb.papers(spark, d)
+    return _faulty(spark, d), tb.episodes(spark, d), tb.papers(spark, d)
 
 
 def _check(fn):
@@ -39,7 +50,7 @@ def mutated(spark, d):
 
 
 def matrix(spark, d):
-    return ck.detection_rate(ck.detection(*_args(spark, d)))
+    return ck.detection_rate(ck.detection(tb.turns(spark, d), tb.episodes(spark, d), tb.papers(spark, d)))
 
 
 def append(spark, d):
@@ -77,7 +88,28 @@ QUERIES = {
 }
 
 EPISODES = "episodes AS (SELECT DISTINCT conv_id AS episode_id, conv_id AS paper_id, conv_id % 5 + 1 AS minutes FROM conversations)"
-BASE = f"{sq.TURNS}, {EPISODES}"
+
+
+def _say(kind):
+    return "'" + ck.SAID[kind].replace("'", "''") + "'"
+
+
+_NUMBER = "\\b\\d[\\d,]*(?:\\.\\d+)?\\b"
+_KINDS = ", ".join(f"'{k}'" for k in KINDS)
+#: The faults on table ``said``, each row with its ``kind``.
+_FACTS = f"""SELECT episode_id, max(turn_idx) AS last, coalesce(min(turn_idx) FILTER (regexp_matches(text, '{_NUMBER}')), 0) AS num, min_by(speaker, turn_idx) AS opener FROM said GROUP BY 1"""
+_SPEAKER = "CASE WHEN kind = 'break-alternation' AND turn_idx = 1 THEN opener ELSE speaker END"
+_TEXT = f"""CASE WHEN kind = 'swap-number' AND turn_idx = num THEN CASE WHEN regexp_matches(text, '{_NUMBER}') THEN regexp_replace(text, '{_NUMBER}', '8317') ELSE text || {_say('swap-number')} END
+        WHEN kind = 'fabricate-entity' AND turn_idx = least(1, last) THEN text || {_say('fabricate-entity')} WHEN kind = 'claim-authorship' AND turn_idx = least(1, last) THEN text || {_say('claim-authorship')}
+        WHEN kind = 'add-honorific' AND turn_idx = 0 THEN text || {_say('add-honorific')} WHEN kind = 'claim-expertise' AND turn_idx = 0 THEN text || {_say('claim-expertise')}
+        WHEN kind = 'invent-show-name' AND turn_idx = 0 THEN {_say('invent-show-name')} || text WHEN kind = 'address-by-name' AND turn_idx = last THEN {_say('address-by-name')} || text
+        ELSE text END"""
+_SAID = sq.TURNS.replace("turns AS", "said AS", 1)
+_FAULTY = f"""{_SAID}, facts AS ({_FACTS}),
+    marked AS (SELECT *, list_extract([{_KINDS}], CAST(episode_id % {len(KINDS)} AS INTEGER) + 1) AS kind FROM said JOIN facts USING (episode_id)),
+    turns AS (SELECT episode_id, turn_idx, CASE WHEN episode_id % 7 = 3 AND turn_idx = 1 THEN 'announcer' ELSE {_SPEAKER} END AS speaker, {_TEXT} AS text
+      FROM marked WHERE kind <> 'truncate-dialogue' OR turn_idx < 3)"""
+BASE = f"{_FAULTY}, {EPISODES}"
 FORMATS = """formats AS (SELECT episode_id, count(*) AS turns, count(*) FILTER (speaker = 'narrator') AS narrated FROM turns GROUP BY 1)"""
 
 
@@ -116,6 +148,10 @@ once AS (SELECT episode_id, word, lower, stem, min(turn_idx * 1000000 + si * 100
 _NUM = "\\d[\\d,]*(?:\\.\\d+)?"
 _B = "(?:^|[^A-Za-z0-9_])"
 
+_AUTHOR = " || ".join(f"regexp_extract_all(text, '(?i){_B}({p})', 1)" for p in (
+    "we\\s+(?:found|showed|built|designed|proposed?|developed|implemented|evaluated|introduced?)\\b",
+    "our\\s+(?:approach|methods?|experiments|system|paper|architecture|design|results|work|model)\\b", "in our\\s+\\w+"))
+
 ORACLE = {
     "c1_schema": _result(f"WITH {BASE}, off AS (SELECT episode_id, turn_idx AS a, 0 AS b, coalesce(speaker, '') AS what FROM turns WHERE coalesce(speaker NOT IN ('host', 'guest', 'narrator'), true) OR text IS NULL)", "schema", "error"),
     "c2_alternation": _result(f"""WITH {BASE}, {FORMATS},
@@ -140,7 +176,8 @@ ORACLE = {
         SELECT *, regexp_extract_all(text, '{_B}((?:Dr\\.|Prof\\.|Professor|PhD|Ph\\.D\\.)\\s*[A-Z]?)', 1) AS h FROM turns)),
         off AS (SELECT hit.* FROM hit JOIN episodes USING (episode_id) LEFT JOIN documents d ON d.doc_id = paper_id WHERE NOT coalesce(contains(lower(text), lower(what)), false))""", "honorifics", "error"),
     "c7_expertise": _regex("claimed-expertise", "(?i)" + _B + "((?:expert|specialist|authority|researcher)\\s+(?:in|on)\\s+[a-z])", group=1),
-    "c8_impersonation": _regex("author-impersonation", "(?i)" + _B + "(we\\s+(?:found|showed|built|designed|proposed?|developed|implemented|evaluated|introduced?)|our\\s+(?:approach|methods?|experiments|system|paper|architecture|design|results|work|model)|in our\\s+\\w+)(?:[^A-Za-z0-9_]|$)", group=1),
+    "c8_impersonation": _result(f"""WITH {BASE}, hit AS (SELECT episode_id, turn_idx AS a, unnest(range(len(h))) AS b, unnest(h) AS what FROM (SELECT *, {_AUTHOR} AS h FROM turns)),
+        off AS (SELECT episode_id, a, min(b) AS b, what FROM hit GROUP BY 1, 2, 4)""", "author-impersonation", "error"),
     "c9_direct_address": _result(f"""WITH {BASE}, {LEX}, hit AS (SELECT episode_id, turn_idx AS a, unnest(range(len(h))) AS b, unnest(h) AS what FROM (
         SELECT *, regexp_extract_all(text, '{_B}(?i:thanks|thank you|so|well|right|okay|ok|yes|and|but|now)\\s*,\\s*([A-Z][\\w''’-]*)', 1) AS h FROM turns)),
         off AS (SELECT hit.* FROM hit JOIN episodes e USING (episode_id) WHERE NOT EXISTS (SELECT 1 FROM lexicon l WHERE l.paper_id = e.paper_id AND l.word = lower(what)))""", "no-names", "error"),
@@ -180,19 +217,5 @@ ORACLE["c13_compliance"] = f"""SELECT episode_id, count(*) FILTER (NOT passed AN
     count(*) FILTER (NOT passed AND severity = 'warning') AS warnings, round(avg(CAST(passed AS INTEGER)), 6) AS compliance FROM ({_UNION}) GROUP BY 1"""
 
 
-def _say(kind):
-    return "'" + ck.SAID[kind].replace("'", "''") + "'"
-
-
-_NUMBER = "\\b\\d[\\d,]*(?:\\.\\d+)?\\b"
-_KINDS = ", ".join(f"'{k}'" for k in [ck.CONTROL] + [k for k, _ in ck.MUTATIONS])
-ORACLE["c14_mutate"] = f"""WITH {sq.TURNS},
-    f AS (SELECT episode_id, max(turn_idx) AS last, coalesce(min(turn_idx) FILTER (regexp_matches(text, '{_NUMBER}')), 0) AS num, min_by(speaker, turn_idx) AS opener FROM turns GROUP BY 1),
-    e AS (SELECT *, unnest([{_KINDS}]) AS kind FROM turns JOIN f USING (episode_id))
-    SELECT episode_id, kind, turn_idx, CASE WHEN kind = 'break-alternation' AND turn_idx = 1 THEN opener ELSE speaker END AS speaker,
-      md5(CASE WHEN kind = 'swap-number' AND turn_idx = num THEN CASE WHEN regexp_matches(text, '{_NUMBER}') THEN regexp_replace(text, '{_NUMBER}', '8317') ELSE text || {_say('swap-number')} END
-        WHEN kind = 'fabricate-entity' AND turn_idx = least(1, last) THEN text || {_say('fabricate-entity')} WHEN kind = 'claim-authorship' AND turn_idx = least(1, last) THEN text || {_say('claim-authorship')}
-        WHEN kind = 'add-honorific' AND turn_idx = 0 THEN text || {_say('add-honorific')} WHEN kind = 'claim-expertise' AND turn_idx = 0 THEN text || {_say('claim-expertise')}
-        WHEN kind = 'invent-show-name' AND turn_idx = 0 THEN {_say('invent-show-name')} || text WHEN kind = 'address-by-name' AND turn_idx = last THEN {_say('address-by-name')} || text
-        ELSE text END) AS text_md5
-    FROM e WHERE kind <> 'truncate-dialogue' OR turn_idx < 3"""
+ORACLE["c14_mutate"] = f"""WITH {_SAID}, facts AS ({_FACTS}), marked AS (SELECT *, unnest([{_KINDS}]) AS kind FROM said JOIN facts USING (episode_id))
+    SELECT episode_id, kind, turn_idx, {_SPEAKER} AS speaker, md5({_TEXT}) AS text_md5 FROM marked WHERE kind <> 'truncate-dialogue' OR turn_idx < 3"""

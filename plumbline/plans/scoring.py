@@ -7,6 +7,7 @@ from plumbline.operators import checks as ck
 from plumbline.operators import scoring as sc
 from plumbline.plans import sqltext as sq
 from plumbline.plans.checks import ORACLE as CHECK_ORACLE
+from plumbline.plans.checks import _args as check_inputs
 from plumbline.sources import tables as tb
 
 
@@ -107,7 +108,7 @@ def leaderboard(spark, d):
     runs = eps.join(lang, "paper_id").select(F.col("episode_id").alias("run_id"), "paper_id", "generator", F.lit("en").alias("judge"))
     scores = sc.faithfulness(_episode_verdicts(spark, d), "episode_id").withColumnRenamed("episode_id", "run_id")
     covered = coverage(spark, d).withColumnRenamed("paper_id", "run_id")
-    checks = ck.run_checks(tb.turns(spark, d), eps, tb.papers(spark, d)).withColumnRenamed("episode_id", "run_id")
+    checks = ck.run_checks(*check_inputs(spark, d)).withColumnRenamed("episode_id", "run_id")
     costs = sc.cost(_usage(spark, d)).groupBy((F.col("event_id") % 100).alias("run_id")).agg(F.round(F.sum("usd"), 6).alias("usd"))
     return sc.leaderboard(runs, scores, covered, checks, costs)
 
