@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import lexicons as lx
 from plumbline.functions import segments as sg
 from plumbline.functions import text as tx
+from plumbline.session import cut_lineage
 
 CHARS_PER_MINUTE = 1_100
 COLLAPSED, SHORT = 0.7, 0.85
@@ -234,7 +235,8 @@ ALL_CHECKS = [
 
 
 def run_checks(turns: DataFrame, episodes: DataFrame, papers: DataFrame, checks=None) -> DataFrame:
-    """All registered checks as one table."""
+    """All registered checks as one table. The turns are settled once for all of them."""
+    turns = cut_lineage(turns)
     return reduce(DataFrame.unionByName, [c(turns, episodes, papers) for c in (checks or ALL_CHECKS)])
 
 

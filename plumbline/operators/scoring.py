@@ -51,11 +51,16 @@ def faithfulness(verdicts: DataFrame, *keys: str) -> DataFrame:
 
 
 def coverage(papers: DataFrame, results: DataFrame) -> DataFrame:
-    """Share of each paper's contributions conveyed; NULL where none is annotated."""
-    n = results.groupBy("paper_id").agg(F.count("*").alias("expected"), count_if(F.col("mentioned")).alias("hit"))
+    """Share of each paper's contributions conveyed, NULL where none is annotated, and which were and were not.
+
+    ``results``: paper_id, contribution, mentioned. A paper's contributions are a short list.
+    """
+    listed = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("contribution"))))
+    n = results.groupBy("paper_id").agg(F.count("*").alias("expected"), count_if(F.col("mentioned")).alias("hit"),
+                                        listed(F.col("mentioned")).alias("hits"), listed(~F.col("mentioned")).alias("missed"))
     return papers.select("paper_id").join(n, "paper_id", "left").select(
         "paper_id", F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("hit", F.lit(0)).alias("hit"),
-        F.round(F.col("hit") / F.col("expected"), 6).alias("coverage"),
+        F.round(F.col("hit") / F.col("expected"), 6).alias("coverage"), "hits", "missed",
     )
 
 

@@ -8,7 +8,9 @@ from plumbline.operators import scoring as sc
 from plumbline.plans import sqltext as sq
 from plumbline.plans.checks import ORACLE as CHECK_ORACLE
 from plumbline.plans.checks import _args as check_inputs
+from plumbline.session import fresh_folder
 from plumbline.sources import tables as tb
+from plumbline.sources.library import export_eval
 
 
 def claims(spark, d):
@@ -30,12 +32,13 @@ def faithfulness(spark, d):
 
 
 def _coverage_results(spark, d):
-    return tb.table(spark, d, "labels").select(F.floor(F.col("doc_id") / 10).alias("paper_id"), "doc_id", (F.col("quality") == 1).alias("mentioned"))
+    return tb.table(spark, d, "labels").select(F.floor(F.col("doc_id") / 10).alias("paper_id"), F.col("doc_id").alias("contribution"), (F.col("quality") == 1).alias("mentioned"))
 
 
 def coverage(spark, d):
     papers = tb.table(spark, d, "documents").select(F.floor(F.col("doc_id") / 10).alias("paper_id")).distinct()
-    return sc.coverage(papers, _coverage_results(spark, d))
+    shown = lambda c: F.coalesce(F.array_join(c, ","), F.lit("")).alias(c)
+    return sc.coverage(papers, _coverage_results(spark, d)).select("paper_id", "expected", "hit", "coverage", shown("hits"), shown("missed"))
 
 
 def failures(spark, d):
@@ -113,6 +116,14 @@ def leaderboard(spark, d):
     return sc.leaderboard(runs, scores, covered, checks, costs)
 
 
+def exported(spark, d):
+    """The leaderboard as JSON lines, read back."""
+    rows = leaderboard(spark, d)
+    path = fresh_folder(spark, "leaderboard")
+    export_eval(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
 def usage(spark, d):
     return sc.sum_usage(_usage(spark, d), ["input_tokens", "output_tokens", "cache_read_tokens"], "model")
 
@@ -148,7 +159,7 @@ def errors(spark, d):
 QUERIES = {
     "e1_join_verdicts": claims, "e2_faithfulness": faithfulness, "e3_coverage": coverage, "e4_failures": failures,
     "e5_best_round": best, "e6_effective_rounds": effective, "e7_review": review, "e8_violations": violations,
-    "e9_judge_variance": variance, "e9_gap_decides": decides, "e10_cost": cost, "e11_leaderboard": leaderboard,
+    "e9_judge_variance": variance, "e9_gap_decides": decides, "e10_cost": cost, "e11_leaderboard": leaderboard, "s10_export_eval": exported,
     "e12_usage": usage, "e12_usage_known": usage_known, "e13_truncated": truncated, "e14_triage": triage,
     "e15_attempts": attempts, "e16_errors": errors,
 }
@@ -179,7 +190,8 @@ ORACLE = {
         SELECT episode_id, claim_index, turn_idx, verdict, evidence, specific FROM c JOIN v USING (episode_id, claim_index)""",
     "e2_faithfulness": f"WITH {sq.VERDICTS} SELECT paper_id, {_FAITH} FROM verdicts GROUP BY 1",
     "e3_coverage": """SELECT p.paper_id, count(l.doc_id) AS expected, count(*) FILTER (quality = 1) AS hit,
-        CASE WHEN count(l.doc_id) > 0 THEN round(count(*) FILTER (quality = 1) / count(l.doc_id), 6) END AS coverage
+        CASE WHEN count(l.doc_id) > 0 THEN round(count(*) FILTER (quality = 1) / count(l.doc_id), 6) END AS coverage,
+        coalesce(string_agg(l.doc_id, ',' ORDER BY l.doc_id) FILTER (quality = 1), '') AS hits, coalesce(string_agg(l.doc_id, ',' ORDER BY l.doc_id) FILTER (quality <> 1), '') AS missed
         FROM (SELECT DISTINCT doc_id // 10 AS paper_id FROM documents) p LEFT JOIN labels l ON l.doc_id // 10 = p.paper_id GROUP BY 1""",
     "e4_failures": f"WITH {sq.VERDICTS} SELECT * FROM verdicts WHERE verdict = 'contradicted' OR (verdict = 'unsupported' AND specific)",
     "e5_best_round": f"""WITH {_ROUNDS}, r AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY failures, faithfulness DESC, round) AS n, min(round) OVER (PARTITION BY episode_id) AS f FROM rounds)
@@ -225,3 +237,4 @@ ORACLE["e11_leaderboard"] = f"""WITH {sq.VERDICTS}, {_COST},
     SELECT r.run_id, r.run_id AS paper_id, lang AS generator, 'en' AS judge, faithfulness, hallucination, coverage, compliance, g.errors, failing, usd, lang = 'en' AS self_judged
     FROM (SELECT DISTINCT conv_id AS run_id FROM conversations) r JOIN documents ON doc_id = r.run_id LEFT JOIN f ON f.run_id = r.run_id LEFT JOIN cov ON cov.paper_id = r.run_id
     LEFT JOIN g ON g.run_id = r.run_id LEFT JOIN u ON u.run_id = r.run_id"""
+ORACLE["s10_export_eval"] = ORACLE["e11_leaderboard"]
