@@ -219,3 +219,14 @@ ORACLE["c13_compliance"] = f"""SELECT episode_id, count(*) FILTER (NOT passed AN
 
 ORACLE["c14_mutate"] = f"""WITH {_SAID}, facts AS ({_FACTS}), marked AS (SELECT *, unnest([{_KINDS}]) AS kind FROM said JOIN facts USING (episode_id))
     SELECT episode_id, kind, turn_idx, {_SPEAKER} AS speaker, md5({_TEXT}) AS text_md5 FROM marked WHERE kind <> 'truncate-dialogue' OR turn_idx < 3"""
+# Every episode once per fault: ten times its id and the fault's place, so that the checks' own SQL runs on all of them.
+_EVERY = f"""{_SAID}, facts AS ({_FACTS}),
+    marked AS (SELECT *, list_extract([{_KINDS}], CAST(kn + 1 AS INTEGER)) AS kind FROM (SELECT *, unnest(range({len(KINDS)})) AS kn FROM said JOIN facts USING (episode_id))),
+    turns AS (SELECT episode_id * {len(KINDS)} + kn AS episode_id, turn_idx, {_SPEAKER} AS speaker, {_TEXT} AS text FROM marked WHERE kind <> 'truncate-dialogue' OR turn_idx < 3),
+    episodes AS (SELECT DISTINCT conv_id * {len(KINDS)} + kn AS episode_id, conv_id AS paper_id, conv_id % 5 + 1 AS minutes FROM conversations, range({len(KINDS)}) AS k(kn))"""
+_BOOK = ", ".join(f"({k + 1}, '{kind}', '{check}')" for k, (kind, check) in enumerate(ck.MUTATIONS))
+ORACLE["c14_detection_rate"] = f"""WITH r AS ({_UNION.replace(BASE, _EVERY)}), book(kn, kind, check_id) AS (VALUES {_BOOK}),
+    d AS (SELECT kind, r.check_id, CAST(c.passed AS INTEGER) AS clean, 1 - CAST(r.passed AS INTEGER) AS detected FROM r
+      JOIN book ON r.episode_id % {len(KINDS)} = kn AND r.check_id = book.check_id
+      JOIN r AS c ON c.episode_id = r.episode_id - r.episode_id % {len(KINDS)} AND c.check_id = r.check_id)
+    SELECT kind, check_id, CAST(sum(clean) AS BIGINT) AS clean_controls, CAST(sum(clean * detected) AS BIGINT) AS caught, round(avg(detected) FILTER (clean = 1), 6) AS rate FROM d GROUP BY 1, 2"""
