@@ -18,6 +18,7 @@ from plumbline.plans import parsing as pq
 from plumbline.plans import sqltext as sq
 from plumbline.plans.jobs import ORACLE as JOB_ORACLE
 from plumbline.plans.jobs import _costed, _stamp
+from plumbline.plans.timeline import _TIME
 from plumbline.session import cut_lineage, fresh_folder
 from plumbline.sources import library as lb
 from plumbline.sources import tables as tb
@@ -81,13 +82,14 @@ def embedded(spark, d):
 def fixtures(spark, d):
     """Conversations written as fixture files and read back in file order."""
     path = fresh_folder(spark, "fixtures")
-    t = tb.turns(spark, d)
-    opening = t.filter("turn_idx = 0").select(
+    told = tb.turns(spark, d).groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("turn_idx", "speaker", "text"))).alias("turns"))
+    whole = told.select(
         F.concat(F.lit("fx-"), "episode_id").alias("id"), F.col("episode_id").cast("string").alias("paperId"), F.lit("captured").alias("description"),
         F.struct(F.lit(0.7).alias("minFaithfulness")).alias("expectation"),
-        F.struct(F.lit("").alias("summary"), F.array(F.struct("speaker", "text")).alias("turns")).alias("episode"))
-    opening.write.json(path)
-    return lb.read_fixtures(spark, path, one_per_file=False).select("id", "paperId", F.col("expectation.minFaithfulness").alias("bound"), F.size("episode.turns").alias("turns"))
+        F.struct(F.lit("").alias("summary"), F.transform("turns", lambda t: F.struct(t["speaker"], t["text"])).alias("turns")).alias("episode"))
+    whole.write.json(path)
+    return lb.read_fixtures(spark, path, one_per_file=False).select("id", "paperId", F.col("expectation.minFaithfulness").alias("bound"), F.size("episode.turns").alias("turns"),
+        F.md5(F.array_join(F.transform("episode.turns", lambda t: F.concat(t["speaker"], F.lit(" "), t["text"])), "\n")).alias("turns_md5"))
 
 
 def annotated(spark, d):
@@ -308,7 +310,10 @@ ORACLE = {
     "s3_delete": f"WITH {_REC} SELECT id, turnCount FROM rec WHERE id NOT IN (SELECT 'ep-' || doc_id FROM labels WHERE toxic = 1)",
     "s4_save_table": f"WITH {_REC} SELECT id, turnCount FROM rec WHERE turnCount > 3",
     "s5_cache_split": f"SELECT doc_id, {_KEY} AS key, {_KEY} IN (SELECT {_KEY} FROM documents JOIN embeddings ON vec_id = doc_id) AS hit FROM documents",
-    "s6_fixtures": "SELECT 'fx-' || conv_id AS id, conv_id::VARCHAR AS \"paperId\", 0.7::DOUBLE AS bound, 1 AS turns FROM conversations WHERE turn = 0",
+    "s6_fixtures": """SELECT 'fx-' || conv_id AS id, conv_id::VARCHAR AS "paperId", 0.7::DOUBLE AS bound, count(*)::INTEGER AS turns,
+        md5(string_agg(CASE role WHEN 'user' THEN 'host' WHEN 'assistant' THEN 'guest' ELSE 'narrator' END || ' ' || text, chr(10) ORDER BY turn)) AS turns_md5 FROM conversations GROUP BY conv_id""",
+    "s5_embed": f"SELECT doc_id, CASE WHEN {_KEY} IN (SELECT {_KEY} FROM documents JOIN embeddings ON vec_id = doc_id) THEN 64 ELSE 1 END AS dims FROM documents",
+    "s10_timings": f"WITH {_TIME} SELECT t.episode_id, t.turn_idx, chunks, md5(text) AS text_md5 FROM timings t JOIN turns USING (episode_id, turn_idx)",
     "s7_annotations": "SELECT 'doc-' || d.doc_id || '' AS paper_id, CASE WHEN l.doc_id IS NULL THEN '' WHEN quality = 1 THEN 'good,checked' ELSE 'checked' END AS contributions FROM documents d LEFT JOIN labels l USING (doc_id)",
     "s8_available": "SELECT doc_id AS paper_id, lang FROM documents SEMI JOIN labels USING (doc_id)",
     "s9_span_log": f"""WITH {sq.SPANS} SELECT span_id AS "spanId", parent_id AS "parentSpanId", name, round(duration_ms, 2) AS "durationMs", CASE WHEN name = 'error' THEN 'error' ELSE 'ok' END AS status,
