@@ -9,10 +9,11 @@ bit-wise parity sketch bounds the symmetric difference from below by its
 Hamming distance and drops candidates; the rest are verified on the sets.
 
 No pair within a group of candidates is emitted that is not needed. First every
-member meets the group's first member. The verified links give components. Only
-groups that still hold several components are compared inside, across
-components, and only what passes the sketch bound comes out; a few pairs between two
-components are verified first, and the remaining ones if those failed.
+member meets the group's first member. The verified links give components. In
+groups that still hold several components, members meet a few pivots of other
+components, round by round, as one link joins two whole components. What is
+still apart then is compared inside the group, across components, and only what
+passes the sketch bound comes out.
 
 Blocks without a shingle are no evidence and emit nothing. A band has a few
 blocks more than it needs; a document with more empty blocks than that emits
@@ -43,9 +44,10 @@ from plumbline.llm.common import keep_table, map_texts, pieces
 
 SHINGLE, PERCENT = 4, 85
 BAND_RATIO, SEEDS = 1.3, 3
-SKETCH_BITS = 256
-#: Pairs first verified between two components of a group; members of a group compared in one task.
-FIRST_PAIRS, CHUNK = 4, 2048
+#: Bits of the sketch that joins compare; a larger set also has one of FULL_BITS bits or more per shingle.
+SKETCH_BITS, FULL_BITS = 1024, 4
+#: Rounds of pivots, and pivots of a group in a round; members of a group compared in one task.
+ROUNDS, PIVOTS, CHUNK = 1, 3, 2048
 #: Bits of the filter for the texts worth fetching; it has a fixed size and only ever lets too much pass.
 FILTER_BITS = 1 << 23
 _REMEMBERED = 1 << 18
@@ -79,12 +81,34 @@ def signatures(grams: np.ndarray, first: np.ndarray):
         one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         np.add.at(one, owner, grams)
         np.bitwise_xor.at(two, owner, W.mix(grams + np.uint64(0x5851F42D4C957F2D)))
-    bit = (grams >> np.uint64(17)).astype(np.int64) & (SKETCH_BITS - 1)
+    bit = _places(grams) & (SKETCH_BITS - 1)
     odd = np.bincount(owner * SKETCH_BITS + bit, minlength=n * SKETCH_BITS) & 1
     sketch = np.packbits(odd.astype(np.uint8).reshape(n, SKETCH_BITS), axis=1).view(np.uint64) if n else np.zeros((0, SKETCH_BITS // 64), np.uint64)
     return one, two, sketch
 
 
+def _places(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(17)).astype(np.int64)
+
+
+def full_sketch(grams: np.ndarray) -> bytes | None:
+    """The parity sketch of a set too large for the short one; its size is a power of two, so sketches fold onto each other."""
+    if len(grams) <= SKETCH_BITS:
+        return None
+    bits = 1 << (FULL_BITS * len(grams) - 1).bit_length()
+    odd = np.bincount(_places(grams) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """Hamming distance of two full sketches, the longer folded onto the shorter."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 # ---- bands ------------------------------------------------------------------
 
 def reach(size: int, percent: int = PERCENT) -> int:
@@ -158,17 +182,18 @@ def block_keys(grams: np.ndarray, first: np.ndarray, bands: Bands):
 # ---- jobs -------------------------------------------------------------------
 
 def signature_table(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (set digests), k0.. (parity sketch)."""
+    """doc_id, n_shingles, d1, d2 (set digests), k0.. (parity sketch), sketch (the full one of a large set)."""
     names = [f"k{i}" for i in range(SKETCH_BITS // 64)]
 
     def run(part, texts):
         grams, first = sets_of(texts, size)
         one, two, sketch = signatures(grams, first)
-        return {"doc_id": part.column("doc_id"), "n_shingles": np.diff(first), "d1": one.view(np.int64), "d2": two.view(np.int64)} | {
+        return {"doc_id": part.column("doc_id"), "n_shingles": np.diff(first), "d1": one.view(np.int64), "d2": two.view(np.int64),
+                "sketch": pa.array([full_sketch(grams[a:z]) for a, z in zip(first[:-1], first[1:])], pa.binary())} | {
             k: np.ascontiguousarray(sketch[:, i]).view(np.int64) for i, k in enumerate(names)}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_texts(docs, run, f"doc_id {kind}, n_shingles bigint, d1 bigint, d2 bigint, " + ", ".join(f"{k} bigint" for k in names))
+    return map_texts(docs, run, f"doc_id {kind}, n_shingles bigint, d1 bigint, d2 bigint, sketch binary, " + ", ".join(f"{k} bigint" for k in names))
 
 
 def key_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -287,11 +312,25 @@ def fetch_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return maybe.mapInArrow(keep, maybe.schema).drop("place").join(ids, "doc_id", "left_semi")
 
 
+def _short(signs: DataFrame) -> list[str]:
+    return [c for c in signs.columns if c[0] == "k"]
+
+
 def bounded(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and sketches allow a link."""
-    sketch = [c for c in signs.columns if c.startswith("k")]
-    side = lambda s: signs.select(F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in sketch])
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(may_link(sketch, percent)).select("a", "b").distinct()
+    short = _short(signs)
+    side = lambda s: signs.select(F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in short])
+    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(may_link(short, percent)).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+
+    def run(batches):
+        for batch in batches:
+            x, y = batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist()
+            most = (100 - percent) * (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()) // (100 + percent)
+            ok = [not p or not q or bits_apart(p, q) <= m for p, q, m in zip(x, y, most.tolist())]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return near.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def may_link(sketch: list[str], percent: int):
@@ -334,28 +373,89 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
     return held.mapInArrow(run, f"a {a}, b {a}")
 
 
-def across(groups: DataFrame, labels: DataFrame, signs: DataFrame, percent: int, done: DataFrame, first: int | None) -> DataFrame:
+def open_groups(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """grp, doc_id, component, n (members) of the groups that hold several components."""
+    named = groups.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    several = named.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
+    return keep_table(named.join(several.select("grp", "n"), "grp"), "jaccard-open")
+
+
+def at_pivots(members: DataFrame, done: DataFrame, seed: int) -> DataFrame:
+    """Unverified pairs (a, b) of members with a few of their group, of other components; pivots follow a hash of the round."""
+    ranked = members.groupBy("grp").agg(*[F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", "grp", F.lit(seed * PIVOTS + k))).alias(f"p{k}") for k in range(PIVOTS)])
+    met = members.join(ranked, "grp").select("doc_id", "component", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p")).filter(
+        F.col("component") != F.col("p.component"))
+    pairs = met.select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b")).distinct()
+    return pairs.join(done, ["a", "b"], "left_anti")
+
+
+def _near(rows: list[dict], names: list[str], percent: int, seen: set):
+    """Pairs of one group's members, of different components, that sizes and sketches allow."""
+    rows.sort(key=lambda r: r["n_shingles"])
+    size = np.array([r["n_shingles"] for r in rows])
+    part = [r["component"] for r in rows]
+    side = np.array([r["own"] for r in rows])
+    bits = np.array([[r[k] for k in names] for r in rows], np.int64).view(np.uint64)
+    crossing = len({(r["x"], r["y"]) for r in rows if r["x"] != r["y"]}) > 0
+    for i, r in enumerate(rows):
+        stop = int(np.searchsorted(size, reach(int(size[i]), percent), "right"))
+        if stop <= i + 1:
+            continue
+        most = (100 - percent) * (size[i] + size[i + 1:stop]) // (100 + percent)
+        ok = np.bitwise_count(bits[i + 1:stop] ^ bits[i]).sum(axis=1) <= most
+        if crossing:
+            ok &= side[i + 1:stop] != side[i]
+        for j in (np.flatnonzero(ok) + i + 1).tolist():
+            if part[j] == part[i]:
+                continue
+            pair = (min(r["doc_id"], rows[j]["doc_id"]), max(r["doc_id"], rows[j]["doc_id"]))
+            if pair in seen:
+                continue
+            if len(seen) >= _REMEMBERED:
+                seen.clear()
+            seen.add(pair)
+            if not r["sketch"] or not rows[j]["sketch"] or bits_apart(r["sketch"], rows[j]["sketch"]) <= most[j - i - 1]:
+                yield pair
+
+
+def across(members: DataFrame, signs: DataFrame, percent: int, done: DataFrame) -> DataFrame:
     """Unverified pairs (a, b) of a group whose documents stand in different components and may link.
 
-    ``first`` keeps so many pairs per group and two components. A group of more
-    than a chunk is compared chunk against chunk, in as many tasks.
+    Members stream by sorted by group and are compared by their sketches in the
+    task, which lets out only the pairs that pass. A group of more than a chunk
+    is compared chunk against chunk, in as many tasks.
     """
-    named = groups.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_ = named.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
+    names = _short(signs)
     parts = F.ceil(F.col("n") / CHUNK).cast("int")
-    members = named.join(open_.select("grp", "n"), "grp").join(signs, "doc_id").withColumn("parts", parts).withColumn(
+    spread = members.join(signs, "doc_id").withColumn("parts", parts).withColumn(
         "own", F.pmod(F.hash("doc_id"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = members.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-    sketch = [c for c in signs.columns if c.startswith("k")]
-    side = lambda s: members.select("grp", "x", "y", F.col("doc_id").alias(s), F.col("component").alias(f"c_{s}"), F.col("own").alias(f"own_{s}"),
-                                    F.col("n_shingles").alias(f"n_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in sketch])
-    met = side("a").join(side("b"), ["grp", "x", "y"]).filter(
-        (F.col("c_a") < F.col("c_b")) & ((F.col("x") == F.col("y")) | (F.col("own_a") != F.col("own_b"))) & may_link(sketch, percent))
-    pairs = met.select("grp", "c_a", "c_b", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(done, ["a", "b"], "left_anti")
-    if first:
-        nth = F.row_number().over(Window.partitionBy("grp", "c_a", "c_b").orderBy("a", "b"))
-        pairs = pairs.withColumn("nth", nth).filter(F.col("nth") <= first)
-    return pairs.select("a", "b").distinct()
+    spread = spread.select("grp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc_id", "component", "n_shingles", "sketch", *names)
+    kind = signs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        seen: set = set()
+        key, held = None, []
+        ids = None
+
+        def out():
+            pairs = list(_near(held, names, percent, seen)) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], ids) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            ids = batch.schema.field("doc_id").type
+            for row in batch.to_pylist():
+                here = row["grp"], row["x"], row["y"]
+                if here != key and key is not None:
+                    yield out()
+                    held.clear()
+                key = here
+                held.append(row)
+        if held:
+            yield out()
+
+    partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = spread.repartition(partitions, "grp", "x", "y").sortWithinPartitions("grp", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.distinct().join(done, ["a", "b"], "left_anti")
 
 
 def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -372,15 +472,18 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     sketches = signs.drop("d1", "d2").filter("n_shingles > 0 AND doc_id IS NOT NULL")
 
     ordered = lambda a, b: groups.filter(f"{a} <> {b}").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-    done = keep_table(bounded(ordered("doc_id", "center"), sketches, percent), "jaccard-pairs")
-    links = keep_table(verify(done, docs, size, percent), "jaccard-links")
+    done = keep_table(ordered("doc_id", "center"), "jaccard-pairs")
+    links = keep_table(verify(keep_table(bounded(done, sketches, percent), "jaccard-near"), docs, size, percent), "jaccard-links")
     edge = lambda df: df.select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = connected_components(edge(links))
-    for first in (FIRST_PAIRS, None):
-        more = keep_table(across(groups.select("grp", "doc_id").distinct(), labels, sketches, percent, done, first), "jaccard-pairs")
+    grouped = groups.select("grp", "doc_id").distinct()
+    for k in range(ROUNDS + 1):
+        grouped = open_groups(grouped.select("grp", "doc_id"), labels)
+        found = at_pivots(grouped, done, k) if k < ROUNDS else across(grouped, sketches, percent, done)
+        more = keep_table(found, "jaccard-pairs")
         if more.isEmpty():
-            break
-        joined = keep_table(verify(more, docs, size, percent), "jaccard-links")
+            continue
+        joined = keep_table(verify(keep_table(bounded(more, sketches, percent), "jaccard-near"), docs, size, percent), "jaccard-links")
         links, done = links.unionByName(joined), done.unionByName(more)
         labels = connected_components(edge(links))
     ties = labels.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(
