@@ -149,14 +149,19 @@ def with_keys(concepts: DataFrame) -> DataFrame:
 def episode_concepts(concepts: DataFrame, names: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """One row per episode and canonical term: the strongest mention.
 
-    ``concepts``: episode_id, term, label, weight. ``limit`` keeps an episode's
-    strongest, as concept extraction does.
+    ``concepts``: episode_id, term, label, weight, and ``line``, the place of the
+    mention. The label is that of the strongest mention that outweighs all before
+    it and whose label spells the name. ``limit`` keeps an episode's strongest,
+    as concept extraction does.
     """
     keyed = (concepts if "key" in concepts.columns else with_keys(concepts)).filter(F.col("key") != "")
     if names is not None:
         keyed = keyed.join(names, "key", "left").withColumn("key", F.coalesce("name", "key")).drop("name")
-    spelt = F.when(F.col("label_key") == F.col("key"), F.col("label"))
-    merged = keyed.groupBy("episode_id", F.col("key")).agg(F.max("weight").alias("weight"), F.min(spelt).alias("label")).withColumnRenamed("key", "term")
+    before = Window.partitionBy("episode_id", "key").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    heaviest = F.max("weight").over(before)
+    told = keyed.withColumn("_tops", heaviest.isNull() | (F.col("weight") > heaviest))
+    spelt = F.when(F.col("_tops") & (F.col("label_key") == F.col("key")), F.struct("weight", "label"))
+    merged = told.groupBy("episode_id", F.col("key")).agg(F.max("weight").alias("weight"), F.max(spelt)["label"].alias("label")).withColumnRenamed("key", "term")
     if limit is None:
         return merged
     order = Window.partitionBy("episode_id").orderBy(F.desc("weight"), "term")
@@ -164,10 +169,11 @@ def episode_concepts(concepts: DataFrame, names: DataFrame | None = None, limit:
 
 
 def nodes(concepts: DataFrame, episodes: DataFrame) -> DataFrame:
-    """Episodes, distinct papers and summed weight of each term. ``episodes``: episode_id, paper_key."""
+    """Episodes, distinct papers and summed weight of each term, and its first label. ``episodes``: episode_id, paper_key."""
+    own = F.when(F.col("label") != F.col("term"), F.struct("episode_id", "label"))
     return concepts.join(episodes, "episode_id").groupBy("term").agg(
         F.count("*").alias("episodes"), F.countDistinct("paper_key").alias("papers"), F.round(F.sum("weight"), 6).alias("weight"),
-        F.coalesce(F.min("label"), F.first("term")).alias("label"))
+        F.coalesce(F.min(own)["label"], F.col("term")).alias("label"))
 
 
 def edges(concepts: DataFrame, episodes: DataFrame, terms: DataFrame | None = None) -> DataFrame:

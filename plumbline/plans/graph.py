@@ -195,8 +195,9 @@ def ckey(c):
 
 _LIB = f"""
 lib AS (SELECT l_orderkey AS episode_id, {ckey('p_name')} AS term, p_name AS label, l_discount AS weight, l_linenumber AS line, l_returnflag AS flag FROM lineitem JOIN part ON p_partkey = l_partkey),
-con AS (SELECT episode_id, term, max(weight) AS weight, min(CASE WHEN {ckey('label')} = term THEN label END) AS label FROM lib GROUP BY 1, 2),
-nodes AS (SELECT term, count(*) AS episodes, count(DISTINCT o_custkey) AS papers, round(sum(weight), 6) AS weight, coalesce(min(label), term) AS label FROM con JOIN orders ON o_orderkey = episode_id GROUP BY 1)"""
+tops AS (SELECT *, weight > coalesce(max(weight) OVER (PARTITION BY episode_id, term ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS top FROM lib),
+con AS (SELECT episode_id, term, max(weight) AS weight, first(label ORDER BY weight DESC) FILTER (top AND {ckey('label')} = term) AS label FROM tops GROUP BY 1, 2),
+nodes AS (SELECT term, count(*) AS episodes, count(DISTINCT o_custkey) AS papers, round(sum(weight), 6) AS weight, coalesce(min_by(label, episode_id) FILTER (label <> term), term) AS label FROM con JOIN orders ON o_orderkey = episode_id GROUP BY 1)"""
 _EDGES = """edges AS (SELECT x.term AS a, y.term AS b, count(*) AS episodes, count(DISTINCT o_custkey) AS papers FROM con x JOIN con y ON x.episode_id = y.episode_id AND x.term < y.term
   JOIN orders ON o_orderkey = x.episode_id GROUP BY 1, 2)"""
 _SIM = """p AS (SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 9) AS score FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id),
