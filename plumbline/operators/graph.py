@@ -199,8 +199,10 @@ def relations(stated: DataFrame, concepts: DataFrame, episodes: DataFrame, names
 
     ``stated``: episode_id, source, target, type, and maybe source_key and
     target_key where names were keyed before. Both ends must be concepts of the
-    episode; contrasts-with has no direction.
+    episode; contrasts-with has no direction. Where ``stated`` has explanation and
+    evidence, and the line of the statement, those of the first statement are kept.
     """
+    told = [c for c in ("explanation", "evidence") if c in stated.columns]
     key = lambda c: F.col(f"{c}_key") if f"{c}_key" in stated.columns else tx.concept_key(F.col(c))
     keyed = stated.withColumn("s", key("source")).withColumn("t", key("target"))
     if names is not None:
@@ -216,7 +218,8 @@ def relations(stated: DataFrame, concepts: DataFrame, episodes: DataFrame, names
     return both.join(episodes, "episode_id").groupBy(
         F.when(free, F.least("s", "t")).otherwise(F.col("s")).alias("source"),
         F.when(free, F.greatest("s", "t")).otherwise(F.col("t")).alias("target"), "type",
-    ).agg(F.countDistinct("episode_id").alias("episodes"), F.countDistinct("paper_key").alias("papers"))
+    ).agg(F.countDistinct("episode_id").alias("episodes"), F.countDistinct("paper_key").alias("papers"),
+          *[F.min_by(c, F.struct("episode_id", "line")).alias(c) for c in told])
 
 
 def shared(nodes: DataFrame) -> DataFrame:

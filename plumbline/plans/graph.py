@@ -98,7 +98,7 @@ def _relations(spark, d):
     one = c.groupBy("episode_id", "line").agg(F.min(F.struct("term", "key")).alias("n"), F.min("flag").alias("flag"))
     after = one.select("episode_id", (F.col("line") - 1).alias("line"), F.col("n.term").alias("target"), F.col("n.key").alias("target_key"))
     stated = one.join(after, ["episode_id", "line"]).select(
-        "episode_id", F.col("n.term").alias("source"), F.col("n.key").alias("source_key"), "target", "target_key",
+        "episode_id", "line", F.concat_ws(" to ", "n.term", "target").alias("explanation"), F.concat_ws(":", "episode_id", "line").alias("evidence"), F.col("n.term").alias("source"), F.col("n.key").alias("source_key"), "target", "target_key",
         F.when(F.col("flag") == "R", "contrasts-with").otherwise("builds-on").alias("type"))
     return gp.relations(stated, gp.episode_concepts(c), e.drop("created_at"))
 
@@ -241,10 +241,11 @@ ORACLE = {
     "k8_nodes": f"WITH {_LIB} SELECT * FROM nodes",
     "k9_edges": f"WITH {_LIB}, {_EDGES} SELECT * FROM edges",
     "k10_relations": f"""WITH {_LIB}, one AS (SELECT episode_id, line, min(label) AS label, min(flag) AS flag FROM lib GROUP BY 1, 2),
-        s AS (SELECT x.episode_id, {ckey('x.label')} AS s, {ckey('y.label')} AS t, CASE WHEN x.flag = 'R' THEN 'contrasts-with' ELSE 'builds-on' END AS type
+        s AS (SELECT x.episode_id, x.line, x.label || ' to ' || y.label AS explanation, {ckey('x.label')} AS s, {ckey('y.label')} AS t, CASE WHEN x.flag = 'R' THEN 'contrasts-with' ELSE 'builds-on' END AS type
               FROM one x JOIN one y ON y.episode_id = x.episode_id AND y.line = x.line + 1)
         SELECT CASE WHEN type = 'contrasts-with' THEN least(s, t) ELSE s END AS source, CASE WHEN type = 'contrasts-with' THEN greatest(s, t) ELSE t END AS target, type,
-          count(DISTINCT episode_id) AS episodes, count(DISTINCT o_custkey) AS papers FROM s JOIN orders ON o_orderkey = episode_id WHERE s <> t GROUP BY 1, 2, 3""",
+          count(DISTINCT episode_id) AS episodes, count(DISTINCT o_custkey) AS papers, min_by(explanation, (episode_id, line)) AS explanation,
+          min_by(episode_id || ':' || line, (episode_id, line)) AS evidence FROM s JOIN orders ON o_orderkey = episode_id WHERE s <> t GROUP BY 1, 2, 3""",
     "k11_shared": f"WITH {_LIB} SELECT * FROM nodes WHERE papers > 1",
     "k12_similar_pairs": f"WITH {_SIM} SELECT a, b, round(score, 6) AS score FROM sim",
     "k13_novel_pairs": f"WITH {_SIM} SELECT a, b, round(score, 6) AS score FROM sim WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE least(l_suppkey, l_partkey) = a AND greatest(l_suppkey, l_partkey) = b)",
