@@ -232,6 +232,19 @@ def stream_feed(spark, d):
     return sj.run_to_table(sj.progress_feed(events), "append", "feed").select("job_id", "event_id")
 
 
+def stream_visible(spark, d):
+    """Every turn sent as JSON in three pieces; what a reader sees of it at the end."""
+    raw = tb.table(spark, d, "conversations")
+    turns = sj.read_stream(spark, f"{d}/conversations*.parquet", raw.schema)
+    whole = F.to_json(F.struct(F.col("role").alias("kind"), F.coalesce("text", F.lit("")).alias("answer")))
+    third = F.ceil(F.length("json") / 3).cast("int")
+    parts = F.posexplode(F.array(*[F.substring(F.col("json"), F.lit(1) + third * k, third) for k in range(3)])).alias("seq", "content")
+    deltas = turns.select((F.col("conv_id") * 1000 + F.col("turn")).cast("bigint").alias("message_id"), whole.alias("json")).select(
+        "message_id", parts).withColumn("seq", F.col("seq").cast("bigint"))
+    shown = sj.run_to_table(sj.assemble(deltas, "answer"), "append", "visible")
+    return shown.groupBy("message_id").agg(F.max_by(F.length("visible"), "seq").alias("chars"))
+
+
 def resolved(spark, d):
     """Quotes found in the rendered papers, traced to their line of the document."""
     lines = pa.lines(tb.papers(spark, d))
@@ -294,7 +307,7 @@ QUERIES = {
     "s5_embed": embedded, "s6_fixtures": fixtures, "s7_annotations": annotated, "s8_available": present, "s9_span_log": span_log,
     "s10_timings": timing_export, "s11_backfill": backfill, "s12_once_per_key": once, "x1_dense_plugin": plugged, "x2_map_model": modelled,
     "x5_sentences": udtf_sentences, "x5_chunks": udtf_chunks, "x5_references": udtf_references, "r1_job_state_stream": stream_state,
-    "r6_event_windows_stream": stream_windows, "r5_admit_stream": stream_admit, "r3_progress_feed_stream": stream_feed,
+    "r6_event_windows_stream": stream_windows, "r5_admit_stream": stream_admit, "r3_progress_feed_stream": stream_feed, "r9_visible_stream": stream_visible,
     "g5_resolve": resolved, "g6_ground_turns": grounded, "g7_anchor_rate": anchors, "g8_dedupe_overlaps": overlaps,
     "g10_answer_grounding": answers, "g12_ground_concepts": ground_concepts, "g12_ground_relations": ground_relations,
 }
@@ -326,6 +339,7 @@ ORACLE = {
     "x5_sentences": f"SELECT paper_id, unnest(range(len(s))) AS sentence_no, md5(unnest(s)) AS sentence_md5 FROM (SELECT doc_id AS paper_id, {sq.spoken('text')} AS s FROM documents)",
     "r1_job_state_stream": JOB_ORACLE["r1_job_state"],
     "r3_progress_feed_stream": JOB_ORACLE["r3_progress_feed"],
+    "r9_visible_stream": "SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS message_id, length(coalesce(text, '')) AS chars FROM conversations",
     "r6_event_windows_stream": JOB_ORACLE["r6_event_windows"],
     "g7_anchor_rate": f"""WITH {gq._MENTION}, c AS (SELECT DISTINCT episode_id, turn_idx FROM said)
         SELECT t.episode_id, count(c.turn_idx) AS anchored, count(*) - count(c.turn_idx) AS unanchored FROM turns t LEFT JOIN c USING (episode_id, turn_idx) GROUP BY 1""",
