@@ -101,9 +101,11 @@ def thresholds(sized: DataFrame, repeats: int = REPEATS, weights=WEIGHTS) -> Dat
             state = state.drop("words")
     # All digits are fixed: one hash value is left, taken if that comes nearer to the budget.
     edge = state.select(F.col("source").alias("_s"), F.col("prefix"), (F.col("words") - F.col("rest") <= F.col("rest")).alias("take"))
-    return goal.join(edge, goal["source"].eqNullSafe(edge["_s"]), "left").select(
+    full = goal.join(edge, goal["source"].eqNullSafe(edge["_s"]), "left").select(
         F.col("source").alias("_source"), "source_size", "target", F.col("copies").alias("_copies"), F.col("rest").alias("_rest"),
         F.col("prefix").alias("_prefix"), F.col("take").alias("_take"))
+    # A table whose size Spark knows: while it is small, documents are not shuffled by source to meet it.
+    return keep_table(full, "mix-thresholds")
 
 
 def copies(hash_: Column) -> Column:
