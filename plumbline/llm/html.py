@@ -74,21 +74,18 @@ class Weights:
         return min(TAG_MOST, max(TAG_LEAST, self.tag.get(name, TAG_MOST)))
 
 
-def _raw_end(page: str, lower: str, name: str, at: int) -> tuple[int, int]:
-    """Where the text of a raw element ends, and where its end tag does."""
-    while (k := lower.find(f"</{name}", at)) >= 0:
-        after = lower[k + len(name) + 2:k + len(name) + 3]
-        if not after or after in " \t\n\r\f/>":
-            stop = lower.find(">", k)
-            return k, len(page) if stop < 0 else stop + 1
-        at = k + 2
-    return len(page), len(page)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
+
+
+def _raw_end(page: str, name: str, at: int) -> int:
+    """Where the end tag of a raw element ends; the end of the page if there is none."""
+    m = _RAW_END[name].search(page, at)
+    stop = page.find(">", m.end()) if m else -1
+    return len(page) if stop < 0 else stop + 1
 
 
 def events(page: str):
     """The page as a row of ("text", words so far joined), ("open", name, features, outside) and ("close", name)."""
-    # The letters of A to Z only, so that offsets stay the same.
-    lower = page.translate(_ASCII_LOWER)
     at = 0
     while at < len(page):
         k = page.find("<", at)
@@ -105,7 +102,7 @@ def events(page: str):
         name = m[2] or m[5]
         if not name:
             continue
-        name = name.translate(_ASCII_LOWER)
+        name = name.lower()
         if m[1] or m[4]:
             yield "close", name
             continue
@@ -120,7 +117,7 @@ def events(page: str):
                         features.append(f".{word}")
             outside = outside or bool(_HIDDEN.search(attributes))
         if name in RAW:
-            _, at = _raw_end(page, lower, name, at)
+            at = _raw_end(page, name, at)
             yield "lump", name
         elif name in VOID:
             yield "void", name
@@ -128,9 +125,6 @@ def events(page: str):
             yield "open", name, features, outside
 
 
-_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
-
-
 @dataclass
 class Element:
     name: str
