@@ -45,7 +45,7 @@ from plumbline.llm.common import keep_table, map_texts, pieces
 SHINGLE, PERCENT = 4, 85
 BAND_RATIO, SEEDS = 1.3, 3
 #: Bits of the sketch that joins compare; a larger set also has one of FULL_BITS bits or more per shingle.
-SKETCH_BITS, FULL_BITS = 1024, 4
+SKETCH_BITS, FULL_BITS = 512, 1
 #: Rounds of pivots, and pivots of a group in a round; members of a group compared in one task.
 ROUNDS, PIVOTS, CHUNK = 1, 3, 2048
 #: Bits of the filter for the texts worth fetching; it has a fixed size and only ever lets too much pass.
