@@ -1,9 +1,11 @@
 """Substring dedup by content-defined chunks.
 
 A gear hash rolls over the bytes of a text, and a cut lies where its lowest bits
-are zero. A cut depends on the last few bytes alone, so an insertion moves the
-cuts beside it and no others. The unit of comparison is a run of a few chunks
-between cuts, told by a 64-bit digest; runs whose digest occurs twice or more in
+are zero. Text of a short period has few hash values and often no such cut, so
+every window of ``MOST`` places without one is cut where its hash is least, at
+all such places: a period has the same cuts each time. A cut depends on the bytes
+near it alone, so an insertion moves the cuts beside it and no others. The unit of comparison is a run of a few chunks
+between cuts, or a whole text of fewer chunks, told by a 64-bit digest; runs whose digest occurs twice or more in
 the corpus are duplicate, and where they join to a passage of enough words, the
 passage is a repeat. A chance equality of digests covers one run, too few words
 to count.
@@ -29,8 +31,8 @@ from plumbline.llm.common import keep_table, map_texts
 
 #: A cut every 2 ** CUT_BITS bytes on average; chunks in a run; words of the least passage reported.
 CUT_BITS, RUN, MIN_WORDS = 4, 4, 28
-#: Bytes that a cut looks at.
-REACH = 16
+#: Bytes that a cut looks at; places of a window, a power of two, that holds a cut at least.
+REACH, MOST = 16, 32
 
 _GEAR = np.random.default_rng(77).integers(0, 1 << 63, 256, dtype=np.uint64)
 
@@ -48,23 +50,52 @@ def gear(data: np.ndarray) -> np.ndarray:
     return total >> np.uint64(REACH - 1)
 
 
+def _over(combine, values: np.ndarray) -> np.ndarray:
+    """``combine`` of each MOST values in a row."""
+    k = 1
+    while k < MOST:
+        values = combine(values[:-k], values[k:])
+        k *= 2
+    return values
+
+
+def _least(h: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Places where the hash is least in a window whose places all are ``low``: neither a cut nor barred."""
+    out = np.zeros(len(h), bool)
+    if len(h) < MOST:
+        return out
+    least = np.where(_over(np.logical_and, low), _over(np.minimum, h), 0)
+    # Of the windows around a place, none has a least hash above its own.
+    around = np.zeros(len(h) + MOST - 1, h.dtype)
+    around[MOST - 1:len(h)] = least
+    return low & (_over(np.maximum, around) == h)
+
+
 def chunks(texts: W.Texts) -> W.Words:
     """Byte spans of the chunks of each text. Cuts lie between characters."""
     n = len(texts.data)
     cut = np.zeros(n + 1, bool)
-    if n:
-        step = W.SLICE
-        for at in range(0, n, step):
-            a = max(0, at - REACH)
-            h = gear(texts.data[a:at + step])[at - a:]
-            cut[at + 1:at + 1 + len(h)] = h & np.uint64((1 << CUT_BITS) - 1) == 0
-        inside = np.flatnonzero(texts.data & 0xC0 == 0x80)
-        cut[inside] = False
-    # A hash that looks over the start of a text is no cut of its own.
     starts = texts.offsets[:-1][np.diff(texts.offsets) > 0]
-    for k in range(1, REACH):
-        near = starts + k
-        cut[near[near < n]] = False
+    step, halo = W.SLICE, REACH + MOST
+    for at in range(0, n, step):
+        a, z = max(0, at - halo), min(n, at + step + MOST)
+        # The hash before byte i stands at i - a; a place inside a character has the greatest hash.
+        h = np.zeros(z - a, np.uint64)
+        h[1:] = gear(texts.data[a:z - 1])
+        inside = texts.data[a:z] & 0xC0 == 0x80
+        mine = (h & np.uint64((1 << CUT_BITS) - 1) == 0) & ~inside
+        # A hash that looks over the start of a text, or of what was read, is no cut of its own.
+        near = starts[np.searchsorted(starts, a - REACH, "right"):np.searchsorted(starts, z)]
+        barred = np.zeros(z - a, bool)
+        barred[:REACH] = True
+        for k in range(REACH):
+            place = near + k - a
+            barred[place[(place >= 0) & (place < z - a)]] = True
+        mine &= ~barred
+        rank = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        rank[inside] = 0xFFFFFFFF
+        mine |= _least(rank, ~(mine | barred)) & ~inside
+        cut[at:min(n, at + step)] = mine[at - a:at - a + step]
     cut[starts] = True
     cut[n] = False
     at = np.flatnonzero(cut)
@@ -72,11 +103,19 @@ def chunks(texts: W.Texts) -> W.Words:
 
 
 def runs(texts: W.Texts):
-    """Digest, owner, start, end of every run of chunks."""
+    """Digest, owner, start, end of every run of chunks; a text of fewer chunks is one run."""
     found = chunks(texts)
-    hashes = W.hash_words(texts, found)
+    hashes, count, own = W.hash_words(texts, found), found.count, found.owner()
     grams, at = W.windows(hashes, found, RUN)
-    return grams, found.owner()[at], found.start[at], found.end[at + RUN - 1]
+    last = at + RUN - 1
+    for n in range(1, RUN):
+        if (count == n).any():
+            short, first = W.windows(hashes, found, n)
+            whole = count[own[first]] == n
+            grams, at, last = np.concatenate([grams, short[whole]]), np.concatenate([at, first[whole]]), np.concatenate([last, first[whole] + n - 1])
+    order = np.argsort(at, kind="stable")
+    grams, at, last = grams[order], at[order], last[order]
+    return grams, own[at], found.start[at], found.end[last]
 
 
 def run_digests(docs: DataFrame) -> DataFrame:

@@ -87,3 +87,36 @@ def test_digests_against_brute_force(spark):
 def test_empty_table(spark):
     assert S.op5(spark.createDataFrame([], SCHEMA)).count() == 0
     assert S.op5(documents(spark)).count() > 0
+
+
+PHRASES = ["no ", "click here ", "lorem ipsum dolor ", "нет ", "terms of use and privacy notice apply to this page\n"]
+
+
+def test_repeated_phrases_are_found(spark):
+    """Text of a short period, between other words in each document, and copies of texts with few chunks."""
+    r = random.Random(3)
+    unique = lambda n: " ".join("".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randrange(2, 10))) for _ in range(n))
+    passages = [p * -(-60 // len(p.split())) for p in PHRASES]
+    table = [(10 * d + k, f"{unique(20 + d)} {p} {unique(30)}", None, None, None) for d in range(3) for k, p in enumerate(passages)]
+    short = " ".join("abcdefghijklmnopqrstuvwxyzab")
+    table += [(100, short, None, None, None), (101, short, None, None, None)]
+    found = {}
+    for f in S.repeats(spark.createDataFrame(table, SCHEMA)).collect():
+        found.setdefault(f["doc_id"], []).append(f)
+    assert set(found) == {t[0] for t in table}
+    for doc_id, text, *_ in table:
+        at = text.encode().find(passages[doc_id % 10].encode()) if doc_id < 100 else 0
+        size = len(passages[doc_id % 10].encode()) if doc_id < 100 else len(short)
+        assert all(f["start"] >= at - 1 and f["end"] <= at + size + 1 for f in found[doc_id])
+        if 10 <= doc_id < 100 or doc_id == 101:
+            assert sum(c["end"] - c["start"] for f in found[doc_id] for c in f["removable"]) > 0.6 * size
+
+
+def test_every_window_holds_a_cut(monkeypatch):
+    texts = W.texts_of(pa.array([prose(2, 200), "", *[p * 60 for p in PHRASES], "x" * 500, prose(4, 3)]))
+    c = S.chunks(texts)
+    assert (c.end - c.start).max() < S.REACH + S.MOST + 4
+    for size in (61, 97, 1000):
+        monkeypatch.setattr(W, "SLICE", size)
+        again = S.chunks(texts)
+        assert (again.start == c.start).all() and (again.end == c.end).all()
