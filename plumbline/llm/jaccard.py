@@ -466,8 +466,12 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     # Copies of a set: one row each set, whatever the copies.
     sets = signs.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*alike).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copies = keep_table(signs.join(sets.filter("copies > 1"), alike).select("doc_id", "rep").filter("doc_id <> rep").distinct(), "jaccard-copies")
-    found = candidate_groups(key_rows(docs, size, percent))
-    rep = lambda df, c: df.join(copies.select(F.col("doc_id").alias(c), F.col("rep").alias("_rep")), c, "left").withColumn(c, F.coalesce("_rep", c)).drop("_rep")
+    # A document of several sets keeps its name: its other sets are no copies of the first one's.
+    differ = " OR ".join(f"lo_{c} <> hi_{c}" for c in alike)
+    several = signs.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(*[f(c).alias(f"{side}_{c}") for c in alike for f, side in ((F.min, "lo"), (F.max, "hi"))]).filter(differ)
+    renamed = keep_table(copies.join(several, "doc_id", "left_anti"), "jaccard-renamed")
+    found = candidate_groups(key_rows(docs.filter("doc_id IS NOT NULL"), size, percent))
+    rep = lambda df, c: df.join(renamed.select(F.col("doc_id").alias(c), F.col("rep").alias("_rep")), c, "left").withColumn(c, F.coalesce("_rep", c)).drop("_rep")
     groups = keep_table(rep(rep(found, "doc_id"), "center").distinct(), "jaccard-groups")
     sketches = signs.drop("d1", "d2").filter("n_shingles > 0 AND doc_id IS NOT NULL")
 

@@ -105,3 +105,20 @@ def test_sketch_bounds_difference():
     _, _, sketch = J.signatures(grams, first)
     a, b = set(grams[:first[1]].tolist()), set(grams[first[1]:].tolist())
     assert sum(bin(int(x)).count("1") for x in sketch[0] ^ sketch[1]) <= len(a ^ b)
+
+
+def test_rows_without_an_id_hide_no_links(spark):
+    """One task meets a row without an id first, then its copy, whose near copies must still be met."""
+    table = [(None, prose(40, 90), None, None, None), (7, prose(40, 90), None, None, None), (3, edited(prose(40, 90), 1, 1), None, None, None)]
+    got = J.op3(spark.createDataFrame(table, SCHEMA).coalesce(1)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=repr) == brute(table)
+    assert {c for d, _, c in got if d} == {3}
+
+
+def test_a_document_of_several_texts_has_the_links_of_all(spark):
+    """One text is a copy of another document; near copies of the other texts are linked as well."""
+    row = lambda doc_id, text: (doc_id, text, None, None, None)
+    one, two, three = prose(50, 80), prose(51, 110), prose(52, 70)
+    table = [row(1, one), row(5, one), row(5, two), row(3, edited(two, 2, 2)), row(4, edited(one, 3, 1))]
+    table += [row(10, three), row(12, three), row(12, prose(53, 60)), row(11, edited(prose(53, 60), 4, 1)), row(12, ""), row(13, three), row(14, edited(three, 5, 1))]
+    check(spark, table)
