@@ -17,13 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm import decontam, jaccard, mixing, quality, token_files
 from plumbline.llm.common import keep_table, table
 
+#: Near copies of the pipeline: words of a shingle, least similarity; those of op3 are its query's own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.deduplicated(docs)
+    return jaccard.deduplicated(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import corpus_pipeline
 from plumbline.llm import mixing, quality
 from plumbline.llm.common import table
+from tests.llm.helpers import SCHEMA, edited, prose
 from tests.llm.test_jaccard import brute as brute_groups
 from tests.llm.test_token_files import brute as brute_tokens
 from tests.llm.test_token_files import tokenizer  # noqa: F401
@@ -90,3 +91,17 @@ def test_mix_against_sorting(spark, docs):
     assert mixing.op10(docs.limit(0)).count() == 0
     weights = mixing.mixed(docs).groupBy("doc_id").count().agg({"count": "max"}).first()[0]
     assert weights >= 1
+
+
+def test_near_copies_are_told_by_five_words_and_80_percent(spark, sf):
+    texts = [prose(k, 300) for k in range(4)]
+    texts += [" ".join(t.split()[:n]) for t, n in zip(texts, (255, 250, 242, 230))] + [edited(texts[3], 7, 6), edited(texts[2], 8, 14)]
+    sets = [{" ".join(w[i:i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    up = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 80 * len(a | b):
+                up = [min(up[i], up[j]) if u in (up[i], up[j]) else u for u in up]
+    docs = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], SCHEMA)
+    assert {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, sf).collect()} == set(up)
+    assert {4, 5, 6} & set(up) == set()
