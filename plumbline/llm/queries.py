@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from plumbline.llm import decontam, html, jaccard, mixing, pii, quality, rules, substring, token_files, warc
+from plumbline.llm import alignment, decontam, html, jaccard, mixing, packing, pii, quality, rules, substring, token_files, warc
 from plumbline.llm.common import table
 
 
@@ -22,6 +22,8 @@ QUERIES = {
     "op8_token_files": _docs(token_files.op8),
     "op9_warc": lambda spark, sf_dir: warc.op9(table(spark, sf_dir, "pages")),
     "op10_mixing": _docs(mixing.op10),
+    "op11_alignment": _docs(alignment.op11),
+    "op13_packing": _docs(packing.op13),
     "pipeline": corpus_pipeline.run,
 }
 
