@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from plumbline.llm import alignment, decontam, html, jaccard, mixing, packing, pii, quality, rules, substring, token_files, warc
+from plumbline.llm import alignment, decontam, html, jaccard, merkle, mixing, packing, pii, quality, rules, substring, token_files, warc
 from plumbline.llm.common import table
 
 
@@ -23,6 +23,7 @@ QUERIES = {
     "op9_warc": lambda spark, sf_dir: warc.op9(table(spark, sf_dir, "pages")),
     "op10_mixing": _docs(mixing.op10),
     "op11_alignment": _docs(alignment.op11),
+    "op12_merkle": _docs(merkle.op12),
     "op13_packing": _docs(packing.op13),
     "pipeline": corpus_pipeline.run,
 }
@@ -32,4 +33,5 @@ ORACLE = {
     "op6_decontamination": decontam.SQL,
     "op9_warc": warc.SQL,
     "op10_mixing": mixing.SQL,
+    "op12_merkle": merkle.SQL,
 }
