@@ -9,7 +9,14 @@ Scores are log odds learned from labelled pages: those whose author marked the
 content with ``article`` or ``main``. Counts are taken over all pages, without
 the blocks that are left out anyway, and the marks are no feature of them, so a page
 without marks is read in the same way. On a page with marks, words outside them
-score below zero.
+score below zero. Features are hashed into a table of fixed size, so none is cut and
+the table does not grow with the pages; two features of one place share a score.
+
+An element is left out by its name, by its role, or by a class or id that says so,
+with all it holds: a mark inside it counts for nothing, unless it is a menu that is
+never closed. Inside a mark only whole class names count, an id counts on plain
+containers alone, and on sections only where it names reader comments: ids of
+headings, paragraphs and sections are made from what they say.
 
 Defined results: a NULL or empty page has an empty text, as has one without a
 word that scores above zero; a page of any length is read whole; repeated rows
@@ -23,6 +30,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -42,6 +50,12 @@ OUTSIDE_HINTS = {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrum
                  "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "popup", "modal", "newsletter", "subscribe", "signup", "comment",
                  "comments", "disqus", "respond", "replies", "share", "sharing", "social", "related", "recommended", "widget", "toolbar", "pagination", "pager", "skip", "search", "login", "contentinfo", "complementary"}
 CONTENT = {"article", "main"}
+#: Ids that name reader comments even on a section of the content.
+COMMENT_IDS = {"comment", "comments", "disqus", "respond", "replies"}
+#: First parts of a name whose header is that of the content.
+OF_CONTENT = {"page", "post", "article", "entry", "content", "story", "main", "body", "title"}
+#: Elements whose id is made from their words, and those of them that hold others.
+TITLED = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "section"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small",
           "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "input"}
@@ -55,7 +69,8 @@ WORD_BASE, WORD_LIMIT, TAG_LEAST, TAG_MOST = 0.5, 3.0, -3.0, -0.02
 #: Fixed scores: a word of a block that is left out, the least of such a block, a word of a link, a word outside an author's mark.
 OUTSIDE_SCORE, OUTSIDE_LEAST, LINK_SCORE, UNMARKED = -0.25, -0.75, -1.0, -0.5
 SMOOTH = 5
-MIN_WORDS, MAX_FEATURES = 50, 10_000
+#: Places of the table of features, for words and for tags each.
+PLACES = 1 << 16
 
 _TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:-->|\Z))|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -63,15 +78,22 @@ _HIDDEN = re.compile(r"""(?:^|[\s"'])hidden(?:$|[\s=/])|aria-hidden\s*=\s*["']?t
 _HINT = re.compile(r"[a-z]+")
 
 
+def place(feature: str) -> int:
+    return zlib.crc32(feature.encode()) % PLACES
+
+
 @dataclass
 class Weights:
-    """Log odds of a word by the element features around it, and of a tag by its name."""
+    """Log odds of a word by the element features around it, and of a tag by its name, each by its place."""
+
+    word: dict[int, float] = field(default_factory=dict)
+    tag: dict[int, float] = field(default_factory=dict)
 
-    word: dict[str, float] = field(default_factory=dict)
-    tag: dict[str, float] = field(default_factory=dict)
+    def of_word(self, features: list[str]) -> float:
+        return sum([self.word.get(place(f), 0.0) for f in features]) if self.word else 0.0
 
     def of_tag(self, name: str) -> float:
-        return min(TAG_MOST, max(TAG_LEAST, self.tag.get(name, TAG_MOST)))
+        return min(TAG_MOST, max(TAG_LEAST, self.tag.get(place(name), TAG_MOST)))
 
 
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
@@ -85,7 +107,7 @@ def _raw_end(page: str, name: str, at: int) -> int:
 
 
 def events(page: str):
-    """The page as a row of ("text", words so far joined), ("open", name, features, outside) and ("close", name)."""
+    """The page as a row of ("text", words so far joined), ("open", name, features, outside, outside in content) and ("close", name)."""
     at = 0
     while at < len(page):
         k = page.find("<", at)
@@ -107,22 +129,54 @@ def events(page: str):
             yield "close", name
             continue
         attributes = m[3] or m[6] or ""
-        features, outside = [name], name in OUTSIDE or name in RAW
+        features, outside, inner = [name], name in OUTSIDE or name in RAW, name in OUTSIDE or name in RAW
         if attributes:
             for a in _ATTRIBUTE.finditer(attributes):
                 kind, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
                 for word in value.split():
-                    outside = outside or not OUTSIDE_HINTS.isdisjoint(_HINT.findall(word)) and name not in ("body", "html", *CONTENT)
+                    loose, strict = hinted(name, kind, word)
+                    outside, inner = outside or loose, inner or strict
                     if kind != "id":
                         features.append(f".{word}")
-            outside = outside or bool(_HIDDEN.search(attributes))
+            if _HIDDEN.search(attributes):
+                outside = inner = True
         if name in RAW:
             at = _raw_end(page, name, at)
             yield "lump", name
         elif name in VOID:
             yield "void", name
         else:
-            yield "open", name, features, outside
+            yield "open", name, features, outside, inner
+
+
+def hinted(name: str, kind: str, word: str) -> tuple[bool, bool]:
+    """Whether a word of a class, id or role leaves an element out: outside a mark, and inside one."""
+    if name in ("body", "html", "main"):
+        return False, False
+    whole, parts = word in OUTSIDE_HINTS, _HINT.findall(word)
+    if kind == "id" and name in TITLED:
+        told = name == "section" and word in COMMENT_IDS
+        return told or whole and name == "section", told
+    loose = whole or not OUTSIDE_HINTS.isdisjoint(parts) and name not in TITLED and name != "article" and not (parts[-1] == "header" and parts[0] in OF_CONTENT)
+    return loose, whole
+
+
+def never_closed(rows: list) -> set[int]:
+    """Places in the row of elements that are opened and never closed by an end tag of their own."""
+    stack, names, out = [], Counter(), set()
+    for i, (kind, name, *_) in enumerate(rows):
+        if kind == "open":
+            stack.append((i, name))
+            names[name] += 1
+            out.add(i)
+        elif kind == "close" and names[name] > 0:
+            while stack:
+                at, gone = stack.pop()
+                names[gone] -= 1
+                if gone == name:
+                    out.discard(at)
+                    break
+    return out
 
 
 @dataclass
@@ -132,11 +186,19 @@ class Element:
     outside: bool
     content: bool
     score: float = 0.0
+    open_end: bool = False
+    #: Where in the stack the outermost element that is left out stands.
+    left_at: int = 0
+    above: Element | None = None
+    #: Words in it, inside and outside a mark, while weights are learned.
+    words: list[int] = field(default_factory=lambda: [0, 0])
 
 
 def walk(page: str, weights: Weights | None = None):
     """Blocks and tags in page order: ("tag", name, element) and ("block", words, words of links, element)."""
-    score = weights.word if weights else {}
+    weights = weights or Weights()
+    rows = list(events(page))
+    unclosed = never_closed(rows)
     stack, open_names, held = [Element("", [], False, False, WORD_BASE)], Counter(), []
 
     def pop():
@@ -155,14 +217,14 @@ def walk(page: str, weights: Weights | None = None):
             depth -= 1
         return ("block", words, min(links, len(words)), stack[depth]) if words else None
 
-    for kind, name, *rest in events(page):
+    for i, (kind, name, *rest) in enumerate(rows):
         if kind == "text":
             held.append((name, open_names["a"] > 0))
             continue
         if kind == "lump":
             yield "tag", name, stack[-1]
             continue
-        if name not in INLINE or kind == "open" and rest[1] or kind == "close" and stack[-1].outside and stack[-1].name == name:
+        if name not in INLINE or kind == "open" and rest[2 if stack[-1].content else 1] or kind == "close" and stack[-1].outside and stack[-1].name == name:
             if (b := block()):
                 yield b
         if kind == "void":
@@ -176,14 +238,17 @@ def walk(page: str, weights: Weights | None = None):
                 if depth > 0 and stack[depth].name in ends:
                     while len(stack) > depth:
                         pop()
-            if name in CONTENT and not stack[-1].content:
-                # A menu or notice left open does not swallow the content.
-                while stack[-1].outside:
-                    pop()
+            if name in CONTENT and stack[-1].outside and not stack[-1].content:
+                # A menu or notice that is never closed does not swallow the content.
+                depth = stack[-1].left_at
+                if name == "main" or stack[depth].open_end:
+                    while len(stack) > depth:
+                        pop()
             above = stack[-1]
-            outside = above.outside or rest[1] or name == "header" and not above.content
-            gain = sum(score.get(f, 0.0) for f in rest[0])
-            element = Element(name, rest[0], outside, above.content or name in CONTENT, max(-WORD_LIMIT, min(WORD_LIMIT, above.score + gain)))
+            outside = above.outside or (rest[2] if above.content else rest[1] or name == "header")
+            content = above.content or name in CONTENT and not outside
+            element = Element(name, rest[0], outside, content, max(-WORD_LIMIT, min(WORD_LIMIT, above.score + weights.of_word(rest[0]))), i in unclosed,
+                              above.left_at if above.outside else len(stack), above)
             yield "tag", name, element
             stack.append(element)
             open_names[name] += 1
@@ -227,49 +292,55 @@ def extract(page: str | None, weights: Weights) -> str:
 
 
 def feature_counts(page: str | None) -> Counter:
-    """(kind, feature, inside content) of a labelled page: words by feature, and tags."""
+    """(kind, place of the feature, inside content) of a labelled page: words by the features of all elements around them, and tags."""
     out = Counter()
     rows = list(walk(page or ""))
     if not any(r[-1].content for r in rows):
         return out
+    around: dict[int, Element] = {}  # in the order they open
     for what, value, *rest in rows:
         element = rest[-1]
         if element.outside:
             continue
         if what == "tag":
-            out["tag", value, element.content] += 1
+            out["tag", place(value), element.content] += 1
+            around[id(element)] = element
         else:
-            for f in element.features:
+            element.words[not element.content] += len(value)
+    for element in reversed(around.values()):
+        for k, n in enumerate(element.words):
+            if element.above:
+                element.above.words[k] += n
+            for f in element.features if n else ():
                 if f not in CONTENT:
-                    out["word", f, element.content] += len(value)
+                    out["word", place(f), not k] += n
     return out
 
 
 def weights_of(counts) -> Weights:
-    """Weights from (kind, feature, count inside, count outside)."""
+    """Weights from (kind, place, count inside, count outside)."""
     out = Weights()
-    for kind, feature, n_in, n_out in counts:
+    for kind, at, n_in, n_out in counts:
         odds = math.log((n_in + SMOOTH) / (n_out + SMOOTH))
-        (out.word if kind == "word" else out.tag)[feature] = max(-WORD_LIMIT, min(WORD_LIMIT, odds))
+        (out.word if kind == "word" else out.tag)[at] = max(-WORD_LIMIT, min(WORD_LIMIT, odds))
     return out
 
 
 def learn(pages: DataFrame) -> Weights:
-    """Weights from all labelled pages. Features seen with few words are left out, and the most frequent kept."""
+    """Weights from all features of all labelled pages; a table of at most twice ``PLACES`` rows comes to the driver."""
     def run(batches):
         held = Counter()
         for batch in batches:
             for page in batch.column("html").to_pylist():
                 held.update(feature_counts(page))
         keys = sorted(held)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-                                          pa.array([k[2] for k in keys], pa.bool_()), pa.array([held[k] for k in keys], pa.int64())], ["kind", "feature", "inside", "n"])
-
-    counts = pages.select("html").mapInArrow(run, "kind string, feature string, inside boolean, n bigint")
-    both = counts.groupBy("kind", "feature").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("n_in"),
-                                                 F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("n_out"))
-    known = F.col("n_in") + F.col("n_out")
-    return weights_of(both.filter(known >= MIN_WORDS).orderBy(known.desc(), "kind", "feature").limit(MAX_FEATURES).collect())
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
+                                          pa.array([k[2] for k in keys], pa.bool_()), pa.array([held[k] for k in keys], pa.int64())], ["kind", "place", "inside", "n"])
+
+    counts = pages.select("html").mapInArrow(run, "kind string, place int, inside boolean, n bigint")
+    both = counts.groupBy("kind", "place").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("n_in"),
+                                               F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("n_out"))
+    return weights_of(both.collect())
 
 
 def main_texts(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
