@@ -99,7 +99,7 @@ class Aligner(Memory):
         raw = b"".join([self.HEAD, *units])
         text, sides = raw.decode(), []
         for tokens in (self.a, self.b):
-            ids = tokens.ids(text)
+            ids = tokens.ids([text])[0]
             if b"".join([tokens.bytes[i] for i in ids.tolist()]) != raw:
                 return None
             ends = np.cumsum(tokens.lengths[ids])

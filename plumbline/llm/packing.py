@@ -29,25 +29,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import pieces
-from plumbline.llm.units import ByteTokens, Memory, blocks, find_units, vocabulary
+from plumbline.llm.units import ByteTokens, Packed, blocks, vocabulary
 
 TOKENIZER, END_ID, CAPACITY = "byte_bpe_50k.json", 0, 1024
 
 
-class Encoder(Memory):
+class Encoder(Packed):
     """Packed ids of units."""
 
     def __init__(self, path: str):
         super().__init__()
         self.tokens = ByteTokens(path, special_as_text=False)
         self.type = np.dtype("<u2" if len(self.tokens.bytes) <= 1 << 16 else "<u4")
-        self.packed: list[bytes] = []
-        self.known = [self.packed]
 
     def learn(self, new: list[bytes]) -> None:
         out: list[bytes] = [b""] * len(new)
-        for block in blocks(new):
-            ids = self.tokens.ids(b"".join(new[i] for i in block).decode())
+        held = blocks(new)
+        for block, ids in zip(held, self.tokens.ids([b"".join([new[i] for i in block]).decode() for block in held])):
             ends = np.searchsorted(np.cumsum(self.tokens.lengths[ids]), np.cumsum([len(new[i]) for i in block])) + 1
             raw, begin = ids.astype(self.type).tobytes(), 0
             for i, end in zip(block, (ends * self.type.itemsize).tolist()):
@@ -55,16 +53,6 @@ class Encoder(Memory):
                 begin = end
         self.packed += out
 
-    def encode(self, texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, each followed by ``end_id``, and their number in each text."""
-        units = find_units(texts)
-        numbers = self.look_up(texts, units).tolist()
-        stop, packed, end = units.first.tolist(), self.packed, np.array([end_id], self.type).tobytes()
-        each = [b"".join([packed[i] for i in numbers[a:z]]) + end for a, z in zip(stop[:-1], stop[1:])]
-        sizes = np.fromiter(map(len, each), np.int64, len(each)) // self.type.itemsize
-        self.forget()
-        return np.frombuffer(b"".join(each), self.type), sizes
-
 
 _encoders: dict[str, Encoder] = {}
 
@@ -133,6 +121,7 @@ def packed(docs: DataFrame, path: str | None = None, end_id: int = END_ID, capac
         for batch in batches:
             for part, texts in pieces(batch):
                 values, sizes = encoder(path).encode(texts, end_id)
+                values = values.astype("<u4")
                 begins = np.cumsum(sizes) - sizes
                 for length, (rows, start) in cut(sizes, capacity).items():
                     if len(rows):
@@ -141,14 +130,14 @@ def packed(docs: DataFrame, path: str | None = None, end_id: int = END_ID, capac
             yield from table.to_batches()
 
     def columns(doc_ids, values, sizes, begins, rows, start, length):
-        at = begins[rows] + start
-        own = values[at[:, None] + np.arange(length)].astype("<u4")
+        at, raw = begins[rows] + start, memoryview(values).cast("B")
         out = {
             "doc_id": doc_ids.take(pa.array(rows)), "start": pa.array(start, pa.int64()), "length": pa.array(np.full(len(rows), length), pa.int64()),
-            "ids_crc32": pa.array([zlib.crc32(r) for r in own], pa.int64()), "doc_tokens": pa.array(sizes[rows], pa.int64()),
+            "ids_crc32": pa.array([zlib.crc32(raw[a:a + 4 * length]) for a in (4 * at).tolist()], pa.int64()), "doc_tokens": pa.array(sizes[rows], pa.int64()),
         }
         if ids:
-            out["ids"] = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * length, pa.int32()), pa.array(own.astype(np.int32).ravel()))
+            own = values[at[:, None] + np.arange(length)].astype(np.int32).ravel()
+            out["ids"] = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * length, pa.int32()), pa.array(own))
         return pa.table(out)
 
     shown = ", ids array<int>" if ids else ""

@@ -35,11 +35,12 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import words as W
 from plumbline.llm.common import AtomicFile, exists, keep_table, open_file, pieces, remove
+from plumbline.llm.units import Packed
 from plumbline.session import fresh_folder
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 BLOCK_IDS = 1 << 20
-#: Words and pieces a task remembers the ids of.
+#: Pieces of words a worker remembers the ids of.
 REMEMBERED = 600_000
 _HEAD = struct.Struct("<4sQQQQ")
 
@@ -53,16 +54,17 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
+class Encoder(Packed):
     """Ids of texts by a tokenizer file whose tokens never span white space.
 
     Texts are cut at ASCII white space, which this tokenizer drops, and each
-    different word of a batch, told by a 64-bit hash, is looked up once. A new
+    different word, told by its bytes, is encoded once. A new
     word of plain letters, digits and signs is cut into the pre-tokenizer's
     pieces here and each piece given to the model; any other word goes through
     the whole tokenizer.
     """
 
+    find = staticmethod(W.find_words)
     #: Fixed value: the pre-tokenizer's pattern.
     _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
     #: Lines of plain words: each character is its own composed form and has one lower-case character.
@@ -70,6 +72,7 @@ class Encoder:
     _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|\n|[^a-zß-öø-ž0-9\n]+")
 
     def __init__(self, path: str):
+        super().__init__()
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -80,7 +83,6 @@ class Encoder:
         if [n["type"] for n in normal.get("normalizers", [])] != ["NFC", "Replace", "Lowercase"] or self._SPLIT not in json.dumps(cut, ensure_ascii=False):
             raise ValueError(f"{path} does not drop white space before it cuts words")
         self._level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words: dict[int, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
@@ -114,32 +116,8 @@ class Encoder:
         half = len(words) // 2
         return self._words(words[:half]) + self._words(words[half:])
 
-    def encode(self, texts: W.Texts, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, each followed by ``end_id`` if given, and their number in each text."""
-        words = W.find_words(texts)
-        marks, at, back = np.unique(W.hash_words(texts, words), return_index=True, return_inverse=True)
-        names, known = marks.tolist(), self.words
-        packed = list(map(known.get, names))
-        new = [i for i, got in enumerate(packed) if got is None]
-        if new:
-            raw, starts, ends = texts.data.tobytes(), words.start[at[new]].tolist(), words.end[at[new]].tolist()
-            for i, got in zip(new, self._words([raw[s:e] for s, e in zip(starts, ends)])):
-                packed[i] = got
-                if len(known) < REMEMBERED:
-                    known[names[i]] = got
-        order, counts = back, words.count
-        if end_id is not None:
-            order = np.insert(back, words.first[1:], len(packed))
-            packed.append(self._pack([end_id]))
-            counts = counts + 1
-        ids = np.frombuffer(b"".join(packed), self.type)
-        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.type.itemsize
-        begins = np.cumsum(sizes) - sizes
-        each = sizes[order]
-        run = np.concatenate(([0], np.cumsum(each)))
-        where = np.repeat(begins[order] - run[:-1], each) + np.arange(run[-1])
-        stop = np.cumsum(counts)
-        return ids[where], run[stop] - run[stop - counts]
+    def learn(self, new: list[bytes]) -> None:
+        self.packed += self._words(new)
 
 
 _encoders: dict[str, Encoder] = {}

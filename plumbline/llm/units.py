@@ -15,10 +15,10 @@ import os
 
 import numpy as np
 
-from plumbline.llm.words import Texts, Words
+from plumbline.llm.words import Texts, Words, hash_words
 
-#: Units a worker remembers between slices, and the longest of them in bytes.
-REMEMBERED, LONGEST = 400_000, 64
+#: Longest unit a worker remembers between slices, in bytes.
+LONGEST = 64
 #: Bytes of units encoded as one string, and units looked up at once.
 BLOCK, LOOKED = 1 << 16, 1 << 18
 
@@ -54,9 +54,24 @@ def find_units(texts: Texts) -> Words:
     return Words(begins, ends, np.searchsorted(begins, texts.offsets))
 
 
+def _same_bytes(data: np.ndarray, units: Words, other: np.ndarray) -> np.ndarray:
+    """Whether each unit has the bytes of the unit named for it."""
+    size = units.end - units.start
+    same = size == size[other]
+    size = np.where(same, size, 0)
+    run = np.concatenate(([0], np.cumsum(size)))
+    step = np.arange(run[-1])
+    differ = data[step + np.repeat(units.start - run[:-1], size)] != data[step + np.repeat(units.start[other] - run[:-1], size)]
+    wrong = np.concatenate(([0], np.cumsum(differ)))
+    return same & (wrong[run[1:]] == wrong[run[:-1]])
+
+
 class Memory:
     """Numbers for different units; what is known of a unit is kept in lists by its number."""
 
+    #: Units remembered between slices.
+    remembered = 250_000
+
     def __init__(self):
         self.number: dict[bytes, int] = {}
         self.known: list[list] = []
@@ -66,33 +81,76 @@ class Memory:
         """Append to the lists what is to be known of new units."""
         raise NotImplementedError
 
+    def _numbers(self, names: list[bytes]) -> list[int]:
+        got = list(map(self.number.get, names))
+        if None in got:
+            new = list(dict.fromkeys(n for n, g in zip(names, got) if g is None))
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            self.long += sum(len(n) > LONGEST for n in new)
+            self.learn(new)
+            got = list(map(self.number.get, names))
+        return got
+
     def look_up(self, texts: Texts, units: Words, lead: bytes = b"") -> np.ndarray:
-        """The number of each unit; ``lead`` goes before the first unit of a text."""
-        raw, firsts = texts.data.tobytes(), set(units.first[:-1].tolist()) if lead else set()
-        out = np.empty(len(units.start), np.uint32)
+        """The number of each unit; ``lead`` goes before the first unit of a text.
+
+        Equal units are told by a hash, held against the bytes, and looked up once.
+        """
+        raw, out = texts.data.tobytes(), np.empty(len(units.start), np.uint32)
         for low in range(0, len(out), LOOKED):
-            starts, ends = units.start[low:low + LOOKED].tolist(), units.end[low:low + LOOKED].tolist()
-            names = [raw[s:e] for s, e in zip(starts, ends)]
-            for i in firsts.intersection(range(low, low + len(names))):
-                names[i - low] = lead + names[i - low]
-            got = list(map(self.number.get, names))
-            if None in got:
-                new = list(dict.fromkeys(n for n, g in zip(names, got) if g is None))
-                self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-                self.long += sum(len(n) > LONGEST for n in new)
-                self.learn(new)
-                got = list(map(self.number.get, names))
-            out[low:low + LOOKED] = got
+            part = Words(units.start[low:low + LOOKED], units.end[low:low + LOOKED], np.zeros(1, np.int64))
+            _, at, back = np.unique(hash_words(texts, part), return_index=True, return_inverse=True)
+            same = _same_bytes(texts.data, part, at[back])
+            numbers = self._numbers([raw[s:e] for s, e in zip(part.start[at].tolist(), part.end[at].tolist())])
+            out[low:low + LOOKED] = np.array(numbers, np.uint32)[back]
+            for i in np.flatnonzero(~same).tolist():
+                out[low + i] = self._numbers([raw[part.start[i]:part.end[i]]])[0]
+        if lead:
+            first = np.unique(units.first[:-1][units.count > 0])
+            out[first] = self._numbers([lead + raw[s:e] for s, e in zip(units.start[first].tolist(), units.end[first].tolist())])
         return out
 
     def forget(self) -> None:
         """Drop what goes beyond the bound; numbers given out before are void then."""
-        if len(self.number) > REMEMBERED or self.long > REMEMBERED // 100:
-            names, self.long = list(self.number), 0
-            keep = [i for i, n in enumerate(names) if len(n) <= LONGEST][:REMEMBERED]
+        if self.long > self.remembered // 100:
+            keep, self.long = [i for i, n in enumerate(self.number) if len(n) <= LONGEST], 0
+            names = list(self.number)
             self.number = {names[i]: k for k, i in enumerate(keep)}
             for held in self.known:
                 held[:] = [held[i] for i in keep]
+        while len(self.number) > self.remembered:  # the newest go first
+            self.number.popitem()
+        for held in self.known:
+            del held[self.remembered:]
+
+
+class Packed(Memory):
+    """Ids of units as packed numbers, put together for whole texts."""
+
+    remembered = 500_000
+    type: np.dtype
+    find = staticmethod(find_units)
+
+    def __init__(self):
+        super().__init__()
+        self.packed: list[bytes] = []
+        self.known = [self.packed]
+
+    def encode(self, texts: Texts, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each followed by ``end_id`` if given, and their number in each text."""
+        units = self.find(texts)
+        used, order = np.unique(self.look_up(texts, units), return_inverse=True)
+        packed, counts = [self.packed[i] for i in used.tolist()], units.count
+        if end_id is not None:
+            order, counts = np.insert(order, units.first[1:], len(packed)), counts + 1
+            packed.append(np.array([end_id], self.type).tobytes())
+        self.forget()
+        ids = np.frombuffer(b"".join(packed), self.type)
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.type.itemsize
+        begins, each = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        run = np.concatenate(([0], np.cumsum(each)))
+        stop = np.cumsum(counts)
+        return ids[np.repeat(begins - run[:-1], each) + np.arange(run[-1])], run[stop] - run[stop - counts]
 
 
 def vocabulary(name: str) -> str:
@@ -130,8 +188,8 @@ class ByteTokens:
             self.bytes[i] = bytes(by_byte[c] for c in name) if all(c in by_byte for c in name) else name.encode()
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int64) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class PieceTokens:
@@ -151,9 +209,9 @@ class PieceTokens:
             self.bytes.append(b"" if self.library.is_control(i) or self.library.is_unknown(i) else held)
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
 
-    def ids(self, text: str) -> np.ndarray:
-        """The ids of a text that begins with a space, which is the one the library adds."""
-        return np.array(self.library.encode(text[1:]), np.int64)
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts that begin with a space, which is the one the library adds."""
+        return [np.array(ids, np.int64) for ids in self.library.encode([t[1:] for t in texts], num_threads=1)]
 
 
 def _byte_letters() -> dict[str, int]:

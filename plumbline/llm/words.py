@@ -8,6 +8,7 @@ ASCII, so characters of several bytes are never cut.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +17,8 @@ import pyarrow as pa
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 SLICE = 1 << 19
+#: Longest word the prefix sum hashes.
+SHORT = 64
 
 _rng = np.random.default_rng(20240229)
 #: A random odd value for every byte; a zero value would let a word vanish.
@@ -114,18 +117,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def hash_words(texts: Texts, words: Words, value: np.ndarray = VALUE) -> np.ndarray:
     """A 64-bit hash of each word, the same wherever the word stands.
 
-    Worked slice by slice, so a long text costs a fixed amount of memory; a word
-    longer than a slice is put together from its pieces.
+    A prefix sum serves words of up to ``SHORT`` bytes, slice by slice, so a long
+    text costs a fixed amount of memory. A polynomial modulo 2 ** 64 has words of a
+    thousand letters that collide whatever its values are, so longer words go
+    through a cryptographic hash, one by one.
     """
     out = np.zeros(len(words.start), np.uint64)
     up, down = powers(SLICE)
-    long = np.flatnonzero(words.end - words.start > SLICE // 2)
+    size = words.end - words.start
     with np.errstate(over="ignore"):
-        for w in long:
-            for at in range(int(words.start[w]), int(words.end[w]), SLICE // 2):
-                piece = texts.data[at:min(at + SLICE // 2, int(words.end[w]))]
-                shift = np.uint64(pow(BASE, at - int(words.start[w]), 1 << 64))
-                out[w] += shift * np.sum(value[piece] * up[:len(piece)], dtype=np.uint64)
         i, n = 0, len(out)
         while i < n:
             base = words.start[i]
@@ -136,11 +136,15 @@ def hash_words(texts: Texts, words: Words, value: np.ndarray = VALUE) -> np.ndar
             s, e = words.start[i:j] - base, words.end[i:j] - base
             prefix = np.zeros(int(e[-1]) + 1, np.uint64)
             np.cumsum(value[texts.data[base:base + e[-1]]] * up[:e[-1]], out=prefix[1:])
-            got = (prefix[e] - prefix[s]) * down[s]
-            short = (e - s) <= SLICE // 2
-            out[i:j] = np.where(short, got, out[i:j])
+            out[i:j] = (prefix[e] - prefix[s]) * down[s]
             i = j
-        return mix(out)
+        out = mix(out)
+    long = np.flatnonzero(size > SHORT)
+    folded = LOWER.astype(np.uint8) if value is LOWER_VALUE else None
+    for w, s, e in zip(long.tolist(), words.start[long].tolist(), words.end[long].tolist()):
+        raw = texts.data[s:e] if folded is None else folded[texts.data[s:e]]
+        out[w] = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
+    return out
 
 
 def windows(hashes: np.ndarray, words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

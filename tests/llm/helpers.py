@@ -44,3 +44,9 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 def documents(spark, more=()):
     return spark.createDataFrame(rows() + list(more), SCHEMA).repartition(5)
+
+
+def twins(n: int = 1024) -> tuple[str, str]:
+    """Two words that a polynomial hash modulo a power of two cannot tell apart."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)

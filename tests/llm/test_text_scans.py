@@ -8,7 +8,7 @@ import pytest
 
 from plumbline.llm import decontam, html, pii, rules
 from plumbline.llm import words as W
-from tests.llm.helpers import SCHEMA, documents, prose, rows
+from tests.llm.helpers import twins, SCHEMA, documents, prose, rows
 
 PERSONAL = [
     "write to a.b+c@mail-1.example.com, or x@y, or @z.com or a@b@c.de now", "at 10.0.0.1 and 999.1.1.1 and 1.2.3.4.5.6.7.8 and 01.002.0003.255",
@@ -123,7 +123,48 @@ PAGES = [
     ("<div class='cookie-notice'>We use cookies</div><h2>Head</h2><p>plain words stand here and go on</p><aside>see also</aside><p>the end.</p><form>mail <input></form>", "Head plain words stand here and go on the end."),
     (None, ""), ("", ""), ("<script>x</script><!-- y -->", ""), ("<p>1 &lt; 2 and 3 > 2</p>", "1 < 2 and 3 > 2"), ("just text\n\n on   lines", "just text on lines"),
     ("<article><p>open <i>never closed<p>next</article><div>after all of it</div>", "open never closed next"),
+    # Marks inside what is left out count for nothing.
+    ("<article><p>the story</p></article><section id='comments'><article class='comment'><p>I am a reader</p></article></section>", "the story"),
+    ("<main><p>the story</p><section id='comments'><article><p>I am a reader</p></article></section><article class='comment'>me too</article></main>", "the story"),
+    ("<article><p>the story</p><aside class='related'><article class='card'><p>teaser</p></article></aside><p>goes on</p></article>", "the story goes on"),
+    ("<div class='sidebar'><article><p>a teaser</p></article></div><div><h1>Title</h1><p>the body of a page that no one marked</p></div>", "Title the body of a page that no one marked"),
+    # Names made from headings are no hints.
+    ("<article><div class='page-header'><h1>Title</h1></div><h2 id='related-work'>Related work</h2><p class='search-methods'>We search.</p><h2 id='search'>Search</h2>"
+     "<section id='social-history'><p>Old days.</p></section><section id='notice'><p>Notice.</p></section></article>", "Title Related work We search. Search Old days. Notice."),
+    # A menu that is never closed does not swallow the content, one that is closed does.
+    ("<nav><ul><li>Home<article><p>kept all the same</p></article>", "kept all the same"),
+    ("<div class='menu'>Home<main><p>kept all the same</p></main></div>", "kept all the same"),
 ]
+#: Content and surroundings in class names alone, as on pages whose author marked nothing.
+SITES = [("post-text", "links"), ("story", "box"), ("entry", "stream")]
+
+
+def site(k: int, marked: bool) -> tuple[str, str]:
+    inside, around = SITES[k % len(SITES)]
+    body = [prose(1000 + 10 * k + i, 25) for i in range(3)]
+    text = "".join(f"<p>{b}</p>" for b in body)
+    side = "".join(f"<div class='{around}'><p>{prose(5000 + 10 * k + i, 12)}</p></div>" for i in range(3))
+    inner = f"<div class='{inside}'><h1>Title {k}</h1>{text}</div>"
+    return f"<body>{side}{f'<article>{inner}</article>' if marked else inner}{side}</body>", f"Title {k} " + " ".join(body)
+
+
+def test_pages_without_marks_are_read_by_what_marked_ones_teach(spark):
+    made = [site(k, k < 60) for k in range(120)]
+    pages = spark.createDataFrame([(k, "u", p) for k, (p, _) in enumerate(made)], "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in html.op7(pages).collect()}
+    assert [k for k, (_, text) in enumerate(made) if got[k] != text] == []
+
+
+def test_a_header_of_the_content_is_no_site_header():
+    page = "<div><div class='{}'><h1>A title of some more words</h1></div><p>text that no one marked</p></div>"
+    assert html.extract(page.format("post-header"), html.Weights()) == "A title of some more words text that no one marked"
+    assert html.extract(page.format("site-header"), html.Weights()) == "text that no one marked"
+
+
+def test_features_of_few_words_count_too():
+    counts = html.feature_counts("<div class='rare'>a b c</div><article><p>x</p></article>")
+    assert counts["word", html.place(".rare"), False] == 3
+    assert html.weights_of([("word", html.place(".rare"), 0, 3)]).of_word([".rare"]) < 0
 
 
 def test_main_texts(spark, sf):
@@ -156,3 +197,17 @@ def test_word_hashes_do_not_depend_on_slices(size, monkeypatch):
     monkeypatch.setattr(W, "SLICE", 64 * size)
     monkeypatch.setattr(W, "_powers", (np.ones(1, np.uint64), np.ones(1, np.uint64)))
     assert (W.hash_words(texts, words) == want).all()
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_long_words_with_one_polynomial_hash_are_told_apart(spark, n):
+    import pyarrow as pa
+    from plumbline.llm import jaccard
+    a, b = twins(n)
+    texts = W.texts_of(pa.array([a, b, a.upper()]))
+    words = W.find_words(texts)
+    plain, folded = W.hash_words(texts, words), W.hash_words(texts, words, W.LOWER_VALUE)
+    assert len(set(plain.tolist())) == 3 and len(set(folded.tolist())) == 2
+    df = spark.createDataFrame([(1, f"{a}\n{b}", "en", "s", 1), (2, f"one two three {a}", "en", "s", 1), (3, f"one two three {b}", "en", "s", 1), (4, f"one two three {a}", "en", "s", 1)], SCHEMA)
+    assert {r.doc_id: r.n_dup_lines for r in rules.op4(df).collect()}[1] == 0
+    assert {r.doc_id: r.component_id for r in jaccard.op3(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 2}

@@ -9,10 +9,10 @@ import pytest
 
 from plumbline.llm import token_files as T
 from plumbline.llm import words as W
-from tests.llm.helpers import SCHEMA, documents, rows
+from tests.llm.helpers import SCHEMA, documents, rows, twins
 
 ODD = ["It's I'M we'll don't THEY'RE", "ÀÉÎÕÜ straße ÿ œ Ž", "İstanbul ΣΊΣΥΦΟΣ ﬁ ½ ² x²", "<|endoftext|> a<|startoftext|>b <| |>", "é café ́x",
-       "a b c\x1cd\x85e", "日本語 テスト 123,456.78 %%% &&& ###!!", "\x00\x01 tab\tnl\nx", "''s 'sx 'tt a's'd", "×÷ µ ª º ŉ ſ ĸ", "w" * 3000, "🙂👩‍👩‍👧 ok"]
+       "a b c\x1cd\x85e", "日本語 テスト 123,456.78 %%% &&& ###!!", "\x00\x01 tab\tnl\nx", "''s 'sx 'tt a's'd", "×÷ µ ª º ŉ ſ ĸ", "w" * 3000, "🙂👩‍👩‍👧 ok", " ".join(twins()), " ".join(twins(64))]
 
 
 @pytest.fixture(scope="module")

@@ -37,7 +37,7 @@ def test_units_put_together_are_the_text():
 
 def test_forgetting_keeps_what_is_known(monkeypatch):
     import pyarrow as pa
-    monkeypatch.setattr(units, "REMEMBERED", 3)
+    monkeypatch.setattr(packing.Encoder, "remembered", 3)
     e = packing.Encoder(units.vocabulary(packing.TOKENIZER))
     texts = texts_of(pa.array(["one two three four five", "five one " + "x" * 90 + " six", "two six"]))
     first, again = e.encode(texts, 0), e.encode(texts, 0)
