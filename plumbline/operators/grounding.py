@@ -16,6 +16,8 @@ MIN_TURN_SCORE = 0.45
 MIN_SENTENCE_WORDS = 6
 SQUEEZED_MIN = 12
 ANCHOR_WORDS = 6
+#: Quotes of one paper that travel with one copy of its text.
+QUOTES_HELD = 512
 
 
 def norm_text(papers: DataFrame) -> DataFrame:
@@ -59,48 +61,101 @@ def candidates(quotes: DataFrame, papers: DataFrame) -> DataFrame:
     return anchors.join(runs, ["h", "n"]).select("quote_id", "paper_id").distinct()
 
 
+def beside(quotes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The quotes that name a paper next to its text, which travels once for each few hundred of them.
+
+    ``texts``: one row per paper. Result: paper_id, quotes (structs of the other
+    columns), and the columns of ``texts``.
+    """
+    counts = quotes.groupBy("paper_id").agg(F.ceil(F.count("*") / QUOTES_HELD).alias("_parts"))
+    part = F.pmod(F.xxhash64("quote_id"), "_parts").alias("_part")
+    held = F.struct(*[c for c in quotes.columns if c != "paper_id"])
+    listed = quotes.join(counts, "paper_id").groupBy("paper_id", part).agg(F.collect_list(held).alias("quotes")).drop("_part")
+    return listed.join(texts, "paper_id")
+
+
+def _bare(c: Column) -> Column:
+    return F.replace(c, F.lit(" "), F.lit(""))
+
+
+def locate_whole(quotes: DataFrame, papers: DataFrame) -> DataFrame:
+    """Quotes that name their paper with ``norm_at`` and ``tight_at``: where each first stands, and where but for spaces.
+
+    Offsets are in the normalised text and in that without spaces; NULL where not
+    found, and ``tight_at`` only where there is no ``norm_at``.
+    """
+    needle = quotes.withColumn("needle", F.when(F.size(tx.quote_words(F.col("text"))) >= MIN_WORDS, F.nullif(tx.normal_text(F.col("text")), F.lit(""))))
+    place = lambda text, part: F.nullif(F.instr(text, part), F.lit(0)) - 1
+
+    def each(tight):
+        def one(q):
+            at = place(F.col("norm"), q["needle"])
+            loose = F.when(F.length(_bare(q["needle"])) >= SQUEEZED_MIN, place(tight, _bare(q["needle"])))
+            return F.struct(*[q[c].alias(c) for c in needle.columns if c != "paper_id"], at.alias("norm_at"), F.when(at.isNull(), loose).alias("tight_at"))
+        return F.transform("quotes", one)
+
+    found = beside(needle, norm_text(papers)).select("paper_id", F.explode(tx.let(_bare(F.col("norm")), each)).alias("q"))
+    return found.select(*[F.col("paper_id") if c == "paper_id" else F.col(f"q.{c}") for c in [*needle.columns, "norm_at", "tight_at"]])
+
+
 def locate_exact(quotes: DataFrame, papers: DataFrame) -> DataFrame:
-    """First occurrence of each quote in each paper that has it: start, end, score 1.
+    """First occurrence of each quote in each paper that has it: start, end in the normalised text, score 1.
 
     ``quotes`` may name the paper (``paper_id``); otherwise every paper is searched.
     """
-    wanted = _quotable(quotes)
-    texts = norm_text(papers)
     if "paper_id" in quotes.columns:
-        pairs = wanted.join(texts, "paper_id")
+        found = locate_whole(quotes, papers).withColumn("start", F.col("norm_at"))
     else:
+        wanted, texts = _quotable(quotes), norm_text(papers)
         pairs = candidates(wanted, texts).join(wanted, "quote_id").join(texts, "paper_id")
-    at = F.instr(F.col("norm"), F.col("needle")) - 1
-    return pairs.withColumn("start", at).filter(F.col("start") >= 0).select(
+        found = pairs.withColumn("start", F.nullif(F.instr(F.col("norm"), F.col("needle")), F.lit(0)) - 1)
+    return found.filter("start IS NOT NULL").select(
         "quote_id", "paper_id", "start", (F.col("start") + F.length("needle")).alias("end"),
         F.lit("exact").alias("match"), F.lit(1.0).alias("score"),
     )
 
 
 def locate_squeezed(quotes: DataFrame, papers: DataFrame) -> DataFrame:
-    """The same with all spaces taken out, for quotes and papers that lost one.
+    """Quotes found only with all spaces taken out, as quotes and papers that lost one are: as ``locate_exact``.
 
-    Offsets are in the text without spaces. Quotes must name their paper.
+    Quotes must name their paper.
     """
-    bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
-    pairs = (
-        _quotable(quotes).withColumn("squeezed", bare("needle")).filter(F.length("squeezed") >= SQUEEZED_MIN)
-        .join(norm_text(papers), "paper_id")
-    )
-    return pairs.withColumn("start", F.instr(bare("norm"), F.col("squeezed")) - 1).filter(F.col("start") >= 0).select(
-        "quote_id", "paper_id", "start", (F.col("start") + F.length("squeezed")).alias("end")
-    )
+    found = cut_lineage(locate_whole(quotes, papers).filter("tight_at IS NOT NULL").select(
+        "quote_id", "paper_id", F.col("tight_at").alias("start"), (F.col("tight_at") + F.length(_bare(F.col("needle")))).alias("end")))
+    return spaced_offsets(found, papers).withColumns({"match": F.lit("exact"), "score": F.lit(1.0)})
 
 
 def split_whole(quotes: DataFrame, papers: DataFrame) -> DataFrame:
     """Quotes that name their paper, each with ``whole``: found word for word or but for spaces."""
-    bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
-    needle = quotes.withColumn("needle", tx.normal_text(F.col("text"))).withColumn(
-        "_long", F.size(tx.quote_words(F.col("text"))) >= MIN_WORDS)
-    pairs = needle.join(norm_text(papers), "paper_id")
-    exact = F.contains(F.col("norm"), F.col("needle"))
-    loose = (F.length(bare("needle")) >= SQUEEZED_MIN) & F.contains(bare("norm"), bare("needle"))
-    return pairs.withColumn("whole", F.col("_long") & (F.col("needle") != "") & (exact | loose)).drop("norm", "needle", "_long")
+    found = locate_whole(quotes, papers)
+    return found.withColumn("whole", F.col("norm_at").isNotNull() | F.col("tight_at").isNotNull()).drop("needle", "norm_at", "tight_at")
+
+
+def find(quotes: DataFrame, papers: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """Where each quote stands in the paper it names: quote_id, paper_id, match, score, unit, start, end.
+
+    Word for word, else but for spaces, else the window that shares most of its
+    words. ``unit`` says what start and end count: characters of the normalised
+    text, of that without spaces, or words.
+    """
+    placed = cut_lineage(locate_whole(quotes, papers))
+    at = F.coalesce("norm_at", "tight_at")
+    size = F.when(F.col("norm_at").isNotNull(), F.length("needle")).otherwise(F.length(_bare(F.col("needle"))))
+    whole = placed.filter(at.isNotNull()).select(
+        "quote_id", "paper_id", F.lit("exact").alias("match"), F.lit(1.0).alias("score"),
+        F.when(F.col("norm_at").isNotNull(), "norm").otherwise("tight").alias("unit"), at.cast("bigint").alias("start"), (at + size).cast("bigint").alias("end"))
+    near = locate_approx(placed.filter(at.isNull()).select("quote_id", "paper_id", "text"), papers, min_score).select(
+        "quote_id", "paper_id", F.lit("approximate").alias("match"), "score",
+        F.lit("word").alias("unit"), F.col("start_tok").cast("bigint").alias("start"), (F.col("end_tok") + 1).cast("bigint").alias("end"))
+    return whole.unionByName(near)
+
+
+def in_source(hits: DataFrame, papers: DataFrame) -> DataFrame:
+    """The hits of ``find`` with start and end in the text itself."""
+    hits = cut_lineage(hits)
+    of = lambda unit: hits.filter(F.col("unit") == unit).drop("unit")
+    norm = of("norm").unionByName(spaced_offsets(of("tight"), papers)).unionByName(word_offsets(of("word"), papers))
+    return raw_offsets(norm, papers)
 
 
 def locate_approx(quotes: DataFrame, papers: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
@@ -145,53 +200,21 @@ def locate_approx(quotes: DataFrame, papers: DataFrame, min_score: float = MIN_S
         .join(tokens, ["paper_id", "word"])
         .withColumn("size", F.least("size", "n_tokens"))
     )
-    # Windows differ in width by quote, so a match's window is found among the
-    # quote's own matches: at most one document's tokens.
-    packed = posts.groupBy("quote_id", "paper_id", "n_want", "need", "size").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("hits")
-    )
-    return packed.mapInPandas(
-        _best_windows, "quote_id string, paper_id bigint, start_tok int, end_tok int, score double"
-    ) if dict(quotes.dtypes)["quote_id"] == "string" else packed.mapInPandas(
-        _best_windows, "quote_id bigint, paper_id bigint, start_tok int, end_tok int, score double"
-    )
-
-
-def _best_windows(batches):
-    """Shortest span holding the most distinct words within ``size`` tokens."""
-    import pandas as pd
-
-    for pdf in batches:
-        out = []
-        for r in pdf.itertuples(index=False):
-            pos = [h["pos"] for h in r.hits]
-            word = [h["word"] for h in r.hits]
-            n, best, seen, right = len(pos), 0, {}, 0
-            for left in range(n):
-                while right < n and pos[right] < pos[left] + r.size:
-                    seen[word[right]] = seen.get(word[right], 0) + 1
-                    right += 1
-                best = max(best, len(seen))
-                seen[word[left]] -= 1
-                if not seen[word[left]]:
-                    del seen[word[left]]
-            if best < r.need:
-                continue
-            seen, right, span = {}, 0, None
-            for left in range(n):
-                while right < n and len(seen) < best:
-                    seen[word[right]] = seen.get(word[right], 0) + 1
-                    right += 1
-                if len(seen) < best:
-                    break
-                wide = pos[right - 1] - pos[left]
-                if wide < r.size and (span is None or wide < span[1] - span[0]):
-                    span = (pos[left], pos[right - 1])
-                seen[word[left]] -= 1
-                if not seen[word[left]]:
-                    del seen[word[left]]
-            out.append((r.quote_id, r.paper_id, span[0], span[1], best / r.n_want))
-        yield pd.DataFrame(out, columns=["quote_id", "paper_id", "start_tok", "end_tok", "score"])
+    # A window of a quote's own width is one of fixed width on positions scaled by it.
+    wide = 1 << 32
+    order = Window.partitionBy("quote_id", "paper_id").orderBy("_at")
+    ahead = order.rangeBetween(0, wide - 2)
+    same = Window.partitionBy("quote_id", "paper_id", "word").orderBy("pos")
+    held = posts.withColumn("_before", F.coalesce(F.lag("pos").over(same), F.lit(-1))).withColumn(
+        "_at", F.floor(F.col("pos") * F.lit(wide) / F.col("size")).cast("bigint"))
+    # A word counts in the window of a match where it has not been met since that match.
+    firsts = F.filter("_ahead", lambda m: m["_before"] < F.col("pos"))
+    seen = held.withColumn("_ahead", F.collect_list(F.struct("pos", "_before")).over(ahead)).select(
+        "quote_id", "paper_id", "n_want", "need", "pos", firsts.alias("_f"))
+    spans = seen.select("quote_id", "paper_id", "n_want", "need", "pos", F.size("_f").alias("n"), F.array_max(F.transform("_f", lambda m: m["pos"])).alias("last"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), (F.col("last") - F.col("pos")).alias("wide"), F.col("pos"), F.col("last")))
+    return spans.groupBy("quote_id", "paper_id", "n_want", "need").agg(best.alias("b")).filter(-F.col("b.n") >= F.col("need")).select(
+        "quote_id", "paper_id", F.col("b.pos").alias("start_tok"), F.col("b.last").alias("end_tok"), (-F.col("b.n") / F.col("n_want")).alias("score"))
 
 
 def resolve(hits: DataFrame, segments: DataFrame, pages: DataFrame, bucket: int = 4096) -> DataFrame:
@@ -225,46 +248,76 @@ def resolve(hits: DataFrame, segments: DataFrame, pages: DataFrame, bucket: int
     )
 
 
-def raw_offsets(hits: DataFrame, papers: DataFrame) -> DataFrame:
-    """Turn offsets in the normalised text into offsets in the text itself.
+def _of(hits: DataFrame, papers: DataFrame) -> DataFrame:
+    """The papers that have a hit."""
+    return papers.join(hits.select("paper_id").distinct(), "paper_id", "left_semi")
+
+
+def _moved(hits: DataFrame, runs: DataFrame, bucket: int = 4096) -> DataFrame:
+    """Hits with start and end moved by the runs they lie in. ``runs``: paper_id, from, to, by.
+
+    A range join made an equi join on the paper and a bucket of offsets.
+    """
+    spread = F.explode(F.sequence(F.floor(F.col("from") / bucket), F.floor((F.col("to") - 1) / bucket)))
+    cut = runs.select("paper_id", F.col("from").alias("_f"), F.col("to").alias("_t"), F.col("by").alias("_by"), spread.alias("_b"))
+
+    def move(df, at):
+        return df.withColumn("_b", F.floor(at / bucket)).join(cut, ["paper_id", "_b"]).filter((at >= F.col("_f")) & (at < F.col("_t")))
+
+    one = move(hits, F.col("start")).withColumn("_start", F.col("start") + F.col("_by")).drop("_f", "_t", "_by", "_b")
+    two = move(one, F.col("end") - 1).withColumn("_end", F.col("end") + F.col("_by"))
+    return two.select(*[F.col(f"_{c}").cast("bigint").alias(c) if c in ("start", "end") else F.col(c) for c in hits.columns])
+
+
+def offset_map(papers: DataFrame) -> DataFrame:
+    """Runs of the normalised text that lie alike in the text itself: paper_id, from, to, by.
 
-    Only what was hit is walked: one text at a time, in Arrow batches.
+    The text is cut into words, gaps and line-end hyphens; a word keeps its
+    letters, a gap between words becomes one space, a hyphen goes. Runs end where
+    that changes the distance, so most papers have few.
     """
-    names = hits.columns
-    rows = hits.withColumnRenamed("start", "_n0").withColumnRenamed("end", "_n1").join(papers.select("paper_id", "text"), "paper_id")
-    kept = [c for c in names if c not in ("start", "end")]
-    types = dict(hits.dtypes)
-
-    def run(batches):
-        import bisect
-        import re
-
-        import numpy as np
-
-        gap = re.compile(r"-[\r\n]+|\s+")
-        for b in batches:
-            starts, ends = [], []
-            for text, n0, n1 in zip(b["text"], b["_n0"], b["_n1"]):
-                norm, raw, seen, at, pending = [], [], 0, 0, False
-                for m in list(gap.finditer(text)) + [None]:
-                    stop = m.start() if m else len(text)
-                    if stop > at:
-                        if pending and seen:
-                            seen += 1
-                        pending = False
-                        norm.append(seen)
-                        raw.append(at)
-                        seen += stop - at
-                    if m:
-                        pending = pending or not m.group().startswith("-")
-                        at = m.end()
-                place = lambda n: (lambda i: raw[i] + n - norm[i])(bisect.bisect_right(norm, n) - 1)
-                starts.append(place(n0))
-                ends.append(place(n1 - 1) + 1)
-            yield b[kept].assign(start=np.array(starts, dtype="int64"), end=np.array(ends, dtype="int64"))
-
-    schema = ", ".join(f"`{c}` {types[c]}" for c in kept) + ", `start` bigint, `end` bigint"
-    return rows.mapInPandas(run, schema)
+    order = Window.partitionBy("paper_id").orderBy("k")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    piece = F.col("piece")
+    gap, joint = piece.rlike(r"^\s"), piece.rlike(r"^-[\r\n]")
+    pieces = papers.select("paper_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"-[\r\n]+|\s+|[^\s-]+|-"), F.lit(0))).alias("k", "piece"))
+    words = pieces.select(
+        "paper_id", "k", F.coalesce(F.sum(F.length(piece)).over(before), F.lit(0)).alias("raw"), F.sum(gap.cast("int")).over(order).alias("gaps"),
+        (~gap & ~joint).alias("word"), F.length(F.lower(piece)).alias("size")).filter("word")
+    spaces = F.coalesce((F.col("gaps") != F.lag("gaps").over(order)).cast("int"), F.lit(0))
+    placed = words.withColumn("space", spaces).withColumn(
+        "from", F.coalesce(F.sum("size").over(before), F.lit(0)) + F.sum("space").over(order)).withColumn("by", F.col("raw") - F.col("from"))
+    turn = F.coalesce((F.col("by") != F.lag("by").over(order)).cast("int"), F.lit(0))
+    runs = placed.withColumn("turn", turn).withColumn("run", F.sum("turn").over(order))
+    return runs.groupBy("paper_id", "run").agg(
+        F.min("from").alias("from"), F.max(F.col("from") + F.col("size")).alias("to"), F.min("by").alias("by")).drop("run")
+
+
+def raw_offsets(hits: DataFrame, papers: DataFrame) -> DataFrame:
+    """Turn offsets in the normalised text into offsets in the text itself."""
+    return _moved(hits, offset_map(_of(hits, papers)))
+
+
+def spaced_offsets(hits: DataFrame, papers: DataFrame) -> DataFrame:
+    """Turn offsets in the normalised text without spaces into offsets with them."""
+    words = norm_text(_of(hits, papers)).select("paper_id", F.posexplode(F.split("norm", " ")).alias("by", "word"))
+    before = Window.partitionBy("paper_id").orderBy("by").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("word")).over(before), F.lit(0))
+    runs = words.select("paper_id", start.alias("from"), (start + F.length("word")).alias("to"), "by")
+    return _moved(hits, runs.filter(F.col("to") > F.col("from")))
+
+
+def word_offsets(hits: DataFrame, papers: DataFrame) -> DataFrame:
+    """Turn numbers of words, the end exclusive, into offsets in the normalised text."""
+    pieces = norm_text(_of(hits, papers)).select("paper_id", F.posexplode(F.regexp_extract_all("norm", F.lit("[a-z0-9]+|[^a-z0-9]+"), F.lit(0))).alias("k", "piece"))
+    order = Window.partitionBy("paper_id").orderBy("k")
+    own = F.col("piece").rlike("^[a-z0-9]")
+    placed = pieces.select("paper_id", F.sum(F.length("piece")).over(order).alias("stop"), F.length("piece").alias("size"), own.alias("own"),
+                           (F.sum(own.cast("int")).over(order) - 1).alias("pos")).filter("own")
+    first = placed.select("paper_id", F.col("pos").alias("start"), (F.col("stop") - F.col("size")).alias("_start"))
+    last = placed.select("paper_id", (F.col("pos") + 1).alias("end"), F.col("stop").alias("_end"))
+    joined = hits.join(first, ["paper_id", "start"]).join(last, ["paper_id", "end"])
+    return joined.select(*[F.col(f"_{c}").cast("bigint").alias(c) if c in ("start", "end") else F.col(c) for c in hits.columns])
 
 
 def page_at(points: DataFrame, pages: DataFrame, bucket: int = 4096) -> DataFrame:
@@ -282,9 +335,11 @@ def page_at(points: DataFrame, pages: DataFrame, bucket: int = 4096) -> DataFram
 
 
 def ground_turns(turns: DataFrame, episodes: DataFrame, papers: DataFrame) -> DataFrame:
-    """The passage each turn tracks: its whole text or one of its sentences.
+    """The passage each turn tracks: its whole text or one of its sentences, with start and end in the paper's text.
 
-    The best score wins, the earliest candidate on ties; turns under the bar are absent.
+    The best score wins, the earliest candidate on ties; turns under the bar are
+    absent. Only the winners' spans are looked up; ``resolve`` gives them heading
+    and page.
     """
     longer = F.filter(
         F.transform(tx.sentences_before_capital(F.col("text")), tx.strip),
@@ -296,18 +351,12 @@ def ground_turns(turns: DataFrame, episodes: DataFrame, papers: DataFrame) -> Da
                 F.posexplode(F.concat(F.array("text"), longer)).alias("cand", "text"))
         .withColumn("quote_id", F.concat_ws(":", "episode_id", "turn_idx", "cand"))
     )
-    quotes = cand.select("quote_id", "paper_id", "text")
-    placed = cut_lineage(split_whole(quotes, papers))
-    exact = placed.filter("whole").select("quote_id", F.lit(1.0).alias("score"), F.lit("exact").alias("match"))
-    near = locate_approx(placed.filter(~F.col("whole")), papers, MIN_TURN_SCORE).select(
-        "quote_id", "score", F.lit("approximate").alias("match"))
-    hits = exact.unionByName(near)
-    best = F.min(F.struct((-F.col("score")).alias("s"), "cand", "match"))
-    return (
-        cand.drop("text").join(hits, "quote_id").groupBy("episode_id", "turn_idx", "paper_id").agg(best.alias("b"))
-        .select("episode_id", "turn_idx", "paper_id", F.col("b.cand").alias("candidate"), F.col("b.match").alias("match"),
-                F.round(-F.col("b.s"), 6).alias("score"))
-    )
+    hits = find(cand.select("quote_id", "paper_id", "text"), papers, MIN_TURN_SCORE).drop("paper_id")
+    best = F.min(F.struct((-F.col("score")).alias("s"), "cand", "match", "unit", "start", "end"))
+    won = cand.drop("text").join(hits, "quote_id").groupBy("episode_id", "turn_idx", "paper_id").agg(best.alias("b"))
+    return in_source(won.select(
+        "episode_id", "turn_idx", "paper_id", F.col("b.cand").alias("candidate"), F.col("b.match").alias("match"),
+        F.round(-F.col("b.s"), 6).alias("score"), "b.unit", "b.start", "b.end"), papers)
 
 
 def anchor_rate(turns: DataFrame, citations: DataFrame) -> DataFrame:
