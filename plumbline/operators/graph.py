@@ -58,12 +58,38 @@ def acronyms(papers: DataFrame) -> DataFrame:
     return latest.select("paper_id", F.explode(F.array("base", F.concat("base", F.lit("s")))).alias("acronym"), "expansion")
 
 
+def _used(names: Column, text: Column) -> Column:
+    """Which terms the text uses: phrases that stand in it, words that do so ``MIN_SINGLE_USES`` times.
+
+    One pass over the text settles nearly all: phrases among its runs of words and
+    words among its frequent ones pass, words that are part of no other word fail.
+    What is left, as a word inside longer ones, is looked for in the text.
+    """
+    run = r"(?<![a-z0-9-])(?=([a-z0-9-]+(?: [a-z0-9-]+){%d})(?![a-z0-9-]))"
+    grams = F.concat(*[F.regexp_extract_all(text, F.lit(run % n), F.lit(1)) for n in (1, 2, 3)])
+    words = F.array_sort(F.regexp_extract_all(text, F.lit(r"[a-z0-9-]+"), F.lit(0)))
+    often = lambda w: F.filter(w, lambda x, i: F.get(w, i + MIN_SINGLE_USES - 1) == x)
+    bag = lambda w: F.concat(F.lit(" "), F.array_join(F.array_distinct(w), " "), F.lit(" "))
+    pad = lambda t: F.concat(F.lit(" "), t, F.lit(" "))
+    uses = lambda t: (F.length(text) - F.length(F.replace(text, t, F.lit("")))) / F.length(t)
+
+    def told(w):
+        def rest(bag, sure):
+            def stands(t):
+                inside = F.contains(F.replace(bag, pad(t), F.lit(" ")), t)
+                return F.when(F.contains(t, F.lit(" ")), F.contains(text, t)).otherwise(inside & (uses(t) >= MIN_SINGLE_USES))
+            return F.concat(sure, F.filter(F.array_except(names, sure), stands))
+
+        return tx.let(bag(w), lambda b: tx.let(F.array_intersect(names, F.concat(often(w), grams)), lambda sure: rest(b, sure)))
+
+    return tx.let(words, told)
+
+
 def concept_scores(stated: DataFrame, papers: DataFrame) -> DataFrame:
     """paper_id, term, raw, pos: terms an episode states and its paper uses.
 
     ``stated``: paper_id, key_points (one text), summary. ``papers``: paper_id,
-    text, headings (one text). A paper's terms come from its key points, a few
-    sentences, and are gathered beside its text once.
+    text, headings (one text). A paper's terms are gathered beside its text once.
     """
     place = lambda source: F.struct(F.lit(source).alias("source"), F.col("clause"))
     points = ngram_candidates(stated, "paper_id", text="key_points").withColumn("n", F.lit(2)).withColumn("pos", place(0))
@@ -71,9 +97,11 @@ def concept_scores(stated: DataFrame, papers: DataFrame) -> DataFrame:
     counts = points.unionByName(told).groupBy("paper_id", "term").agg(F.sum("n").alias("n"), F.min("pos").alias("pos"))
     listed = counts.groupBy("paper_id").agg(F.collect_list(F.struct("term", "n", "pos")).alias("terms"))
     held = listed.join(papers.select("paper_id", F.lower("text").alias("text"), F.lower("headings").alias("headings")), "paper_id")
-    uses = lambda t: (F.length("text") - F.length(F.replace(F.col("text"), t, F.lit("")))) / F.length(t)
-    used = F.filter("terms", lambda e: F.contains(F.col("text"), e["term"]) & (F.contains(e["term"], F.lit(" ")) | (uses(e["term"]) >= MIN_SINGLE_USES)))
-    kept = held.select("paper_id", "headings", F.explode(used).alias("e")).select("paper_id", "headings", "e.term", "e.n", "e.pos")
+    names = F.transform("terms", lambda e: e["term"])
+    # A term that is used comes twice, so one grouping keeps it and drops the others.
+    mark = F.transform(_used(names, F.col("text")), lambda t: F.struct(t.alias("term"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast(counts.schema["pos"].dataType).alias("pos")))
+    kept = held.select("paper_id", "headings", F.explode(F.concat("terms", mark)).alias("e")).groupBy("paper_id", "e.term").agg(
+        F.max("e.n").alias("n"), F.max("e.pos").alias("pos"), F.first("headings").alias("headings"), F.count("*").alias("_c")).filter("_c = 2").drop("_c")
     short = acronyms(papers).withColumnRenamed("acronym", "term")
     folded = kept.join(short, ["paper_id", "term"], "left").withColumn("term", F.coalesce("expansion", "term")).groupBy("paper_id", "term").agg(
         F.sum("n").alias("n"), F.min("pos").alias("pos"), F.first("headings").alias("headings"))
@@ -122,6 +150,21 @@ def concept_families(scores: DataFrame, limit: int = PER_EPISODE) -> DataFrame:
     return listed.mapInArrow(run, f"paper_id {kind}, rank int, term string, weight double")
 
 
+def concept_context(families: DataFrame, stated: DataFrame, short: DataFrame) -> DataFrame:
+    """Add ``context``: the first sentence that names the concept, else its acronym, else the name alone.
+
+    ``stated``: paper_id, sentences (key points, then the sentences of the summary).
+    ``short``: the acronyms of each paper.
+    """
+    names = short.groupBy("paper_id", F.col("expansion").alias("term")).agg(F.array_sort(F.collect_set("acronym")).alias("acronyms"))
+    rows = families.join(names, ["paper_id", "term"], "left")
+    listed = rows.groupBy("paper_id").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "paper_id"])).alias("f"))
+    first = lambda t: F.get(F.filter("sentences", lambda s: F.contains(F.lower(s), t)), F.lit(0))
+    told = lambda f: F.coalesce(first(f["term"]), F.get(F.filter(F.transform(f["acronyms"], first), lambda s: s.isNotNull()), F.lit(0)), f["term"])
+    found = listed.join(stated, "paper_id").select("paper_id", F.explode(F.transform("f", lambda f: F.struct(f.alias("f"), told(f).alias("context")))).alias("z"))
+    return found.select("paper_id", *[F.col(f"z.f.{c}").alias(c) for c in families.columns if c != "paper_id"], tx.strip(F.col("z.context")).alias("context"))
+
+
 def canonical_names(concepts: DataFrame) -> DataFrame:
     """key -> the one name of its idea across the library.
 

@@ -30,12 +30,18 @@ def acronyms(spark, d):
     return gp.acronyms(tb.papers(spark, d).withColumn("text", said))
 
 
-def _scores(spark, d):
-    """A document's first line as its key point, its second as the summary."""
+def _stated(spark, d):
+    """All lines of a document: every other one a key point, the rest its summary."""
     lines = tx.lines_of(F.col("text"))
-    p = tb.papers(spark, d)
-    stated = p.select("paper_id", F.get(lines, F.lit(0)).alias("key_points"), F.coalesce(F.get(lines, F.lit(1)), F.lit("")).alias("summary"))
-    return gp.concept_scores(stated, p.withColumn("headings", F.regexp_extract("text", r"^[^.]*", 0)))
+    points, told = F.filter(lines, lambda _, i: i % 2 == 0), F.filter(lines, lambda _, i: i % 2 == 1)
+    summary = F.array_join(told, " ")
+    sentences = F.filter(F.concat(points, tx.sentences_after_mark(summary)), lambda s: s != "")
+    return tb.papers(spark, d).select("paper_id", F.array_join(points, ". ").alias("key_points"), summary.alias("summary"), sentences.alias("sentences"))
+
+
+def _scores(spark, d):
+    papers = tb.papers(spark, d).withColumn("headings", F.regexp_extract("text", r"^[^.]*", 0))
+    return gp.concept_scores(_stated(spark, d).drop("sentences"), papers)
 
 
 def scores(spark, d):
@@ -43,7 +49,8 @@ def scores(spark, d):
 
 
 def families(spark, d):
-    return gp.concept_families(_scores(spark, d)).withColumn("weight", F.round("weight", 6))
+    found = gp.concept_context(gp.concept_families(_scores(spark, d)), _stated(spark, d).select("paper_id", "sentences"), gp.acronyms(tb.papers(spark, d)))
+    return found.withColumn("weight", F.round("weight", 6)).withColumn("context", F.md5("context"))
 
 
 def concept_key(spark, d):
@@ -222,7 +229,7 @@ ORACLE = {
         far AS (SELECT * FROM (SELECT t AS term, row_number() OVER (ORDER BY o, t) - 1 AS place FROM away) WHERE place < 12)
         SELECT term, place, 'near' AS ring FROM near UNION ALL SELECT term, place, 'far' FROM far""",
     "k1_ngrams": f"WITH src AS (SELECT doc_id AS paper_id, text, 1 AS n, 0 AS pos0 FROM documents), {grams('src')} SELECT paper_id, term, count(*) AS n FROM grams GROUP BY 1, 2",
-    "k3_concept_scores": f"""WITH {sq.LINES}, src AS (SELECT paper_id, text, 2 - line_no AS n, line_no * 1000000 AS pos0 FROM lines WHERE line_no < 2), {grams('src')},
+    "k3_concept_scores": f"""WITH {sq.LINES}, src AS (SELECT paper_id, CASE line_no % 2 WHEN 0 THEN string_agg(text, '. ' ORDER BY line_no) ELSE string_agg(text, ' ' ORDER BY line_no) END AS text, 2 - line_no % 2 AS n, 0 AS pos0 FROM lines GROUP BY paper_id, line_no % 2), {grams('src')},
         c AS (SELECT paper_id, term, sum(n) AS n FROM grams GROUP BY 1, 2),
         k AS (SELECT c.*, lower(regexp_extract(text, '^[^.]*')) AS head FROM c JOIN documents ON doc_id = paper_id WHERE contains(lower(text), term)
               AND (contains(term, ' ') OR (length(text) - length(replace(lower(text), term, ''))) / length(term) >= 5))
