@@ -217,6 +217,13 @@ def locate_approx(quotes: DataFrame, papers: DataFrame, min_score: float = MIN_S
         "quote_id", "paper_id", F.col("b.pos").alias("start_tok"), F.col("b.last").alias("end_tok"), (-F.col("b.n") / F.col("n_want")).alias("score"))
 
 
+def heading_at(hits: DataFrame, segments: DataFrame, bucket: int = 4096) -> DataFrame:
+    """Hits in rendered papers with the heading of the section they begin in; absent where they begin in none."""
+    spread = F.explode(F.sequence(F.floor(F.col("from") / bucket), F.floor((F.col("to") - 1) / bucket)))
+    cut = segments.filter(F.col("to") > F.col("from")).select("paper_id", "heading", F.col("from").alias("_f"), F.col("to").alias("_t"), spread.alias("_b"))
+    return hits.withColumn("_b", F.floor(F.col("start") / bucket)).join(cut, ["paper_id", "_b"]).filter("start >= _f AND start < _t").drop("_b", "_f", "_t")
+
+
 def resolve(hits: DataFrame, segments: DataFrame, pages: DataFrame, bucket: int = 4096) -> DataFrame:
     """Turn rendered offsets into heading, page and last page.
 

@@ -11,12 +11,11 @@ from plumbline.sources import tables as tb
 
 
 def _items(spark, d):
-    """The first line of every labelled document, checked where its label is good."""
+    """Every line of every labelled document, checked where its label is good."""
     docs = tb.table(spark, d, "documents")
     return tb.table(spark, d, "labels").join(docs, "doc_id").select(
-        F.col("source").alias("paper_id"), F.element_at(tx.lines_of(F.col("text")), 1).alias("text"),
-        F.when(F.col("quality") == 1, "verified").otherwise("stated").alias("provenance"),
-        F.col("doc_id").alias("first_seen"), F.col("doc_id").alias("item_no"), "lang")
+        F.col("source").alias("paper_id"), F.when(F.col("quality") == 1, "verified").otherwise("stated").alias("provenance"),
+        F.col("doc_id").alias("first_seen"), "lang", F.posexplode(tx.lines_of(F.col("text"))).alias("item_no", "text"))
 
 
 def _learned(spark, d):
@@ -77,9 +76,10 @@ QUERIES = {
 }
 
 _KEY = sq.squeeze("regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g')")
-_LEARNED = f"""it AS (SELECT source AS paper_id, string_split(regexp_replace(text, '\\r\\n?|\\f', chr(10), 'g'), chr(10))[1] AS text, CASE WHEN quality = 1 THEN 'verified' ELSE 'stated' END AS provenance,
-    l.doc_id AS first_seen, CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS wave FROM labels l JOIN documents d USING (doc_id)),
-  rk AS (SELECT *, {_KEY} AS item_key, row_number() OVER (PARTITION BY paper_id, {_KEY} ORDER BY CASE provenance WHEN 'verified' THEN 0 ELSE 1 END, wave, first_seen) AS n,
+_LEARNED = f"""it AS (SELECT source AS paper_id, unnest(l) AS text, generate_subscripts(l, 1) AS item_no, provenance, first_seen, wave FROM (
+    SELECT source, string_split(regexp_replace(text, '\\r\\n?|\\f', chr(10), 'g'), chr(10)) AS l, CASE WHEN quality = 1 THEN 'verified' ELSE 'stated' END AS provenance,
+      l.doc_id AS first_seen, CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS wave FROM labels l JOIN documents d USING (doc_id))),
+  rk AS (SELECT *, {_KEY} AS item_key, row_number() OVER (PARTITION BY paper_id, {_KEY} ORDER BY CASE provenance WHEN 'verified' THEN 0 ELSE 1 END, wave, first_seen, item_no) AS n,
     min(first_seen) OVER (PARTITION BY paper_id, {_KEY}) AS fs FROM it),
   learned AS (SELECT paper_id, item_key, text, provenance, fs AS first_seen FROM rk WHERE n = 1)"""
 _COV = """r AS (SELECT source AS paper_id, lang AS contribution, quality = 1 AS covered, toxic FROM labels JOIN documents USING (doc_id)),

@@ -123,16 +123,14 @@ def timing_export(spark, d):
 
 
 def backfill(spark, d):
-    """Every document parsed again from its text, its first line looked up again."""
-    papers = tb.papers(spark, d)
-    lines = pa.lines(papers)
+    """Every document parsed again from its text, each of its lines looked up in the earlier structure and in the new one."""
     body, starts = pq._body_lines(spark, d)
-    parsed = pa.body_sections(cut_lineage(pa.sections(body, starts)), body)
-    old = tb.sections(spark, d).groupBy("paper_id").agg(F.count("*").alias("sections"))
-    quote = lines.filter("line_no = 0").select(F.col("paper_id").alias("quote_id"), "paper_id", "text")
-    found = gr.locate_exact(quote, papers).groupBy("paper_id").agg(F.count("*").alias("anchors"))
-    new = parsed.groupBy("paper_id").agg(F.count("*").alias("sections")).join(found, "paper_id", "left")
-    return lb.backfill_report(old.withColumn("anchors", F.lit(0)), new)
+    after = cut_lineage(pa.body_sections(cut_lineage(pa.sections(body, starts)), body))
+    before = cut_lineage(tb.sections(spark, d))
+    quotes = before.select(F.concat_ws(":", "paper_id", "section_idx").alias("evidence_id"), "paper_id", F.col("content").alias("text"))
+    moved, report = lb.backfill(quotes, before, after)
+    found = moved.groupBy("paper_id").agg(F.sum(F.col("moved").cast("int")).alias("moved"), F.count("heading").alias("placed"))
+    return report.join(found, "paper_id", "left")
 
 
 def once(spark, d):

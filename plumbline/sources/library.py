@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators import grounding as gr
+from plumbline.operators import parsing as pa
+from plumbline.session import cut_lineage
+
 ID = r"^[A-Za-z0-9_-]{1,64}$"
 HEAVY = ["episode", "citations", "timings", "paper", "concepts", "relations"]
 LEDGER_VERSION = 1
@@ -128,8 +132,6 @@ def embed_with_cache(
                 ok = False
             yield pd.DataFrame({"key": b["key"], "vector": got if ok else [None] * len(b)})
 
-    from plumbline.session import cut_lineage
-
     # Cut here, so a model is asked once whatever is done with its answers.
     fresh = cut_lineage(missing.mapInPandas(run, "key string, vector array<float>"))
     if not fresh.filter(F.col("vector").isNull()).isEmpty():
@@ -191,8 +193,33 @@ def backfill_report(before: DataFrame, after: DataFrame) -> DataFrame:
     return side(before, "before").join(side(after, "after"), "paper_id", "full").fillna(0)
 
 
-def relocate(evidence: DataFrame, located: DataFrame) -> DataFrame:
-    """New locations where found, the old ones elsewhere. Both: evidence_id, start, end."""
-    new = located.select("evidence_id", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    return evidence.join(new, "evidence_id", "left").withColumn("moved", F.col("_s").isNotNull()).withColumn(
-        "start", F.coalesce("_s", "start")).withColumn("end", F.coalesce("_e", "end")).drop("_s", "_e")
+def relocate(evidence: DataFrame, located: DataFrame, columns: tuple[str, ...] = ("start", "end")) -> DataFrame:
+    """The new ``columns`` where the evidence was found again, the old ones elsewhere, and whether it was. Both: evidence_id."""
+    new = located.select("evidence_id", F.lit(True).alias("moved"), *[F.col(c).alias(f"_{c}") for c in columns])
+    return evidence.join(new, "evidence_id", "left").withColumns(
+        {c: F.when(F.col("moved"), F.col(f"_{c}")).otherwise(F.col(c)) for c in columns} | {"moved": F.coalesce("moved", F.lit(False))}
+    ).drop(*[f"_{c}" for c in columns])
+
+
+def located_in(evidence: DataFrame, sections: DataFrame) -> DataFrame:
+    """Which section of a structure holds each piece of evidence: evidence_id, paper_id, heading. Absent where none does.
+
+    ``evidence``: evidence_id, paper_id, text. ``sections``: paper_id, section_idx, heading, content.
+    """
+    rendered = pa.render(sections)
+    hits = gr.in_source(gr.find(evidence.withColumnRenamed("evidence_id", "quote_id"), rendered), rendered)
+    placed = gr.heading_at(hits, pa.segments(sections.withColumn("at", F.lit(0))))
+    return placed.select(F.col("quote_id").alias("evidence_id"), "paper_id", "heading")
+
+
+def backfill(evidence: DataFrame, before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A structure parsed again and what depends on it looked up again.
+
+    Gives the evidence with its heading (the new one where it was found, else that
+    of the earlier parse), and per paper the sections and anchors of both. Both
+    structures: paper_id, section_idx, heading, content.
+    """
+    old, new = (cut_lineage(located_in(evidence, s)) for s in (before, after))
+    moved = relocate(evidence.join(old.select("evidence_id", "heading"), "evidence_id", "left"), new, ("heading",))
+    side = lambda s, found: s.groupBy("paper_id").agg(F.count("*").alias("sections")).join(found.groupBy("paper_id").agg(F.count("*").alias("anchors")), "paper_id", "left")
+    return moved, backfill_report(side(before, old), side(after, new))
