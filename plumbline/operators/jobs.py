@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,24 +68,23 @@ def evict(events: DataFrame, now: Column, ttl_seconds: int = TTL_SECONDS) -> Dat
     return created.filter(F.col("created_at").cast("double") >= now.cast("timestamp").cast("double") - ttl_seconds)
 
 
-def step_gate(state: dict, now: float, release: bool, concurrent: int, daily: int) -> str:
-    """Advance one gate by one event and say what happened."""
-    if release:
-        state["running"] = max(0, state["running"] - 1)
-        return "released"
-    if now - state["window"] >= DAY_SECONDS:
-        state["window"], state["started"] = now, 0
-    if state["running"] >= concurrent:
-        return "busy"
-    if state["started"] >= daily:
-        return "daily"
-    state["running"] += 1
-    state["started"] += 1
-    return "admitted"
+def idle_gate(concurrent: int, daily: int) -> tuple[int, int, float]:
+    """What a gate has to give: free places, starts left today, and when the day ends (the first request opens one)."""
+    return concurrent, daily, float("-inf")
 
 
-def fresh_gate() -> dict:
-    return {"running": 0, "window": float("-inf"), "started": 0}
+def play_gate(gate: tuple[int, int, float], at, release, concurrent: int, daily: int) -> tuple[list[str], tuple[int, int, float]]:
+    """The outcome of each event of one key, in order of time, and what the gate has left."""
+    free, left, day_end = gate
+    out = []
+    for now, back in zip(at, release):
+        if not back and now >= day_end:
+            left, day_end = daily, now + DAY_SECONDS
+        outcome = "released" if back else "admitted" if free and left else "daily" if free else "busy"
+        change = {"released": 1, "admitted": -1}.get(outcome, 0)
+        free, left = min(concurrent, free + change), left + min(change, 0)
+        out.append(outcome)
+    return out, (free, left, day_end)
 
 
 def admit(requests: DataFrame, concurrent: int = 1, daily: int = 25) -> DataFrame:
@@ -97,14 +97,15 @@ def admit(requests: DataFrame, concurrent: int = 1, daily: int = 25) -> DataFram
     placed = requests.select("key", "seq", F.col("at").cast("double").alias("at"), "release").repartition("key").sortWithinPartitions("key", "at", "seq")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, fresh_gate()
+        key, gate = None, None
         for b in batches:
-            out = []
-            for k, at, release in zip(b["key"], b["at"], b["release"]):
-                if k != key:
-                    key, state = k, fresh_gate()
-                out.append(step_gate(state, at, release, concurrent, daily))
-            yield pd.DataFrame({"key": b["key"], "seq": b["seq"], "outcome": out})
+            cuts = np.flatnonzero(b["key"].to_numpy()[1:] != b["key"].to_numpy()[:-1]) + 1
+            for part in np.split(np.arange(len(b)), cuts):
+                rows = b.iloc[part]
+                if gate is None or rows["key"].iloc[0] != key:
+                    key, gate = rows["key"].iloc[0], idle_gate(concurrent, daily)
+                outcomes, gate = play_gate(gate, rows["at"], rows["release"], concurrent, daily)
+                yield pd.DataFrame({"key": rows["key"], "seq": rows["seq"], "outcome": outcomes})
 
     types = dict(requests.dtypes)
     return placed.mapInPandas(run, f"key {types['key']}, seq {types['seq']}, outcome string")

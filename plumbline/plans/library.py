@@ -230,6 +230,13 @@ def stream_feed(spark, d):
     return sj.run_to_table(sj.progress_feed(events), "append", "feed").select("job_id", "event_id")
 
 
+def stream_evict(spark, d):
+    """Jobs let go twelve hours after they were created, as the watermark passes."""
+    events = _events_of(_stream(spark, d)).select("job_id", "at")
+    with sj.timer_store(spark):
+        return sj.run_to_table(sj.evictions(events, "1 hour", 12 * 3600), "append", "evicted")
+
+
 def stream_visible(spark, d):
     """Every turn sent as JSON in three pieces; what a reader sees of it at the end."""
     raw = tb.table(spark, d, "conversations")
@@ -247,8 +254,9 @@ def _rendered(spark, d):
     """Documents as rendered papers with their segments and pages: a line is a section, and a page."""
     lines = pa.lines(tb.papers(spark, d))
     sections = tb.sections(spark, d).join(lines.select("paper_id", F.col("line_no").alias("section_idx"), "at"), ["paper_id", "section_idx"])
+    sections = cut_lineage(sections)
     pages = lines.select("paper_id", (F.col("line_no") + 1).alias("page"), F.col("at").alias("start"), (F.col("at") + F.length("text") + 1).alias("end"))
-    return sections, pa.render(sections).select("paper_id", "text"), pa.segments(sections), pages
+    return sections, cut_lineage(pa.render(sections).select("paper_id", "text")), pa.segments(sections), pages
 
 
 def resolved(spark, d):
@@ -318,6 +326,7 @@ QUERIES = {
     "s10_timings": timing_export, "s11_backfill": backfill, "s12_once_per_key": once, "x1_dense_plugin": plugged, "x2_map_model": modelled,
     "x5_sentences": udtf_sentences, "x5_chunks": udtf_chunks, "x5_references": udtf_references, "r1_job_state_stream": stream_state,
     "r6_event_windows_stream": stream_windows, "r5_admit_stream": stream_admit, "r3_progress_feed_stream": stream_feed, "r9_visible_stream": stream_visible,
+    "r4_evict_stream": stream_evict,
     "g5_resolve": resolved, "g6_ground_turns": grounded, "g7_anchor_rate": anchors, "g8_dedupe_overlaps": overlaps,
     "g10_answer_grounding": answers, "g12_ground_concepts": ground_concepts, "g12_ground_relations": ground_relations,
 }
@@ -350,6 +359,8 @@ ORACLE = {
     "r1_job_state_stream": JOB_ORACLE["r1_job_state"],
     "r3_progress_feed_stream": JOB_ORACLE["r3_progress_feed"],
     "r9_visible_stream": "SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS message_id, length(coalesce(text, '')) AS chars FROM conversations",
+    "r4_evict_stream": """SELECT user_id AS job_id, epoch_us(CAST(min(ts) AS TIMESTAMP)) // 1000 AS created_ms FROM events GROUP BY 1
+        HAVING epoch_us(CAST(min(ts) AS TIMESTAMP)) // 1000 + 12 * 3600000 <= (SELECT epoch_us(CAST(max(ts) AS TIMESTAMP)) // 1000 - 3600000 FROM events)""",
     "r6_event_windows_stream": JOB_ORACLE["r6_event_windows"],
     "g7_anchor_rate": f"""WITH {gq._MENTION}, c AS (SELECT DISTINCT episode_id, turn_idx FROM said)
         SELECT t.episode_id, count(c.turn_idx) AS anchored, count(*) - count(c.turn_idx) AS unanchored FROM turns t LEFT JOIN c USING (episode_id, turn_idx) GROUP BY 1""",

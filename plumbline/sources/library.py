@@ -206,7 +206,7 @@ def located_in(evidence: DataFrame, sections: DataFrame) -> DataFrame:
 
     ``evidence``: evidence_id, paper_id, text. ``sections``: paper_id, section_idx, heading, content.
     """
-    rendered = pa.render(sections)
+    rendered = cut_lineage(pa.render(sections))
     hits = gr.in_source(gr.find(evidence.withColumnRenamed("evidence_id", "quote_id"), rendered), rendered)
     placed = gr.heading_at(hits, pa.segments(sections.withColumn("at", F.lit(0))))
     return placed.select(F.col("quote_id").alias("evidence_id"), "paper_id", "heading")

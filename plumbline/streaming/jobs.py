@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -14,6 +16,10 @@ from plumbline.operators import jobs as jb
 from plumbline.session import fresh_folder
 
 
+#: State with timers and expiry lives in this store.
+TIMER_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
     """Files of a folder as they arrive; a bound on files bounds each batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -36,18 +42,59 @@ def admit(requests: DataFrame, concurrent: int = 1, daily: int = 25) -> DataFram
     """
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        gate = dict(zip(("running", "window", "started"), state.get)) if state.exists else jb.fresh_gate()
+        gate = state.get if state.exists else jb.idle_gate(concurrent, daily)
         rows = pd.concat(list(batches)).sort_values(["at", "seq"])
-        out = [jb.step_gate(gate, at, rel, concurrent, daily) for at, rel in zip(rows["at"], rows["release"])]
-        state.update((gate["running"], gate["window"], gate["started"]))
+        out, gate = jb.play_gate(gate, rows["at"], rows["release"], concurrent, daily)
+        state.update(gate)
         yield pd.DataFrame({"key": rows["key"].to_numpy(), "seq": rows["seq"].to_numpy(), "outcome": out})
 
     placed = requests.select("key", "seq", F.col("at").cast("double").alias("at"), "release")
     return placed.groupBy("key").applyInPandasWithState(
-        run, "key bigint, seq bigint, outcome string", "running int, window double, started int",
+        run, "key bigint, seq bigint, outcome string", "free int, left int, day_end double",
         "append", GroupStateTimeout.NoTimeout)
 
 
+class _Evictor(StatefulProcessor):
+    """Keeps when a job was created, and a timer for the end of its time to live."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.created = handle.getValueState("created", "at bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = min(int(b["ms"].min()) for b in rows)
+        if self.created.exists():
+            known = self.created.get()[0]
+            over = known + self.ttl_ms <= timerValues.getCurrentWatermarkInMs()
+            if not over and known <= first:
+                return
+            self.handle.deleteTimer(known + self.ttl_ms)
+            if over:  # its timer would fire after these rows
+                yield pd.DataFrame({"job_id": [key[0]], "created_ms": [known]})
+        self.created.update((first,))
+        self.handle.registerTimer(first + self.ttl_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = self.created.get()[0]
+        self.created.clear()
+        yield pd.DataFrame({"job_id": [key[0]], "created_ms": [at]})
+
+
+def evictions(events: DataFrame, late: str, ttl_seconds: int = jb.TTL_SECONDS) -> DataFrame:
+    """Jobs whose time to live has passed, each once, when the watermark reaches its end: job_id, created_ms.
+
+    Only the time of creation is kept, and only for jobs that still live; a job
+    heard of again after that is a new one. Needs the state store that has timers
+    (``TIMER_STORE``).
+    """
+    rows = events.withWatermark("at", late).select("job_id", "at", F.unix_millis("at").alias("ms"))
+    return rows.groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=_Evictor(ttl_seconds * 1000), outputStructType="job_id bigint, created_ms bigint", outputMode="Append", timeMode="EventTime")
+
+
 def progress_feed(events: DataFrame, ttl_ms: int = jb.TTL_SECONDS * 1000) -> DataFrame:
     """Events up to each job's first done or error; state is dropped after the time to live.
 
@@ -102,6 +149,18 @@ def visible_text(whole: str, field: str) -> str | None:
     return json.loads(f'"{m.group(1)}"', strict=False) if m else None
 
 
+@contextmanager
+def timer_store(spark: SparkSession):
+    """The session's state store set to the one with timers, and set back."""
+    name, store = TIMER_STORE
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, store)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def run_to_table(stream: DataFrame, mode: str, name: str, keys: list[str] | None = None) -> DataFrame:
     """Run what is there through a stream and read back the table it wrote.
 

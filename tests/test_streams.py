@@ -23,3 +23,18 @@ def test_late_rows_are_dropped(spark, tmp_path):
     stream = sj.read_stream(spark, folder, spark.read.parquet(folder).schema, files_per_trigger=1)
     got = sj.run_to_table(sj.event_windows(stream, "1 day", "2 hours"), "update", "late", ["window_start", "stage"]).collect()
     assert {(r["window_start"].day, r["stage"]): r["n"] for r in got} == {(1, "a"): 2, (3, "b"): 1, (4, "a"): 1, (4, "b"): 1, (5, "a"): 1}
+
+
+def test_jobs_are_evicted_when_the_watermark_passes_their_time_to_live(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    hour = 3600
+    batches = [[(1, day(1, 0)), (2, day(1, 3)), (1, day(1, 1))], [(3, day(1, 6)), (2, day(1, 2))], [(1, day(1, 9)), (4, day(1, 10))], [(5, day(2, 0))]]
+    for rows in batches:
+        spark.createDataFrame(rows, "job_id long, at timestamp").coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)
+    with sj.timer_store(spark):
+        stream = sj.read_stream(spark, folder, spark.read.parquet(folder).schema, files_per_trigger=1)
+        got = sj.run_to_table(sj.evictions(stream, "1 hour", 4 * hour), "append", "evicted").collect()
+    base = int(day(1).replace(tzinfo=dt.timezone.utc).timestamp())
+    # Job 2 was first heard of at two; job 1 comes again at nine, after it was let go, and is let go again; job 5 still lives.
+    assert sorted((r.job_id, (r.created_ms // 1000 - base) // hour) for r in got) == [(1, 0), (1, 9), (2, 2), (3, 6), (4, 10)]
