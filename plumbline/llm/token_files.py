@@ -41,7 +41,7 @@ from plumbline.session import fresh_folder
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 BLOCK_IDS = 1 << 20
 #: Pieces of words a worker remembers the ids of.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 _HEAD = struct.Struct("<4sQQQQ")
 
 
@@ -86,7 +86,7 @@ class Encoder(Packed):
         self.parts: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.type).tobytes()
+        return struct.pack(f"<{len(ids)}{'HI'[self.type.itemsize > 2]}", *ids)
 
     def _part(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else self._level.pre_tokenize_str(piece)[0][0]

@@ -20,7 +20,7 @@ from plumbline.llm.words import Texts, Words, hash_words
 #: Longest unit a worker remembers between slices, in bytes.
 LONGEST = 64
 #: Bytes of units encoded as one string, and units looked up at once.
-BLOCK, LOOKED = 1 << 16, 1 << 18
+BLOCK, LOOKED = 1 << 16, 1 << 19
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[0x20, 0x0A]] = True
@@ -75,20 +75,25 @@ class Memory:
     def __init__(self):
         self.number: dict[bytes, int] = {}
         self.known: list[list] = []
-        self.long = 0
 
     def learn(self, new: list[bytes]) -> None:
         """Append to the lists what is to be known of new units."""
         raise NotImplementedError
 
     def _numbers(self, names: list[bytes]) -> list[int]:
+        """The numbers of different units. New ones are remembered while there is room and no other has been let go."""
         got = list(map(self.number.get, names))
-        if None in got:
-            new = list(dict.fromkeys(n for n, g in zip(names, got) if g is None))
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-            self.long += sum(len(n) > LONGEST for n in new)
+        missing = [i for i, g in enumerate(got) if g is None]
+        if missing:
+            first = len(self.known[0])
+            missing.sort(key=lambda i: len(names[i]) > LONGEST)
+            new = [names[i] for i in missing]
             self.learn(new)
-            got = list(map(self.number.get, names))
+            if first == len(self.number):
+                room = min(self.remembered - first, sum([len(n) <= LONGEST for n in new]))
+                self.number.update(zip(new[:room], range(first, first + room)))
+            for k, i in enumerate(missing, first):
+                got[i] = k
         return got
 
     def look_up(self, texts: Texts, units: Words, lead: bytes = b"") -> np.ndarray:
@@ -106,28 +111,22 @@ class Memory:
             for i in np.flatnonzero(~same).tolist():
                 out[low + i] = self._numbers([raw[part.start[i]:part.end[i]]])[0]
         if lead:
-            first = np.unique(units.first[:-1][units.count > 0])
-            out[first] = self._numbers([lead + raw[s:e] for s, e in zip(units.start[first].tolist(), units.end[first].tolist())])
+            first = units.first[:-1][units.count > 0]
+            names = [lead + raw[s:e] for s, e in zip(units.start[first].tolist(), units.end[first].tolist())]
+            known = list(dict.fromkeys(names))
+            own = dict(zip(known, self._numbers(known)))
+            out[first] = [own[n] for n in names]
         return out
 
     def forget(self) -> None:
-        """Drop what goes beyond the bound; numbers given out before are void then."""
-        if self.long > self.remembered // 100:
-            keep, self.long = [i for i, n in enumerate(self.number) if len(n) <= LONGEST], 0
-            names = list(self.number)
-            self.number = {names[i]: k for k, i in enumerate(keep)}
-            for held in self.known:
-                held[:] = [held[i] for i in keep]
-        while len(self.number) > self.remembered:  # the newest go first
-            self.number.popitem()
+        """Let go what is not remembered; its numbers are void then."""
         for held in self.known:
-            del held[self.remembered:]
+            del held[len(self.number):]
 
 
 class Packed(Memory):
     """Ids of units as packed numbers, put together for whole texts."""
 
-    remembered = 500_000
     type: np.dtype
     find = staticmethod(find_units)
 
@@ -139,8 +138,12 @@ class Packed(Memory):
     def encode(self, texts: Texts, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each followed by ``end_id`` if given, and their number in each text."""
         units = self.find(texts)
-        used, order = np.unique(self.look_up(texts, units), return_inverse=True)
-        packed, counts = [self.packed[i] for i in used.tolist()], units.count
+        numbers = self.look_up(texts, units)
+        place = np.zeros(len(self.packed) + 1, np.int64)
+        place[numbers] = 1
+        used = np.flatnonzero(place)
+        place[used] = np.arange(len(used))
+        order, packed, counts = place[numbers], [self.packed[i] for i in used.tolist()], units.count
         if end_id is not None:
             order, counts = np.insert(order, units.first[1:], len(packed)), counts + 1
             packed.append(np.array([end_id], self.type).tobytes())

@@ -41,7 +41,7 @@ def test_forgetting_keeps_what_is_known(monkeypatch):
     e = packing.Encoder(units.vocabulary(packing.TOKENIZER))
     texts = texts_of(pa.array(["one two three four five", "five one " + "x" * 90 + " six", "two six"]))
     first, again = e.encode(texts, 0), e.encode(texts, 0)
-    assert len(e.number) == len(e.packed) == 3 and first[0].tolist() == again[0].tolist()
+    assert len(e.number) == len(e.packed) == 3 and "x" * 90 not in str(list(e.number)) and first[0].tolist() == again[0].tolist()
 
 
 def test_pointer_jumping_needs_a_logarithm_of_rounds():
