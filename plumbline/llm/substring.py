@@ -14,8 +14,9 @@ Of the places of a run the first (by document, then position) is kept; what the
 other runs of a passage cover may be removed.
 
 Defined results: a NULL or empty text has no chunk; a text of any length is cut
-whole; a passage repeated inside one document is found like any other; rows
-that repeat a ``doc_id`` are one place, a NULL ``doc_id`` is a document like others; an empty
+whole; a passage repeated inside one document is found like any other; rows of one
+``doc_id`` and text are one place, those of one ``doc_id`` and different texts are texts of their own, told by
+``text_id``; a NULL ``doc_id`` is a document like others; an empty
 table gives an empty result. Columns other than ``doc_id`` and ``text`` are only passed on.
 """
 
@@ -123,32 +124,39 @@ def run_digests(docs: DataFrame) -> DataFrame:
     return map_texts(docs.select("text"), lambda part, texts: {"digest": runs(texts)[0].view(np.int64)}, "digest bigint")
 
 
+def with_text_id(docs: DataFrame) -> DataFrame:
+    """doc_id, text_id, text: a text is told by its document and a hash of it."""
+    return docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
+
+
 def run_table(docs: DataFrame) -> DataFrame:
-    """digest, doc_id, nth: every run, by its number in the text."""
+    """digest, doc_id, text_id, nth: every run, by its number in the text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def fn(part, texts):
         grams, owner, _, _ = runs(texts)
-        nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
-        return {"digest": grams.view(np.int64), "doc_id": part.column("doc_id").take(pa.array(owner)), "nth": nth.astype(np.int32)}
+        nth, at = np.arange(len(owner)) - np.searchsorted(owner, owner), pa.array(owner)
+        return {"digest": grams.view(np.int64), "doc_id": part.column("doc_id").take(at), "text_id": part.column("text_id").take(at), "nth": nth.astype(np.int32)}
 
-    return map_texts(docs.select("doc_id", "text"), fn, f"digest bigint, doc_id {kind}, nth int")
+    return map_texts(with_text_id(docs), fn, f"digest bigint, doc_id {kind}, text_id bigint, nth int")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start, end (bytes), n_words, removable: passages that occur elsewhere too.
+    """doc_id, text_id, start, end (bytes), n_words, removable: passages that occur elsewhere too.
 
     ``removable`` lists the spans of it that have an earlier place. Digests are
-    counted before the shuffle that brings them together, so a passage that
-    a third of the documents share is a few rows; the places of shared digests
-    are found by a second reading, joined to them.
+    counted before the shuffle that brings them together; the places of shared
+    digests are found by a second reading, joined to them. Both that join and the
+    one with the first place of each digest have tables on both sides, so Spark
+    splits a digest that a third of the documents hold.
     """
     shared = keep_table(run_digests(docs).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "shared-runs")
     hits = keep_table(run_table(docs).join(shared, "digest"), "run-hits")
-    first = hits.groupBy("digest").agg(F.min(F.struct("doc_id", "nth")).alias("first"))
-    flags = hits.join(first, "digest").select("doc_id", "nth", (~F.struct("doc_id", "nth").eqNullSafe(F.col("first"))).alias("later"))
-    # A document's own runs: bounded by its text.
-    listed = flags.groupBy("doc_id").agg(F.collect_set(F.struct("nth", "later")).alias("hits"))
+    place = F.struct("doc_id", "text_id", "nth")
+    first = keep_table(hits.groupBy("digest").agg(F.min(place).alias("first")), "run-first")
+    flags = hits.join(first, "digest").select("doc_id", "text_id", "nth", (~place.eqNullSafe(F.col("first"))).alias("later"))
+    # A text's own runs: bounded by its text.
+    listed = flags.groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("nth", "later")).alias("hits"))
     return _passages(docs, listed, min_words)
 
 
@@ -165,8 +173,8 @@ def _joined(start: np.ndarray, end: np.ndarray):
 
 def _passages(docs: DataFrame, listed: DataFrame, min_words: int) -> DataFrame:
     """Join the shared runs of each text to passages and keep those of enough words."""
-    mine = listed.withColumnRenamed("doc_id", "_id")
-    held = docs.select("doc_id", "text").join(mine, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", F.col("hits.nth").alias("nth"), F.col("hits.later").alias("later"))
+    mine = listed.select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text"), "hits")
+    held = with_text_id(docs).join(mine, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_id") == F.col("_text"))).select("doc_id", "text_id", "text", F.col("hits.nth").alias("nth"), F.col("hits.later").alias("later"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def fn(part, texts):
@@ -190,16 +198,19 @@ def _passages(docs: DataFrame, listed: DataFrame, min_words: int) -> DataFrame:
                     cut = [{"start": int(x[b]) - base, "end": int(y[c - 1]) - base} for b, c in _joined(x, y)]
                     for k, v in zip(out, (i, int(s[a]) - base, int(e[z - 1]) - base, int(hi - lo), cut)):
                         out[k].append(v)
-        return {"doc_id": part.column("doc_id").take(pa.array(out["row"], pa.int64())), "start": pa.array(out["start"], pa.int64()),
+        at = pa.array(out["row"], pa.int64())
+        return {"doc_id": part.column("doc_id").take(at), "text_id": part.column("text_id").take(at), "start": pa.array(out["start"], pa.int64()),
                 "end": pa.array(out["end"], pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()), "removable": pa.array(out["removable"], _SPANS)}
 
-    return map_texts(held, fn, f"doc_id {kind}, start bigint, end bigint, n_words bigint, removable array<struct<start:bigint,end:bigint>>")
+    return map_texts(held, fn, f"doc_id {kind}, text_id bigint, start bigint, end bigint, n_words bigint, removable array<struct<start:bigint,end:bigint>>")
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with removable passages cut out of their texts."""
-    cuts = repeats(docs, min_words).distinct().groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("removable"))).alias("_cuts")).withColumnRenamed("doc_id", "_cut_id")
-    held = docs.join(cuts, docs["doc_id"].eqNullSafe(cuts["_cut_id"]), "left").drop("_cut_id")
+    cuts = repeats(docs, min_words).distinct().groupBy(F.col("doc_id").alias("_cut_id"), F.col("text_id").alias("_cut_text")).agg(
+        F.sort_array(F.flatten(F.collect_list("removable"))).alias("_cuts"))
+    same = docs["doc_id"].eqNullSafe(cuts["_cut_id"]) & (F.xxhash64(docs["text"]) == cuts["_cut_text"])
+    held = docs.join(cuts, same, "left").drop("_cut_id", "_cut_text")
     names = docs.columns
 
     def run(batches):

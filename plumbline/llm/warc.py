@@ -5,8 +5,8 @@ on records of the table; then every record is a frame of its own, so a reader
 can start at any record. A payload that several pages share is stored once, by
 the page of the largest id; the others are revisit records that refer to it.
 
-The dictionary is fitted on a bounded sample (``SAMPLE`` records of at most
-``SAMPLE_BYTES``), the rest of the work covers every row.
+The dictionary is fitted on a bounded sample (``SAMPLE`` records, the
+first ``SAMPLE_BYTES`` of each), the rest of the work covers every row.
 
 Defined results: a NULL or empty html is an empty payload, which revisits like
 any other; a payload of any length is one record; rows that repeat the page id
@@ -54,11 +54,11 @@ def digests(pages: DataFrame) -> DataFrame:
 
 
 def dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from records of the table, empty if there are none."""
-    small = pages.filter(F.octet_length("html").between(1, SAMPLE_BYTES)).select("page_id", F.xxhash64("page_id", "html").alias("mark"))
-    chosen = small.orderBy("mark").limit(SAMPLE)
-    rows = pages.select("page_id", "html", F.xxhash64("page_id", "html").alias("mark")).join(F.broadcast(chosen.select("mark").distinct()), "mark", "left_semi")
-    found = sorted({r["html"].encode() for r in rows.filter(F.octet_length("html") <= SAMPLE_BYTES).select("html").distinct().collect()})  # SAMPLE rows
+    """A dictionary from the beginnings of records chosen by hash among all that are not empty; empty if there are none."""
+    marked = pages.filter(F.octet_length("html") > 0).select("html", F.xxhash64("page_id", "html").alias("mark"))
+    chosen = marked.select("mark").distinct().orderBy("mark").limit(SAMPLE)
+    begun = F.substring(F.encode("html", "UTF-8"), 1, SAMPLE_BYTES).alias("begun")
+    found = sorted({bytes(r["begun"]) for r in marked.join(F.broadcast(chosen), "mark", "left_semi").select(begun).distinct().collect()})  # SAMPLE rows
     if not found:
         return b""
     try:

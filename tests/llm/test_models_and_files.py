@@ -139,3 +139,11 @@ def test_long_rows_are_pieces_of_their_own():
 
 def test_schema_is_the_given_one(spark):
     assert documents(spark).schema.simpleString() == spark.createDataFrame([], SCHEMA).schema.simpleString()
+
+
+def test_long_pages_teach_the_dictionary_too(spark):
+    long = [(k, "u", f"<html>{k}" + "common words of every page here " * 3000) for k in range(30)]
+    pages = spark.createDataFrame(long + [(99, "u", ""), (98, "u", None)], "page_id long, url string, html string")
+    book = warc.dictionary(pages)
+    assert 0 < len(book) <= warc.DICTIONARY_BYTES and b"common words of every page" in book
+    assert warc.dictionary(pages.filter("page_id > 90")) == b""

@@ -120,3 +120,15 @@ def test_every_window_holds_a_cut(monkeypatch):
         monkeypatch.setattr(W, "SLICE", size)
         again = S.chunks(texts)
         assert (again.start == c.start).all() and (again.end == c.end).all()
+
+
+def test_texts_of_one_document_are_told_apart(spark):
+    passage, other = prose(70, 80), prose(71, 300)
+    table = [(1, f"{passage} {prose(72, 40)}", None, None, None), (2, f"{prose(73, 40)} {passage}", None, None, None), (1, other, None, None, None), (1, f"{passage} {prose(72, 40)}", None, None, None)]
+    found = S.repeats(spark.createDataFrame(table, SCHEMA)).distinct().collect()
+    by_text = {}
+    for f in found:
+        by_text.setdefault((f.doc_id, f.text_id), []).append(f)
+    assert len(by_text) == 2 and {d for d, _ in by_text} == {1, 2}
+    kept = [(r.doc_id, r.text) for r in S.deduplicated(spark.createDataFrame(table, SCHEMA)).collect()]
+    assert (1, other) in kept
