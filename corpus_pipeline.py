@@ -6,6 +6,13 @@ copies stays, documents that hold benchmark passages go, sources are mixed to
 their target weights (a document may come up to three times), and the rest is
 encoded into token files, of which the last stage returns one row per document.
 
+Defined results: rows without an id, repeated rows, and rows of one id with different
+texts are documents like others to every stage, as the stages' own modules say; a
+NULL or empty text is scored, is a near copy of nothing, holds no passage, has size
+0 and so is not taken by the mix; an empty table stays empty through all stages.
+Columns beyond those of documents pass through the first four stages as they are,
+whatever their names; the last returns its own columns only.
+
 The classifier is fitted on the documents the first stage is given and on labels
 outside the held-out fifth.
 """
