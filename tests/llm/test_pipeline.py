@@ -3,10 +3,12 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from plumbline.llm import mixing, quality
 from plumbline.llm.common import table
-from tests.llm.helpers import SCHEMA, edited, prose
+from tests.llm.helpers import SCHEMA, documents, edited, prose
 from tests.llm.test_jaccard import brute as brute_groups
 from tests.llm.test_token_files import brute as brute_tokens
 from tests.llm.test_token_files import tokenizer  # noqa: F401
@@ -105,3 +107,24 @@ def test_near_copies_are_told_by_five_words_and_80_percent(spark, sf):
     docs = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], SCHEMA)
     assert {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, sf).collect()} == set(up)
     assert {4, 5, 6} & set(up) == set()
+
+
+def test_awkward_rows_pass_through_all_stages(spark, sf):
+    """NULL and repeated ids, empty and NULL texts, and columns named like those the stages make."""
+    awkward = {"size": F.lit(7), "score": F.lit("x"), "component_id": F.lit(None).cast("long"), "taken": F.lit(1.5), "text_id": F.lit("y"), "n_hit": F.lit(2)}
+    docs = documents(spark).withColumns(awkward)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        before = {(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()}
+        docs = corpus_pipeline.keep_table(stage(spark, docs, sf), "stage")
+        if stage is not corpus_pipeline.encoded:
+            assert docs.columns == columns, name
+            assert {(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()} <= before, name
+    assert docs.count() == docs.select("start", "doc_id").distinct().count()
+
+
+def test_an_empty_table_passes_through_all_stages(spark, sf):
+    docs = spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.keep_table(stage(spark, docs, sf), "stage")
+        assert docs.count() == 0
