@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as tx
 
 TILE = 4096
-SMALL_SIDE = 4096
 PIVOTS = 32
 
 
@@ -80,19 +79,6 @@ def _against(queries: DataFrame, vectors: DataFrame, k: int | None) -> DataFrame
     schema = "query_id bigint, id bigint, score double"
     queries = queries.select(F.col("query_id").cast("bigint"), "vector")
     vectors = vectors.select(F.col("id").cast("bigint"), "vector")
-    head = queries.limit(SMALL_SIDE + 1).toPandas()
-    if len(head) == 0:
-        return queries.sparkSession.createDataFrame([], schema)
-    if len(head) <= SMALL_SIDE:
-        # The query side was counted: it fits one block, so each task holds it.
-        qid, qm = head["query_id"].to_numpy(), _unit(head["vector"])
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if len(b):
-                    yield _pairs(qid, b["id"].to_numpy(), qm @ _unit(b["vector"]).T, k)
-
-        return vectors.mapInPandas(scan, schema)
     tiles = lambda n: max(1, math.ceil(n / TILE))
     tq, tv = tiles(queries.count()), tiles(vectors.count())
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

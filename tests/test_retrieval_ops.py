@@ -90,7 +90,6 @@ def test_knn_by_block_and_by_tiles(spark, monkeypatch):
     want = {(i, int(j)) for i in range(7) for j in np.argsort(-c[i], kind="stable")[:4]}
     as_set = lambda df: {(r["query_id"], r["id"]) for r in df.collect()}
     assert as_set(de.knn(q, v, 4)) == want
-    monkeypatch.setattr(de, "SMALL_SIDE", 3)
     monkeypatch.setattr(de, "TILE", 5)
     assert as_set(de.knn(q, v, 4)) == want
 
