@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -124,27 +126,60 @@ def assemble(deltas: DataFrame, field: str) -> DataFrame:
     """
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        whole, shown = state.get if state.exists else ("", None)
+        reader = FieldReader(field, *(state.get if state.exists else ()))
         rows = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for seq, part in zip(rows["seq"], rows["content"]):
-            whole += part or ""
-            now = visible_text(whole, field)
-            if now is not None and now != shown:
-                shown = now
-                out.append((key[0], seq, now))
-        state.update((whole, shown))
+        out = [(key[0], seq, reader.shown) for seq, part in zip(rows["seq"], rows["content"]) if reader.feed(part or "")]
+        state.update((reader.phase, reader.rest, reader.shown))
         yield pd.DataFrame(out, columns=["message_id", "seq", "visible"])
 
     return deltas.groupBy("message_id").applyInPandasWithState(
-        run, "message_id bigint, seq bigint, visible string", "whole string, shown string", "append", GroupStateTimeout.NoTimeout)
+        run, "message_id bigint, seq bigint, visible string", "phase int, rest string, shown string", "append", GroupStateTimeout.NoTimeout)
+
+
+class FieldReader:
+    """Reads one string field of a JSON object as it arrives; a piece costs its own length.
+
+    Held between pieces: whether the field is ahead, open or over, what has come
+    and cannot be read yet (a piece of its name, or of an escape), and its text so far.
+    """
+
+    AHEAD, OPEN, OVER = range(3)
+    _TEXT = re.compile(r'(?:[^"\\]|\\[^u]|\\u[0-9a-fA-F]{4})*', re.S)
+    #: An escape that may still be completed, and the first half of a pair of escapes.
+    _BROKEN, _HALF = re.compile(r"\\(?:u[0-9a-fA-F]{0,3})?"), re.compile(r"(?<!\\)(?:\\\\)*(\\u[dD][89abAB][0-9a-fA-F]{2})\Z")
+
+    def __init__(self, field: str, phase: int = AHEAD, rest: str = "", shown: str | None = None):
+        self.phase, self.rest, self.shown = phase, rest, shown
+        name = f'"{field}"'
+        self._start = re.compile(rf'{re.escape(name)}\s*:\s*"')
+        # A start that the next piece may complete, else as many letters as a part of the name can have.
+        self._begun, self._least = re.compile(rf"{re.escape(name)}\s*:?\s*\Z"), len(name) - 1
+
+    def feed(self, part: str) -> bool:
+        """Take a piece in; whether the text has grown, or has come to be known."""
+        got, before = self.rest + part, self.shown
+        if self.phase == self.AHEAD:
+            start = self._start.search(got)
+            if not start:
+                begun = self._begun.search(got)
+                self.rest = got[begun.start():] if begun else got[len(got) - self._least:] if len(got) > self._least else got
+                return False
+            self.phase, self.shown, got = self.OPEN, "", got[start.end():]
+        if self.phase == self.OPEN:
+            text = self._TEXT.match(got)[0]
+            rest = got[len(text):]
+            half = None if rest[:1] == '"' else self._HALF.search(text)
+            if half and (not rest or self._BROKEN.fullmatch(rest)):
+                text, rest = text[:half.start(1)], text[half.start(1):] + rest
+            elif rest and not self._BROKEN.fullmatch(rest):
+                self.phase, rest = self.OVER, ""
+            self.rest = rest
+            self.shown += json.loads(f'"{text}"', strict=False)
+        return self.shown != before
 
 
 def visible_text(whole: str, field: str) -> str | None:
     """What a partly received JSON object shows of one string field."""
-    import json
-    import re
-
     m = re.search(rf'"{re.escape(field)}"\s*:\s*"((?:[^"\\]|\\[^u]|\\u[0-9a-fA-F]{{4}})*)', whole, re.S)
     return json.loads(f'"{m.group(1)}"', strict=False) if m else None
 
