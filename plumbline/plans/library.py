@@ -62,8 +62,8 @@ def delete(spark, d):
 def saved(spark, d):
     path = fresh_folder(spark, "records")
     lb.save_table(_records(spark, d), path)
-    lb.save_table(spark.read.parquet(path).filter("turnCount > 3"), path)
-    return spark.read.parquet(path).select("id", "turnCount")
+    lb.save_table(lb.load_table(spark, path).filter("turnCount > 3"), path)
+    return lb.load_table(spark, path).select("id", "turnCount")
 
 
 def cache(spark, d):

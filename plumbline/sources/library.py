@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -66,27 +67,41 @@ def delete_by_id(records: DataFrame, ids: DataFrame) -> DataFrame:
     return records.join(ids.filter(F.col("id").rlike(ID)).select("id"), "id", "left_anti")
 
 
-def save_table(df: DataFrame, path: str) -> None:
-    """Replace a table whole: write beside it, then swap the folders.
+def _versions(spark: SparkSession, path: str):
+    """The file system of a table, and its versions from the oldest: number, name, when it became current (seconds)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [(s.getPath().getName(), s.getModificationTime() / 1000) for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return fs, sorted((int(n), v, at) for (n, v), at in ((x.removeprefix("current-").split("."), at) for x, at in found if x.startswith("current-")))
 
-    Readers see the old table or the new one. If the swap fails the old one is put back.
+
+def save_table(df: DataFrame, path: str, kept: int = 2, grace: float = 3600.0) -> None:
+    """Replace a table whole: write a new version, then name it the current one.
+
+    A version is a folder of its own; it becomes current with one empty file whose
+    name says so, which is there or not. The last ``kept`` versions stay, and any
+    that was current within ``grace`` seconds, so a reader that has chosen one can
+    finish; a version whose writing failed is never named.
     """
-    spark = df.sparkSession
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    staged = jvm.org.apache.hadoop.fs.Path(f"{path}.new-{uuid.uuid4().hex}")
-    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex}")
-    df.write.parquet(staged.toString())
-    had = fs.exists(target)
-    if had and not fs.rename(target, aside):
-        raise OSError(f"could not set aside {path}")
-    if not fs.rename(staged, target):
-        if had:
-            fs.rename(aside, target)
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    df.write.parquet(f"{path}/v-{version}")
+    fs, known = _versions(spark, path)
+    place = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    number = known[-1][0] + 1 if known else 0
+    if not fs.createNewFile(place(f"current-{number:012d}.{version}")):
         raise OSError(f"could not replace {path}")
-    if had:
-        fs.delete(aside, True)
+    for (n, old, _), (*_, replaced) in list(zip(known, known[1:]))[:max(0, len(known) + 1 - kept)]:
+        if replaced < time.time() - grace:
+            fs.delete(place(f"current-{n:012d}.{old}"), False)
+            fs.delete(place(f"v-{old}"), True)
+
+
+def load_table(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a saved table."""
+    _, known = _versions(spark, path)
+    if not known:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/v-{known[-1][1]}")
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:

@@ -229,10 +229,27 @@ def test_library_files(spark, tmp_path):
 
 def test_save_table_replaces(spark, tmp_path):
     path = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        lb.load_table(spark, path)
     lb.save_table(spark.range(5), path)
-    lb.save_table(spark.read.parquet(path).filter("id > 2"), path)
-    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [3, 4]
-    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["t"]
+    lb.save_table(lb.load_table(spark, path).filter("id > 2"), path)
+    assert sorted(r["id"] for r in lb.load_table(spark, path).collect()) == [3, 4]
+    for n in range(1, 4):
+        lb.save_table(spark.range(n), path, grace=0)
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]) == 2 and lb.load_table(spark, path).count() == 3
+
+
+def test_a_reader_always_meets_a_whole_table(spark, tmp_path):
+    from threading import Thread
+
+    path, seen = str(tmp_path / "t"), []
+    lb.save_table(spark.range(0, 100, 1, 2), path)
+    writer = Thread(target=lambda: [lb.save_table(spark.range(0, 100 * (k + 2), 1, 2), path) for k in range(6)])
+    writer.start()
+    while writer.is_alive() or not seen:
+        seen.append(lb.load_table(spark, path).count())
+    writer.join()
+    assert all(n % 100 == 0 and n > 0 for n in seen) and seen == sorted(seen)
 
 
 def test_embed_cache(spark):
