@@ -47,8 +47,18 @@ def _matches(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def check_schema(turns, episodes, papers) -> DataFrame:
+    """Turns without a known speaker or a text; where episodes carry them, a summary and key points that are no texts.
+
+    ``episodes`` may have ``summary`` and ``key_points`` (an array of texts).
+    """
     bad = ~F.coalesce(F.col("speaker").isin("host", "guest", "narrator"), F.lit(False)) | F.col("text").isNull()
     rows = turns.filter(bad).select("episode_id", F.struct("turn_idx").alias("at"), F.coalesce("speaker", F.lit("")).alias("what"))
+    wanted = {"summary": ("summary", F.col("summary").isNull()),
+              "key_points": ("keyPoints", F.col("key_points").isNull() | F.exists("key_points", lambda k: k.isNull()))}
+    kind = turns.schema["turn_idx"].dataType
+    for n, column in enumerate(c for c in wanted if c in episodes.columns):
+        name, missing = wanted[column]
+        rows = episodes.filter(missing).select("episode_id", F.struct(F.lit(n - len(wanted)).cast(kind).alias("turn_idx")).alias("at"), F.lit(name).alias("what")).unionByName(rows)
     return result(episodes, rows, "schema", "error")
 
 

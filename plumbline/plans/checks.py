@@ -28,6 +28,15 @@ def _check(fn):
     return lambda spark, d: fn(*_args(spark, d))
 
 
+def schema(spark, d):
+    """An episode's narrator gives its summary, its guest the key points; not every episode has both."""
+    t, e, p = _args(spark, d)
+    said = t.groupBy("episode_id").agg(F.min_by(F.when(F.col("speaker") == "narrator", F.col("text")), F.when(F.col("speaker") == "narrator", F.col("turn_idx"))).alias("summary"),
+                                       F.collect_list(F.when(F.col("speaker") == "guest", F.col("text"))).alias("points"))
+    told = said.select("episode_id", "summary", F.when(F.size("points") > 0, F.col("points")).alias("key_points"))
+    return ck.check_schema(t, e.join(told, "episode_id", "left"), p)
+
+
 def length(spark, d):
     t, e, _ = _args(spark, d)
     return ck.measure_length(t, e).drop("minutes", "format").withColumn("ratio", F.round("ratio", 6))
@@ -77,7 +86,7 @@ def notes(spark, d):
 
 
 QUERIES = {
-    "c1_schema": _check(ck.check_schema), "c2_alternation": _check(ck.check_alternation),
+    "c1_schema": schema, "c2_alternation": _check(ck.check_alternation),
     "c3_turn_count": _check(ck.check_turn_count), "c4_length": length, "c4_word_count": _check(ck.check_word_count),
     "c5_show_name": _check(ck.check_show_name), "c6_honorifics": _check(ck.check_honorifics),
     "c7_expertise": _check(ck.check_expertise), "c8_impersonation": _check(ck.check_impersonation),
@@ -153,7 +162,9 @@ _AUTHOR = " || ".join(f"regexp_extract_all(text, '(?i){_B}({p})', 1)" for p in (
     "our\\s+(?:approach|methods?|experiments|system|paper|architecture|design|results|work|model)\\b", "in our\\s+\\w+"))
 
 ORACLE = {
-    "c1_schema": _result(f"WITH {BASE}, off AS (SELECT episode_id, turn_idx AS a, 0 AS b, coalesce(speaker, '') AS what FROM turns WHERE coalesce(speaker NOT IN ('host', 'guest', 'narrator'), true) OR text IS NULL)", "schema", "error"),
+    "c1_schema": _result(f"WITH {BASE}, off AS (SELECT episode_id, turn_idx AS a, 0 AS b, coalesce(speaker, '') AS what FROM turns WHERE coalesce(speaker NOT IN ('host', 'guest', 'narrator'), true) OR text IS NULL"
+                         " UNION ALL SELECT episode_id, -2, 0, 'summary' FROM episodes WHERE episode_id NOT IN (SELECT episode_id FROM turns WHERE speaker = 'narrator' AND text IS NOT NULL)"
+                         " UNION ALL SELECT episode_id, -1, 0, 'keyPoints' FROM episodes WHERE episode_id NOT IN (SELECT episode_id FROM turns WHERE speaker = 'guest' AND text IS NOT NULL))", "schema", "error"),
     "c2_alternation": _result(f"""WITH {BASE}, {FORMATS},
         p AS (SELECT *, lag(speaker) OVER (PARTITION BY episode_id ORDER BY turn_idx) AS before FROM turns),
         off AS (SELECT episode_id, -1 AS a, 0 AS b, 'mixed formats' AS what FROM formats WHERE narrated > 0 AND narrated < turns

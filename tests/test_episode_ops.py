@@ -258,3 +258,13 @@ def test_embed_cache(spark):
     found, fresh = lb.embed_with_cache(texts, key, lambda t: [[1.0]] * len(t), "m")
     assert {r["i"]: r["vector"] for r in found.collect()} == {1: [9.0], 2: [1.0], 3: [1.0]} and fresh.count() == 1
     assert lb.embed_with_cache(texts, key, lambda t: [], "m") is None
+
+
+def test_schema_wants_a_summary_and_key_points(spark):
+    from plumbline.operators import checks as ck
+
+    turns = spark.createDataFrame([(k, 0, "host", "Hello.") for k in range(4)] + [(1, 1, "robot", "Beep.")], "episode_id long, turn_idx int, speaker string, text string")
+    episodes = spark.createDataFrame([(0, "All good.", ["One."]), (1, None, ["One."]), (2, "Fine.", ["One.", None]), (3, None, None)], "episode_id long, summary string, key_points array<string>")
+    got = {r.episode_id: (r.passed, r.offences, r.first_offence) for r in ck.check_schema(turns, episodes, None).collect()}
+    assert got == {0: (True, 0, None), 1: (False, 2, "summary"), 2: (False, 1, "keyPoints"), 3: (False, 2, "summary")}
+    assert {r.episode_id: r.offences for r in ck.check_schema(turns, episodes.select("episode_id"), None).collect()} == {0: 0, 1: 1, 2: 0, 3: 0}
