@@ -125,8 +125,14 @@ def run_digests(docs: DataFrame) -> DataFrame:
 
 
 def with_text_id(docs: DataFrame) -> DataFrame:
-    """doc_id, text_id, text: a text is told by its document and a hash of it."""
-    return docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
+    """doc_id, text_id, text: a text is told by its document, and by a hash of it where a ``doc_id`` has several rows.
+
+    Ids that repeat are few, so Spark sends their table to the texts; elsewhere
+    ``text_id`` is 0, which takes no room in what is shuffled.
+    """
+    many = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_many"), F.lit(True).alias("_again"))
+    own = F.when(F.col("_again"), F.xxhash64("text")).otherwise(F.lit(0)).cast("bigint")
+    return docs.select("doc_id", "text").join(many, F.col("doc_id").eqNullSafe(F.col("_many")), "left").select("doc_id", own.alias("text_id"), "text")
 
 
 def run_table(docs: DataFrame) -> DataFrame:
@@ -209,7 +215,7 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with removable passages cut out of their texts."""
     cuts = repeats(docs, min_words).distinct().groupBy(F.col("doc_id").alias("_cut_id"), F.col("text_id").alias("_cut_text")).agg(
         F.sort_array(F.flatten(F.collect_list("removable"))).alias("_cuts"))
-    same = docs["doc_id"].eqNullSafe(cuts["_cut_id"]) & (F.xxhash64(docs["text"]) == cuts["_cut_text"])
+    same = docs["doc_id"].eqNullSafe(cuts["_cut_id"]) & ((cuts["_cut_text"] == 0) | (F.xxhash64(docs["text"]) == cuts["_cut_text"]))
     held = docs.join(cuts, same, "left").drop("_cut_id", "_cut_text")
     names = docs.columns
 
