@@ -152,14 +152,13 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     ``removable`` lists the spans of it that have an earlier place. Digests are
     counted before the shuffle that brings them together; the places of shared
-    digests are found by a second reading, joined to them. Both that join and the
-    one with the first place of each digest have tables on both sides, so Spark
-    splits a digest that a third of the documents hold.
+    digests are found by a second reading, joined to them. The places of one
+    digest meet in one task to find the first.
     """
     shared = keep_table(run_digests(docs).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "shared-runs")
     hits = keep_table(run_table(docs).join(shared, "digest"), "run-hits")
     place = F.struct("doc_id", "text_id", "nth")
-    first = keep_table(hits.groupBy("digest").agg(F.min(place).alias("first")), "run-first")
+    first = hits.groupBy("digest").agg(F.min(place).alias("first"))
     flags = hits.join(first, "digest").select("doc_id", "text_id", "nth", (~place.eqNullSafe(F.col("first"))).alias("later"))
     # A text's own runs: bounded by its text.
     listed = flags.groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("nth", "later")).alias("hits"))
