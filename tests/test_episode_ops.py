@@ -32,6 +32,13 @@ def test_clean_control_passes_and_every_fault_is_caught(spark):
     assert len(rows) == 9 and all(r["rate"] == 1.0 for r in rows)
 
 
+def test_all_checks_together_see_the_summary_and_key_points(spark, sf):
+    queries = registry.queries()
+    want = {(r["episode_id"], r["passed"], r["offences"]) for r in queries["c1_schema"](spark, sf).collect()}
+    got = {(r["episode_id"], r["passed"], r["offences"]) for r in queries["x3_run_checks"](spark, sf).filter("check_id = 'schema'").collect()}
+    assert got == want and not all(passed for _, passed, _ in want)
+
+
 def test_turn_targets(spark):
     got = spark.range(1).select(ck.target_turns(F.lit(4), F.lit("dialogue")).alias("a"), ck.target_turns(F.lit(1), F.lit("dialogue")).alias("b")).collect()[0]
     assert (got["a"], got["b"]) == (14, 6)
