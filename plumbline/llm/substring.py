@@ -127,24 +127,26 @@ def run_digests(docs: DataFrame) -> DataFrame:
 def with_text_id(docs: DataFrame) -> DataFrame:
     """doc_id, text_id, text: a text is told by its document, and by a hash of it where a ``doc_id`` has several rows.
 
-    Ids that repeat are few, so Spark sends their table to the texts; elsewhere
-    ``text_id`` is 0, which takes no room in what is shuffled.
+    Ids that repeat are counted and written first, so Spark knows the size of
+    their table and, where they are few, sends it to the texts, which are not
+    shuffled; elsewhere ``text_id`` is 0, which takes no room in what is shuffled.
     """
     many = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_many"), F.lit(True).alias("_again"))
+    many = keep_table(many, "repeated-ids", release=True)
     own = F.when(F.col("_again"), F.xxhash64("text")).otherwise(F.lit(0)).cast("bigint")
     return docs.select("doc_id", "text").join(many, F.col("doc_id").eqNullSafe(F.col("_many")), "left").select("doc_id", own.alias("text_id"), "text")
 
 
-def run_table(docs: DataFrame) -> DataFrame:
-    """digest, doc_id, text_id, nth: every run, by its number in the text."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def run_table(told: DataFrame) -> DataFrame:
+    """digest, doc_id, text_id, nth: every run, by its number in the text; ``told`` has its ``text_id``."""
+    kind = told.schema["doc_id"].dataType.simpleString()
 
     def fn(part, texts):
         grams, owner, _, _ = runs(texts)
         nth, at = np.arange(len(owner)) - np.searchsorted(owner, owner), pa.array(owner)
         return {"digest": grams.view(np.int64), "doc_id": part.column("doc_id").take(at), "text_id": part.column("text_id").take(at), "nth": nth.astype(np.int32)}
 
-    return map_texts(with_text_id(docs), fn, f"digest bigint, doc_id {kind}, text_id bigint, nth int")
+    return map_texts(told, fn, f"digest bigint, doc_id {kind}, text_id bigint, nth int")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -152,17 +154,18 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     ``removable`` lists the spans of it that have an earlier place. Digests are
     counted before the shuffle that brings them together; the places of shared
-    digests are found by a second reading, joined to them. The places of one
-    digest meet in one task to find the first.
+    digests are found by a second reading, joined to them, and so are the first
+    places. Each step is written, and what it shuffled let go, before the next.
     """
-    shared = keep_table(run_digests(docs).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "shared-runs")
-    hits = keep_table(run_table(docs).join(shared, "digest"), "run-hits")
+    shared = keep_table(run_digests(docs).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "shared-runs", release=True)
+    told = with_text_id(docs)
+    hits = keep_table(run_table(told).join(shared, "digest"), "run-hits", release=True)
     place = F.struct("doc_id", "text_id", "nth")
-    first = hits.groupBy("digest").agg(F.min(place).alias("first"))
-    flags = hits.join(first, "digest").select("doc_id", "text_id", "nth", (~place.eqNullSafe(F.col("first"))).alias("later"))
+    first = keep_table(hits.groupBy("digest").agg(F.min(place).alias("first")), "first-places", release=True)
+    flags = keep_table(hits.join(first, "digest").select("doc_id", "text_id", "nth", (~place.eqNullSafe(F.col("first"))).alias("later")), "run-flags", release=True)
     # A text's own runs: bounded by its text.
     listed = flags.groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("nth", "later")).alias("hits"))
-    return _passages(docs, listed, min_words)
+    return _passages(told, listed, min_words)
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -176,11 +179,11 @@ def _joined(start: np.ndarray, end: np.ndarray):
     yield from zip(new.tolist(), np.append(new[1:], len(start)).tolist())
 
 
-def _passages(docs: DataFrame, listed: DataFrame, min_words: int) -> DataFrame:
+def _passages(told: DataFrame, listed: DataFrame, min_words: int) -> DataFrame:
     """Join the shared runs of each text to passages and keep those of enough words."""
     mine = listed.select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text"), "hits")
-    held = with_text_id(docs).join(mine, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_id") == F.col("_text"))).select("doc_id", "text_id", "text", F.col("hits.nth").alias("nth"), F.col("hits.later").alias("later"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    held = told.join(mine, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_id") == F.col("_text"))).select("doc_id", "text_id", "text", F.col("hits.nth").alias("nth"), F.col("hits.later").alias("later"))
+    kind = told.schema["doc_id"].dataType.simpleString()
 
     def fn(part, texts):
         words = W.find_words(texts)

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from plumbline.llm import common as C
 from plumbline.llm import substring as S
 from plumbline.llm import words as W
 from tests.llm.helpers import SCHEMA, documents, prose, rows
@@ -132,3 +133,17 @@ def test_texts_of_one_document_are_told_apart(spark):
     assert len(by_text) == 2 and {d for d, _ in by_text} == {1, 2}
     kept = [(r.doc_id, r.text) for r in S.deduplicated(spark.createDataFrame(table, SCHEMA)).collect()]
     assert (1, other) in kept
+
+
+def test_texts_are_told_apart_without_being_shuffled_and_steps_let_their_shuffles_go(spark):
+    rows = [(i, f"{i} " + "text " * 400) for i in range(200)] + [(7, "another text of the same document")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        told = S.with_text_id(docs)
+        assert "SortMergeJoin" not in told._jdf.queryExecution().executedPlan().toString()
+        assert told.filter("text_id <> 0").count() == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert spark.conf.get(C.RELEASE, "false") == "false"
