@@ -33,10 +33,13 @@ def stable(score: Column) -> Column:
 
 
 def term_counts(papers: DataFrame, text: str = "text") -> DataFrame:
-    return (
-        papers.select("paper_id", F.explode(tx.terms(F.col(text))).alias("word"))
-        .groupBy("paper_id", "word").agg(F.count("*").alias("n"))
-    )
+    """paper_id, word, n. A paper's words are counted beside its text and not shuffled, unless ids have several rows."""
+    words = tx.terms(F.col(text))
+    if papers.groupBy("paper_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        bags = papers.select("paper_id", words.alias("words"))
+    else:
+        bags = papers.groupBy("paper_id").agg(F.flatten(F.collect_list(words)).alias("words"))
+    return bags.select("paper_id", F.inline(tx.tally(F.col("words"))))
 
 
 def idf_of(total: Column, df: Column) -> Column:
@@ -45,12 +48,10 @@ def idf_of(total: Column, df: Column) -> Column:
 
 def idf(sections: DataFrame) -> DataFrame:
     """paper_id, word, idf over the sections of each paper."""
-    totals = sections.groupBy("paper_id").agg(F.count("*").alias("total"))
-    seen = (
-        sections.select("paper_id", F.explode(F.array_distinct(tx.terms(F.col("content")))).alias("word"))
-        .groupBy("paper_id", "word").agg(F.count("*").alias("df"))
-    )
-    return seen.join(totals, "paper_id").select(
+    # A paper's text travels once, and its words are counted in one row, no larger than the text.
+    bags = sections.select("paper_id", "content").repartition("paper_id").groupBy("paper_id").agg(
+        F.count("*").alias("total"), F.flatten(F.collect_list(F.array_distinct(tx.terms(F.col("content"))))).alias("words"))
+    return bags.select("paper_id", "total", F.inline(tx.tally(F.col("words"), "df"))).select(
         "paper_id", "word", idf_of(F.col("total"), F.col("df")).alias("idf")
     )
 
@@ -60,36 +61,29 @@ def bm25(sections: DataFrame, questions: DataFrame) -> DataFrame:
     asked = questions.select(
         "question_id", "paper_id", F.explode(F.array_distinct(tx.terms(F.col("text")))).alias("word")
     )
-    wanted = asked.select("paper_id", "word").distinct()
-    # Only papers that were asked about are read into words, and lengths are taken
-    # before the words are exploded, so once per section.
-    bag = sections.join(wanted.select("paper_id").distinct(), "paper_id", "left_semi").select(
-        "paper_id", "section_idx", tx.terms(F.col("content")).alias("body"), tx.terms(F.col("heading")).alias("head")
-    )
-    sized = bag.withColumn("len", F.size("body"))
-    shape = (
-        sized.groupBy("paper_id").agg(F.count("*").alias("total"), F.sum("len").alias("length"))
-        .select("paper_id", "total", F.greatest(F.lit(1.0), F.col("length") / F.col("total")).alias("mean"))
+    wanted = asked.groupBy("paper_id").agg(F.collect_set("word").alias("wanted"))
+    # Only papers that were asked about are read into words; the words asked for meet
+    # a section's own beside its text, so no others are exploded or shuffled.
+    bag = sections.join(wanted, "paper_id").select(
+        "paper_id", "section_idx", "wanted", tx.terms(F.col("content")).alias("body"), tx.terms(F.col("heading")).alias("head")
     )
-    tagged = F.concat(
-        F.transform("body", lambda w: F.struct(w.alias("word"), F.lit(1).alias("b"), F.lit(0).alias("h"))),
-        F.transform("head", lambda w: F.struct(w.alias("word"), F.lit(0).alias("b"), F.lit(1).alias("h"))),
+    times = lambda words, w: F.size(F.filter(words, lambda x: x == w))
+    found = F.transform(F.array_intersect(F.concat("body", "head"), "wanted"), lambda w: F.struct(
+        w.alias("word"), times(F.col("body"), w).alias("b"), times(F.col("head"), w).alias("h")))
+    paper = Window.partitionBy("paper_id")
+    shaped = (
+        bag.select("paper_id", "section_idx", F.size("body").alias("len"), found.alias("found"))
+        .withColumn("total", F.count("*").over(paper))
+        .withColumn("mean", F.greatest(F.lit(1.0), F.sum("len").over(paper) / F.col("total")))
     )
     hits = (
-        sized.select("paper_id", "section_idx", "len", tagged.alias("tagged"))
-        .select("paper_id", "section_idx", "len", F.inline("tagged"))
-        .join(wanted, ["paper_id", "word"], "left_semi")
-        .groupBy("paper_id", "word", "section_idx", "len").agg(F.sum("b").alias("tf"), F.sum("h").alias("hf"))
-    )
-    df = hits.filter(F.col("tf") > 0).groupBy("paper_id", "word").agg(F.count("*").alias("df"))
-    weight = (
-        wanted.join(df, ["paper_id", "word"], "left").join(shape, "paper_id")
-        .select("paper_id", "word", "mean",
-                idf_of(F.col("total"), F.coalesce("df", F.lit(0))).alias("idf"))
+        shaped.select("paper_id", "section_idx", "len", "total", "mean", F.inline("found"))
+        .groupBy("paper_id", "word", "section_idx", "len", "total", "mean").agg(F.sum("b").alias("tf"), F.sum("h").alias("hf"))
+        .withColumn("idf", idf_of(F.col("total"), F.count(F.when(F.col("tf") > 0, 1)).over(Window.partitionBy("paper_id", "word"))))
     )
     norm = 1 - B + B * F.col("len") / F.col("mean")
     part = F.col("idf") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm) + 2 * F.col("hf"))
-    scored = hits.join(weight, ["paper_id", "word"]).select("paper_id", "word", "section_idx", part.alias("part"))
+    scored = hits.select("paper_id", "word", "section_idx", part.alias("part"))
     return (
         asked.join(scored, ["paper_id", "word"])
         .groupBy("question_id", "paper_id", "section_idx").agg(stable(F.sum("part")).alias("score"))

@@ -160,3 +160,20 @@ def test_concept_and_relation_gates(spark):
     got = gr.ground_relations(rel, kept, papers).collect()
     assert [(r["relation_no"], r["source"], r["target"]) for r in got] == [(0, "Quorum", "Durability")]
     assert gr.grounding_report(c, kept, "concept_no").collect()[0]["dropped"] == 3
+
+
+def test_terms_are_counted_beside_their_text(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    once = spark.createDataFrame([(1, "alpha beta alpha"), (2, ""), (3, None)], "paper_id long, text string")
+    counted = rt.term_counts(once)
+    assert "Exchange" not in plan(counted)
+    assert sorted(map(tuple, counted.collect())) == [(1, "alpha", 2), (1, "beta", 1)]
+    twice = once.union(spark.createDataFrame([(1, "beta gamma"), (None, "delta"), (None, "delta")], once.schema))
+    assert sorted(map(str, rt.term_counts(twice).collect())) == sorted(map(str, twice.groupBy("paper_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("t")).select(
+        "paper_id", F.explode(F.split("t", " ")).alias("word")).filter("word <> ''").groupBy("paper_id", "word").agg(F.count("*").alias("n")).collect()))
+    sections = spark.createDataFrame([(1, 0, "alpha", "alpha beta alpha"), (1, 1, "beta", "beta gamma"), (2, 0, "", "")], "paper_id long, section_idx int, heading string, content string")
+    assert {(r["word"], round(r["idf"], 6)) for r in rt.idf(sections).collect()} == {("alpha", 0.693147), ("beta", 0.510826), ("gamma", 0.693147)}
+    assert "Join" not in plan(rt.idf(sections))
+    asked = spark.createDataFrame([("q", 1, "beta gamma"), ("r", 2, "beta")], "question_id string, paper_id long, text string")
+    scores = rt.bm25(sections, asked)
+    assert "LeftSemi" not in plan(scores) and sorted((r["question_id"], r["section_idx"]) for r in scores.collect()) == [("q", 0), ("q", 1)]
