@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as tx
 
 TILE = 4096
+#: Rows of a tile that are multiplied at once.
+STRIP = 256
 PIVOTS = 32
 
 
@@ -162,10 +164,16 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
         right = pdf[pdf["tile"] == pdf["hi"].iloc[0]]
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({"a": [], "b": [], "score": []})
-        score = np.round(np.stack(left["unit"].to_numpy()) @ np.stack(right["unit"].to_numpy()).T, 9) + 0.0
-        i, j = np.nonzero(score >= threshold)
-        x, y = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        out = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "score": score[i, j]})
-        return out[(x < y) if pdf["lo"].iloc[0] == pdf["hi"].iloc[0] else (x != y)]
+        units, others = np.stack(left["unit"].to_numpy()), np.stack(right["unit"].to_numpy()).T
+        own, theirs, same = left["id"].to_numpy(), right["id"].to_numpy(), pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
+        # A strip at a time, so that besides the pairs found no more is held than STRIP rows of scores.
+        found = []
+        for at in range(0, len(units), STRIP):
+            score = np.round(units[at:at + STRIP] @ others, 9) + 0.0
+            i, j = np.nonzero(score >= threshold)
+            x, y = own[at + i], theirs[j]
+            good = x < y if same else x != y
+            found.append((np.minimum(x, y)[good], np.maximum(x, y)[good], score[i, j][good]))
+        return pd.DataFrame({name: np.concatenate(part) for name, part in zip(("a", "b", "score"), zip(*found))})
 
     return sent.groupBy("lo", "hi").applyInPandas(block, schema)

@@ -177,3 +177,13 @@ def test_terms_are_counted_beside_their_text(spark):
     asked = spark.createDataFrame([("q", 1, "beta gamma"), ("r", 2, "beta")], "question_id string, paper_id long, text string")
     scores = rt.bm25(sections, asked)
     assert "LeftSemi" not in plan(scores) and sorted((r["question_id"], r["section_idx"]) for r in scores.collect()) == [("q", 0), ("q", 1)]
+
+
+def test_similar_pairs_multiply_a_strip_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
+    v = spark.createDataFrame(vectors, "id long, vector array<double>")
+    monkeypatch.setattr(de, "TILE", 16)
+    whole = {tuple(r) for r in de.similar_pairs(v, 0.5).collect()}
+    monkeypatch.setattr(de, "STRIP", 3)
+    assert {tuple(r) for r in de.similar_pairs(v, 0.5).collect()} == whole and whole
