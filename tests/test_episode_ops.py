@@ -3,6 +3,8 @@
 import random
 
 import pytest
+import re
+
 from pyspark.sql import functions as F
 
 from plumbline.operators import checks as ck
@@ -275,3 +277,18 @@ def test_schema_wants_a_summary_and_key_points(spark):
     got = {r.episode_id: (r.passed, r.offences, r.first_offence) for r in ck.check_schema(turns, episodes, None).collect()}
     assert got == {0: (True, 0, None), 1: (False, 2, "summary"), 2: (False, 1, "keyPoints"), 3: (False, 2, "summary")}
     assert {r.episode_id: r.offences for r in ck.check_schema(turns, episodes.select("episode_id"), None).collect()} == {0: 0, 1: 1, 2: 0, 3: 0}
+
+
+def test_a_text_that_wraps_no_word_is_read_once(spark):
+    texts = {1: "Well-known state-of-the-art, a--b", 2: "a re-\nread wrap- \r\n ped co-op", 3: "", 4: "plain words only"}
+    found = ck.lexicon(spark.createDataFrame(list(texts.items()), "paper_id long, text string"))
+
+    def words(text):
+        out = set()
+        for t in (text.lower(), re.sub(r"-[ \t]*\r?\n[ \t]*", "", text.lower()), re.sub(r"-[ \t]*\r?\n[ \t]*", "-", text.lower())):
+            for w in re.findall(r"[a-z0-9'’-]+", t):
+                out |= {w} | {p for p in w.split("-") if p}
+        return out
+
+    assert sorted(map(tuple, found.collect())) == sorted((p, w) for p, t in texts.items() for w in words(t))
+    assert "CASE WHEN RLIKE" in found._jdf.queryExecution().executedPlan().toString()
