@@ -1,9 +1,9 @@
 """Checks, fault matrices, scoring, timelines, jobs, traces, graph and ledger."""
 
 import random
+import re
 
 import pytest
-import re
 
 from pyspark.sql import functions as F
 
