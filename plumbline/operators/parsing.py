@@ -30,6 +30,17 @@ def lines(papers: DataFrame) -> DataFrame:
     return split.withColumn("at", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("bigint"))
 
 
+def numbered_lines(text: Column) -> Column:
+    """The lines of a text with their numbers, in one array."""
+    return F.transform(tx.lines_of(text), lambda t, i: F.struct(i.alias("line_no"), t.alias("text")))
+
+
+def gathered(lines: DataFrame) -> DataFrame:
+    """paper_id, lines: the rows of each paper in one array, as numbered_lines has them."""
+    packed = F.array_sort(F.collect_list(F.struct(F.col("line_no").cast("int").alias("line_no"), "text")))
+    return lines.groupBy("paper_id").agg(packed.alias("lines"))
+
+
 def page_spans(pages: DataFrame) -> DataFrame:
     """paper_id, page_key, text -> page number and the span it fills, edge to edge.
 
@@ -93,7 +104,11 @@ def is_end_matter(c: Column) -> Column:
 
 def heading_shape(c: Column) -> Column:
     """numbered, known, caps or NULL: what a line looks like on its own."""
-    line = tx.strip(c)
+    return _shape(tx.strip(c))
+
+
+def _shape(line: Column) -> Column:
+    """heading_shape of a line without blank ends."""
     words = F.split(line, r"\s+")
     pattern = r"^(\d+(?:\.\d+)*)\.?\s+(\S.*)$"
     rest = F.regexp_extract(line, pattern, 2)
@@ -118,53 +133,67 @@ def heading_shape(c: Column) -> Column:
     )
 
 
+def starts_of(lines: Column) -> Column:
+    """Numbers of the lines accepted as headings, of one paper's lines from the end of its title.
+
+    Only a line shaped like a heading is looked at closely, and three lines after it.
+    Section numbers only go forward, so candidates are folded in order.
+    """
+    shown = F.filter(
+        F.transform(lines, lambda e: F.struct(e["line_no"].alias("line_no"), tx.strip(e["text"]).alias("line"))),
+        lambda e: e["line"] != "",
+    )
+    shaped = tx.let(shown, lambda s: F.transform(
+        s, lambda e: F.struct(e["line_no"].alias("line_no"), e["line"].alias("line"), _shape(e["line"]).alias("shape"))))
+
+    def candidate(s, e, k):
+        ahead = lambda n: F.get(s, k + n)
+        long = lambda n: F.coalesce(ahead(n)["line"].rlike(tx.at_least_words(6)), F.lit(False))
+        structural = is_structural(e["line"])
+        return F.struct(
+            e["line_no"].alias("line_no"), structural.alias("structural"), (e["shape"] == "numbered").alias("numbered"),
+            (~structural & ~F.coalesce(ahead(1)["line"].rlike("^[a-z]"), F.lit(False))).alias("free"),
+            (F.coalesce(ahead(1)["shape"] == "numbered", F.lit(False)) | long(1) | long(2) | long(3)).alias("prose"),
+            F.regexp_extract(e["line"], r"^\d+", 0).try_cast("int").alias("top"),
+        )
+
+    def accepted(c):
+        by_words = lambda e: e["free"] & ~e["numbered"] & e["prose"]
+        numbered = F.filter(c, lambda e: e["free"] & e["numbered"])
+        n, u = F.size(numbered), F.size(F.filter(c, by_words))
+        fold = F.aggregate(
+            numbered, F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("kept")),
+            lambda s, e: F.when(
+                (e["top"] >= s["last"]) & ((s["last"] == 0) | (e["top"] <= s["last"] + 2)),
+                F.struct(e["top"].alias("last"), F.array_append(s["kept"], e["line_no"]).alias("kept")),
+            ).otherwise(s),
+        )
+        number_of = lambda e: e["line_no"]
+        return F.when((n > u) | ((n > 0) & (u == 0)), F.concat(
+            F.transform(F.filter(c, lambda e: e["structural"]), number_of), fold["kept"])
+        ).otherwise(F.transform(F.filter(c, lambda e: e["structural"] | by_words(e)), number_of))
+
+    candidates = lambda s: F.filter(
+        F.transform(s, lambda e, k: F.when(e["shape"].isNotNull(), candidate(s, e, k))), lambda e: e.isNotNull())
+    return tx.let(shaped, lambda s: tx.let(candidates(s), accepted))
+
+
 def section_starts(lines: DataFrame, starts_at: DataFrame | None = None) -> DataFrame:
     """paper_id, line_no of every line accepted as a heading.
 
-    ``starts_at`` (paper_id, from_line) says where the title ends. Section numbers
-    only go forward, so candidates of one paper are folded in order.
+    ``starts_at`` (paper_id, from_line) says where the title ends.
     """
     if starts_at is not None:
         lines = lines.join(starts_at, "paper_id").filter(F.col("line_no") >= F.col("from_line")).drop("from_line")
-    order = Window.partitionBy("paper_id").orderBy("line_no")
-    shown = (
-        lines.select("paper_id", "line_no", tx.strip(F.col("text")).alias("line")).filter(F.col("line") != "")
-        .withColumn("shape", heading_shape(F.col("line")))
-        .withColumn("long", F.size(F.split("line", r"\s+")) >= 6)
-        .withColumn("low", F.col("line").rlike("^[a-z]"))
-        .withColumn("next", F.lead(F.struct("shape", "long", "low")).over(order))
-        .withColumn("prose", F.coalesce(F.col("next.shape") == "numbered", F.lit(False))
-                    | F.coalesce(F.col("next.long"), F.lit(False))
-                    | F.coalesce(F.lead("long", 2).over(order), F.lit(False))
-                    | F.coalesce(F.lead("long", 3).over(order), F.lit(False)))
-        .withColumn("goes_on", F.coalesce("next.low", F.lit(False)))
-        .filter(F.col("shape").isNotNull())
-        .withColumn("structural", is_structural(F.col("line")))
-    )
-    free = ~F.col("structural") & ~F.col("goes_on")
-    count = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-    kind = shown.groupBy("paper_id").agg(
-        count(free & (F.col("shape") == "numbered")).alias("n"),
-        count(free & (F.col("shape") != "numbered") & F.col("prose")).alias("u"),
-    ).select("paper_id", ((F.col("n") > F.col("u")) | ((F.col("n") > 0) & (F.col("u") == 0))).alias("by_number"))
-    judged = shown.join(kind, "paper_id")
-    worded = judged.filter(
-        F.col("structural") | (free & (F.col("shape") != "numbered") & ~F.col("by_number") & F.col("prose"))
-    ).select("paper_id", "line_no")
-    top = F.regexp_extract("line", r"^\d+", 0).cast("int")
-    queue = (
-        judged.filter(free & (F.col("shape") == "numbered") & F.col("by_number"))
-        .groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("line_no", top.alias("top")))).alias("c"))
-    )
-    fold = F.aggregate(
-        "c", F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("kept")),
-        lambda s, c: F.when(
-            (c["top"] >= s["last"]) & ((s["last"] == 0) | (c["top"] <= s["last"] + 2)),
-            F.struct(c["top"].alias("last"), F.array_append(s["kept"], c["line_no"]).alias("kept")),
-        ).otherwise(s),
-    )
-    numbered = queue.select("paper_id", F.explode(fold["kept"]).alias("line_no"))
-    return worded.unionByName(numbered)
+    return gathered(lines).select("paper_id", F.explode(starts_of(F.col("lines"))).alias("line_no"))
+
+
+def clean_text(texts: Column) -> Column:
+    """What clean_block leaves of one block's lines, as one text."""
+    quiet = F.filter(texts, lambda t: tx.let(tx.strip(t), lambda bare: ~(bare.rlike(NOISE) | bare.rlike(r"^\d+$"))))
+    trimmed = F.btrim(F.regexp_replace(F.array_join(quiet, "\n"), r"\n{3,}", "\n\n"), F.lit(" \t\n\x0b\f\r"))
+    # Here $ also stands before a last U+0085, U+2028 or U+2029.
+    return F.regexp_replace(trimmed, r"[ \t\x0B]+$", "")
 
 
 def clean_block(lines: DataFrame, block: list[str]) -> DataFrame:
@@ -189,23 +218,51 @@ def clean_block(lines: DataFrame, block: list[str]) -> DataFrame:
     ).drop("_led", "_lo", "_hi")
 
 
+def sections_of(lines: Column, starts: Column) -> Column:
+    """section_idx, heading, content of one paper's lines, cut at the headings ``starts`` numbers."""
+    places = lambda rows: tx.let(
+        F.transform(rows, lambda e: e["line_no"]), lambda numbers: F.transform(starts, lambda s: F.array_position(numbers, s)))
+
+    def cut(rows, at):
+        texts = lambda first, end: F.transform(F.slice(rows, first, end - first), lambda e: e["text"])
+        heading = lambda p: F.regexp_replace(tx.strip(F.get(rows, p - 1)["text"]), r"[:.]+$", "")
+        return F.transform(F.concat(F.array(F.lit(0).cast("bigint")), at), lambda p, k: F.struct(
+            k.alias("section_idx"), F.when(k == 0, PREAMBLE).otherwise(heading(p.cast("int"))).alias("heading"),
+            clean_text(texts(p.cast("int") + 1, F.coalesce(F.get(at, k), F.size(rows) + 1).cast("int"))).alias("content"),
+        ))
+
+    headed = lambda rows: F.array_sort(F.filter(places(rows), lambda p: p > 0))
+    return tx.let(lines, lambda rows: tx.let(headed(rows), lambda at: F.filter(cut(rows, at), lambda s: s["content"] != "")))
+
+
 def sections(lines: DataFrame, starts: DataFrame) -> DataFrame:
     """paper_id, section_idx, heading, content: blocks between accepted headings."""
-    marked = lines.join(starts.withColumn("_h", F.lit(1)), ["paper_id", "line_no"], "left")
-    order = Window.partitionBy("paper_id").orderBy("line_no")
-    tagged = marked.withColumn("block", F.coalesce(F.sum("_h").over(order), F.lit(0)).cast("int"))
-    heads = tagged.filter("_h = 1").select(
-        "paper_id", "block", F.regexp_replace(tx.strip(F.col("text")), r"[:.]+$", "").alias("heading")
-    )
-    body = clean_block(tagged.filter("_h is null").drop("_h"), ["paper_id", "block"])
-    joined = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda e: e["text"]), "\n"
-    )
-    content = body.groupBy("paper_id", "block").agg(joined.alias("content")).filter(F.col("content") != "")
-    return content.join(heads, ["paper_id", "block"], "left").select(
-        "paper_id", F.col("block").alias("section_idx"),
-        F.coalesce("heading", F.lit(PREAMBLE)).alias("heading"), "content",
-    )
+    heads = starts.groupBy("paper_id").agg(F.collect_set(F.col("line_no").cast("int")).alias("starts"))
+    whole = gathered(lines).join(heads, "paper_id", "left").withColumn("starts", F.coalesce("starts", F.array().cast("array<int>")))
+    return whole.select("paper_id", F.inline(sections_of(F.col("lines"), F.col("starts"))))
+
+
+def _kept(sections: Column) -> Column:
+    """The sections of one paper that are the paper, with their kind."""
+    end = F.array_min(F.transform(F.filter(sections, lambda s: is_end_matter(s["heading"])), lambda s: s["section_idx"]))
+    wanted = lambda end: F.filter(sections, lambda s: (
+        (end.isNull() | (s["section_idx"] < end)) & ~is_strip_heading(s["heading"])
+        & ((s["heading"] != PREAMBLE) | s["content"].rlike(tx.at_least_words(25)))))
+    kind = lambda s: F.when(heading_norm(s["heading"]) == "abstract", "abstract").otherwise("section")
+    return F.transform(tx.let(end, wanted), lambda s: F.struct(
+        s["section_idx"].alias("section_idx"), s["heading"].alias("heading"), s["content"].alias("content"), kind(s).alias("kind")))
+
+
+def body_of(sections: Column, lines: Column) -> Column:
+    """body_sections of one paper: section_idx, heading, content, kind."""
+    listed = lambda rows: F.array_position(F.transform(
+        rows, lambda e: e["text"].rlike(r"(?i)^\s*(references|bibliography)\s*$")), F.lit(True)).cast("int")
+    texts = lambda rows: tx.let(listed(rows), lambda at: F.transform(
+        F.slice(rows, F.lit(1), F.when(at > 0, at - 1).otherwise(F.size(rows))), lambda e: e["text"]))
+    whole = lambda rows: F.filter(F.array(F.struct(
+        F.lit(0).alias("section_idx"), F.lit("Body").alias("heading"), clean_text(texts(rows)).alias("content"),
+        F.lit("section").alias("kind"))), lambda s: s["content"] != "")
+    return tx.let(_kept(sections), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(tx.let(lines, whole)))
 
 
 def body_sections(sections: DataFrame, lines: DataFrame | None = None) -> DataFrame:
@@ -214,29 +271,42 @@ def body_sections(sections: DataFrame, lines: DataFrame | None = None) -> DataFr
     A paper left with nothing becomes one "Body" of its ``lines`` up to a
     references line. kind is ``abstract`` or ``section``.
     """
-    end = sections.filter(is_end_matter(F.col("heading"))).groupBy("paper_id").agg(F.min("section_idx").alias("_end"))
-    kept = (
-        sections.join(end, "paper_id", "left")
-        .filter(F.col("_end").isNull() | (F.col("section_idx") < F.col("_end"))).drop("_end")
-        .withColumn("kind", F.when(heading_norm(F.col("heading")) == "abstract", "abstract").otherwise("section"))
-        .filter(~is_strip_heading(F.col("heading")))
-        .filter((F.col("heading") != PREAMBLE) | (tx.word_count(F.col("content")) >= 25))
-    )
+    packed = F.array_sort(F.collect_list(F.struct(F.col("section_idx").cast("int").alias("section_idx"), "heading", "content")))
+    cut = sections.groupBy("paper_id").agg(packed.alias("sections"))
     if lines is None:
-        return kept
-    bare = lines.join(kept.select("paper_id").distinct(), "paper_id", "left_anti")
-    ref = bare.filter(F.col("text").rlike(r"(?i)^\s*(references|bibliography)\s*$")).groupBy("paper_id").agg(
-        F.min("line_no").alias("_ref")
-    )
-    upto = bare.join(ref, "paper_id", "left").filter(F.col("_ref").isNull() | (F.col("line_no") < F.col("_ref"))).drop("_ref")
-    joined = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda e: e["text"]), "\n"
-    )
-    body = clean_block(upto, ["paper_id"]).groupBy("paper_id").agg(joined.alias("content")).filter(F.col("content") != "")
-    return kept.unionByName(
-        body.select("paper_id", F.lit(0).alias("section_idx"), F.lit("Body").alias("heading"), "content",
-                    F.lit("section").alias("kind"))
-    )
+        return cut.select("paper_id", F.inline(_kept(F.col("sections"))))
+    none = F.array().cast("array<struct<section_idx:int,heading:string,content:string>>")
+    rows = F.array().cast("array<struct<line_no:int,text:string>>")
+    both = cut.join(gathered(lines), "paper_id", "full")
+    return both.select("paper_id", F.inline(body_of(F.coalesce("sections", none), F.coalesce("lines", rows))))
+
+
+def _parsed(papers: DataFrame, take) -> DataFrame:
+    """Each paper cut beside its text, so that no line of it is shuffled; ``take`` gives what is asked for of lines and starts."""
+    after = lambda rows: tx.let(title_of(rows)["from_line"], lambda first: F.filter(rows, lambda e: e["line_no"] >= first))
+    cut = lambda rows: tx.let(after(rows), lambda body: tx.let(starts_of(body), lambda starts: take(body, starts)))
+    return papers.select("paper_id", tx.let(numbered_lines(F.col("text")), cut).alias("found"))
+
+
+def paper_titles(papers: DataFrame) -> DataFrame:
+    """titles of whole papers: paper_id, text."""
+    found = papers.filter(F.col("text").isNotNull()).select("paper_id", title_of(numbered_lines(F.col("text"))).alias("t"))
+    return found.select("paper_id", "t.title", "t.from_line")
+
+
+def paper_starts(papers: DataFrame) -> DataFrame:
+    """section_starts of whole papers, each from the end of its title."""
+    return _parsed(papers, lambda body, starts: starts).select("paper_id", F.explode("found").alias("line_no"))
+
+
+def paper_sections(papers: DataFrame) -> DataFrame:
+    """sections of whole papers, each from the end of its title."""
+    return _parsed(papers, sections_of).select("paper_id", F.inline("found"))
+
+
+def paper_body(papers: DataFrame) -> DataFrame:
+    """body_sections of whole papers, each from the end of its title."""
+    return _parsed(papers, lambda body, starts: body_of(sections_of(body, starts), body)).select("paper_id", F.inline("found"))
 
 
 def author_like(c: Column) -> Column:
@@ -254,46 +324,43 @@ def author_like(c: Column) -> Column:
     )
 
 
-def titles(lines: DataFrame) -> DataFrame:
-    """paper_id, title, from_line: the first block that is not a heading or a notice.
+def title_of(lines: Column) -> Column:
+    """title, from_line of one paper: the first block that is not a heading or a notice.
 
-    Lines of one paper are folded in order: look for the title, skip a notice to
-    the end of its sentence, then join the lines the title wraps onto.
+    Lines are folded in order: look for the title, skip a notice to the end of its
+    sentence, then join the lines the title wraps onto. Lines after it are not looked at.
     """
-    line = tx.strip(F.col("text"))
-    notice = line.rlike("(?i)" + "|".join(lx.FRONT_MATTER))
-    seen = lines.select(
-        "paper_id", "line_no", line.alias("t"), heading_shape(line).isNotNull().alias("head"),
-        notice.alias("notice"), author_like(line).alias("author"),
-        (line == "").alias("blank"), line.endswith(".").alias("stop"),
-    )
-    packed = F.array_sort(F.collect_list(F.struct("line_no", "t", "head", "notice", "author", "blank", "stop")))
-
     def state(phase, skip, title, parts, start):
         return F.struct(phase.alias("phase"), skip.alias("skip"), title.alias("title"), parts.alias("parts"),
                         start.cast("int").alias("start"))
 
-    def step(s, i):
+    def step(s, line_no, t):
         keep = lambda **k: state(*[k.get(n, s[n]) for n in ("phase", "skip", "title", "parts", "start")])
+        head, blank, stop = _shape(t).isNotNull(), t == "", t.endswith(".")
         wraps = s["title"].rlike(rf"(?i)(?<![A-Za-z0-9_])(?:{lx.TITLE_WRAP_WORDS})$")
         full = (s["parts"] >= 3) | (F.length(s["title"]) >= 250)
-        ends = full | i["blank"] | i["head"] | (~wraps & i["author"])
+        ends = full | blank | head | (~wraps & author_like(t))
         return (
-            F.when(s["phase"] == 2, s)
-            .when(s["phase"] == 1, F.when(ends, keep(phase=F.lit(2), start=i["line_no"])).otherwise(
-                keep(title=F.concat_ws(" ", s["title"], i["t"]), parts=s["parts"] + 1)))
-            .when(s["skip"] > 0, keep(skip=F.when(i["blank"] | i["stop"], 0).otherwise(s["skip"] - 1)))
-            .when((F.length(i["t"]) < 4) | i["head"], s)
-            .when(i["notice"], keep(skip=F.when(i["stop"], 0).otherwise(5)))
-            .otherwise(keep(phase=F.lit(1), title=i["t"], parts=F.lit(1), start=i["line_no"] + 1))
+            F.when(s["phase"] == 1, F.when(ends, keep(phase=F.lit(2), start=line_no)).otherwise(
+                keep(title=F.concat_ws(" ", s["title"], t), parts=s["parts"] + 1)))
+            .when(s["skip"] > 0, keep(skip=F.when(blank | stop, 0).otherwise(s["skip"] - 1)))
+            .when((F.length(t) < 4) | head, s)
+            .when(t.rlike("(?i)" + "|".join(lx.FRONT_MATTER)), keep(skip=F.when(stop, 0).otherwise(5)))
+            .otherwise(keep(phase=F.lit(1), title=t, parts=F.lit(1), start=line_no + 1))
         )
 
     begin = state(F.lit(0), F.lit(0), F.lit(""), F.lit(0), F.lit(0))
-    found = seen.groupBy("paper_id").agg(packed.alias("p"), F.max("line_no").alias("last")).select(
-        "paper_id", "last", F.aggregate("p", begin, step).alias("s")
-    )
-    start = F.when(F.col("s.phase") == 1, F.col("last") + 1).otherwise(F.col("s.start"))
-    return found.select("paper_id", tx.squeeze(F.col("s.title")).alias("title"), start.alias("from_line"))
+    walk = lambda rows: F.aggregate(rows, begin, lambda s, e: F.when(s["phase"] == 2, s).otherwise(
+        tx.let(tx.strip(e["text"]), lambda t: step(s, e["line_no"], t))))
+    end = lambda rows, s: F.when(s["phase"] == 1, F.element_at(rows, -1)["line_no"] + 1).otherwise(s["start"])
+    return tx.let(lines, lambda rows: tx.let(walk(rows), lambda s: F.struct(
+        tx.squeeze(s["title"]).alias("title"), end(rows, s).alias("from_line"))))
+
+
+def titles(lines: DataFrame) -> DataFrame:
+    """paper_id, title, from_line of each paper."""
+    found = gathered(lines).select("paper_id", title_of(F.col("lines")).alias("t"))
+    return found.select("paper_id", "t.title", "t.from_line")
 
 
 def word_counts(sections: DataFrame) -> DataFrame:

@@ -50,16 +50,23 @@ def shapes(spark, d):
     return rows.groupBy("shape").agg(F.count("*").alias("n"))
 
 
+def starts(spark, d):
+    return pa.paper_starts(tb.papers(spark, d))
+
+
+def sections(spark, d):
+    return pa.paper_sections(tb.papers(spark, d)).select("paper_id", "section_idx", "heading", F.length("content").alias("chars"))
+
+
+def clean(spark, d):
+    return pa.clean_block(pa.lines(tb.papers(spark, d)), ["paper_id"]).select("paper_id", "line_no", "at", F.md5("text").alias("text_md5"))
+
+
 def _split(spark, d):
     lines = pa.lines(tb.papers(spark, d))
     return lines, pa.titles(lines)
 
 
-def starts(spark, d):
-    lines, titles = _split(spark, d)
-    return pa.section_starts(lines, titles.select("paper_id", "from_line"))
-
-
 def _body_lines(spark, d):
     lines, titles = _split(spark, d)
     # One small row per paper, and one per heading: written once, used twice.
@@ -68,14 +75,6 @@ def _body_lines(spark, d):
     return body.drop("from_line"), cut_lineage(pa.section_starts(lines, titles.select("paper_id", "from_line")))
 
 
-def sections(spark, d):
-    return pa.sections(*_body_lines(spark, d)).select("paper_id", "section_idx", "heading", F.length("content").alias("chars"))
-
-
-def clean(spark, d):
-    return pa.clean_block(pa.lines(tb.papers(spark, d)), ["paper_id"]).select("paper_id", "line_no", "at", F.md5("text").alias("text_md5"))
-
-
 def body(spark, d):
     lines, starts = _body_lines(spark, d)
     return pa.body_sections(cut_lineage(pa.sections(lines, starts)), lines).select(
@@ -83,7 +82,7 @@ def body(spark, d):
 
 
 def titles(spark, d):
-    return pa.titles(pa.lines(tb.papers(spark, d)))
+    return pa.paper_titles(tb.papers(spark, d))
 
 
 def counts(spark, d):

@@ -1,5 +1,7 @@
 """Hand tables for parsing."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
@@ -124,3 +126,39 @@ def test_digest_stops_at_first_overflow(spark):
     s = spark.createDataFrame([(1, i, f"H{i}", "w" * n) for i, n in enumerate([50, 400, 10])], "paper_id long, section_idx int, heading string, content string")
     t = spark.createDataFrame([(1, "T")], "paper_id long, title string")
     assert pa.digest(s, t, 700, 200).collect()[0]["openings"] == 1
+
+
+ODD = ["", "", " ", "\t", "Figure 1: a caption", "figure 3a", "12", "12 \u0085", "\u0085", "abc \u0085", "  abc  ", "1 Introduction", "2 Method", "References",
+       "Abstract", "RELATED WORK", "Ada Lovelace, Somewhere", "goes on in lower case with more than six words", "A paragraph of text with more than six words in it."]
+
+
+def odd_papers(spark):
+    rng = random.Random(11)
+    texts = [None, "", "\n \n", PAPER] + ["\n".join(rng.choices(ODD, k=rng.randint(1, 25))) for _ in range(60)]
+    return spark.createDataFrame(list(enumerate(texts)), "paper_id long, text string").coalesce(1)
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def no_shuffle(df):
+    return "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sections_are_cut_beside_their_text(spark):
+    papers = odd_papers(spark)
+    lines = pa.lines(papers)
+    titles = pa.titles(lines)
+    starts = pa.section_starts(lines, titles.select("paper_id", "from_line"))
+    body = lines.join(titles.select("paper_id", "from_line"), "paper_id").filter("line_no >= from_line").drop("from_line")
+    for whole, by_line in ((pa.paper_titles(papers), titles), (pa.paper_starts(papers), starts), (pa.paper_sections(papers), pa.sections(body, starts))):
+        assert no_shuffle(whole) and rows(whole) == rows(by_line) and whole.count()
+
+
+def test_clean_text_is_what_clean_block_leaves(spark):
+    papers = odd_papers(spark)
+    block = pa.clean_block(pa.lines(papers), ["paper_id"]).groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("l"))
+    want = block.select("paper_id", F.array_join(F.transform("l", lambda e: e["text"]), "\n").alias("text")).filter("text <> ''")
+    got = papers.select("paper_id", pa.clean_text(tx.lines_of(F.col("text"))).alias("text")).filter("text <> ''")
+    assert rows(got) == rows(want)
