@@ -7,7 +7,6 @@ from plumbline.functions import text as tx
 from plumbline.operators import grounding as gr
 from plumbline.operators import parsing as pa
 from plumbline.plans import sqltext as sq
-from plumbline.session import cut_lineage
 from plumbline.sources import tables as tb
 
 
@@ -62,22 +61,8 @@ def clean(spark, d):
     return pa.clean_block(pa.lines(tb.papers(spark, d)), ["paper_id"]).select("paper_id", "line_no", "at", F.md5("text").alias("text_md5"))
 
 
-def _split(spark, d):
-    lines = pa.lines(tb.papers(spark, d))
-    return lines, pa.titles(lines)
-
-
-def _body_lines(spark, d):
-    lines, titles = _split(spark, d)
-    # One small row per paper, and one per heading: written once, used twice.
-    titles = cut_lineage(titles)
-    body = lines.join(titles.select("paper_id", "from_line"), "paper_id").filter(F.col("line_no") >= F.col("from_line"))
-    return body.drop("from_line"), cut_lineage(pa.section_starts(lines, titles.select("paper_id", "from_line")))
-
-
 def body(spark, d):
-    lines, starts = _body_lines(spark, d)
-    return pa.body_sections(cut_lineage(pa.sections(lines, starts)), lines).select(
+    return pa.paper_body(tb.papers(spark, d)).select(
         "paper_id", "section_idx", "kind", "heading", F.length("content").alias("chars"))
 
 

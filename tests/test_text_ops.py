@@ -162,3 +162,17 @@ def test_clean_text_is_what_clean_block_leaves(spark):
     want = block.select("paper_id", F.array_join(F.transform("l", lambda e: e["text"]), "\n").alias("text")).filter("text <> ''")
     got = papers.select("paper_id", pa.clean_text(tx.lines_of(F.col("text"))).alias("text")).filter("text <> ''")
     assert rows(got) == rows(want)
+
+
+def test_bodies_are_cut_beside_their_text(spark):
+    papers = odd_papers(spark).union(spark.createDataFrame([
+        (90, "A title\n\nAbstract\nwhat it says\n1 Introduction\nWords of this paper in some number here\nReferences\n[1] x"),
+        (91, "A title\n\nREFERENCES\nonly a list"), (92, "A title\n\njust one\nplain text\nReferences \nx")], "paper_id long, text string"))
+    lines = pa.lines(papers)
+    titles = pa.titles(lines).select("paper_id", "from_line")
+    body = lines.join(titles, "paper_id").filter("line_no >= from_line").drop("from_line")
+    got = pa.paper_body(papers)
+    assert no_shuffle(got) and rows(got) == rows(pa.body_sections(pa.sections(body, pa.section_starts(lines, titles)), body))
+    kinds = {(r["paper_id"], r["kind"], r["heading"], r["content"]) for r in got.filter("paper_id >= 90").collect()}
+    assert kinds == {(90, "abstract", "Abstract", "what it says"), (90, "section", "1 Introduction", "Words of this paper in some number here"),
+                     (92, "section", "Body", "just one\nplain text")}
