@@ -18,8 +18,19 @@ def idf(spark, d):
     return rt.idf(tb.sections(spark, d)).select("paper_id", "word", F.round("idf", 6).alias("idf"))
 
 
+def _asked(spark, d):
+    """Questions, and the sections of the papers they ask about."""
+    return tb.questions(spark, d), tb.asked_sections(spark, d)
+
+
+def _lexical(spark, d):
+    q, s = _asked(spark, d)
+    return rt.lexical_rank(s, q)
+
+
 def _scored(spark, d):
-    return rt.bm25(tb.sections(spark, d), tb.questions(spark, d))
+    q, s = _asked(spark, d)
+    return rt.bm25(s, q)
 
 
 def bm25(spark, d):
@@ -27,13 +38,11 @@ def bm25(spark, d):
 
 
 def lexical(spark, d):
-    return rt.lexical_rank(tb.sections(spark, d), tb.questions(spark, d)).select(
-        "question_id", "section_idx", "rank")
+    return _lexical(spark, d).select("question_id", "section_idx", "rank")
 
 
 def top_sections(spark, d, k=5):
-    ranked = rt.lexical_rank(tb.sections(spark, d), tb.questions(spark, d))
-    return ranked.filter(F.col("rank") < k).select("question_id", "section_idx", "rank", F.round("score", 6).alias("score"))
+    return _lexical(spark, d).filter(F.col("rank") < k).select("question_id", "section_idx", "rank", F.round("score", 6).alias("score"))
 
 
 def cosine(spark, d):
@@ -62,22 +71,22 @@ def rrf(spark, d):
 
 
 def veto(spark, d):
-    q = tb.questions(spark, d)
-    strict = rt.rank_sections(q, tb.sections(spark, d), de.profile_scorer, True)
-    loose = rt.rank_sections(q, tb.sections(spark, d), de.profile_scorer, False)
+    q, s = _asked(spark, d)
+    strict = rt.rank_sections(q, s, de.profile_scorer, True)
+    loose = rt.rank_sections(q, s, de.profile_scorer, False)
     n = lambda df, name: df.groupBy("question_id", "lexical_match", "method").agg(F.count("*").alias(name))
     keys = ["question_id", "lexical_match", "method"]
     return n(loose, "ranked").join(n(strict, "ranked_strict"), keys, "left").fillna(0, ["ranked_strict"])
 
 
 def context(spark, d):
-    q, s = tb.questions(spark, d), tb.sections(spark, d)
+    q, s = _asked(spark, d)
     ranked = rt.rank_sections(q, s, de.profile_scorer)
     return rt.select_context(q, s, ranked).withColumn("sections", F.array_join("sections", ","))
 
 
 def snippet(spark, d):
-    q, s = tb.questions(spark, d), tb.sections(spark, d)
+    q, s = _asked(spark, d)
     top = rt.lexical_rank(s, q).filter(F.col("rank") < 4).select("question_id", "paper_id", "section_idx")
     joined = top.join(s, ["paper_id", "section_idx"]).join(
         q.select("question_id", F.col("text").alias("query")), "question_id")
@@ -91,11 +100,11 @@ def _longest_term(spark, d):
 
 
 def phrase(spark, d):
-    return rt.find_phrase(tb.sections(spark, d), _longest_term(spark, d))
+    return rt.find_phrase(tb.asked_sections(spark, d), _longest_term(spark, d))
 
 
 def heading(spark, d):
-    return rt.resolve_heading(tb.sections(spark, d), _longest_term(spark, d).withColumnRenamed("phrase", "asked"))
+    return rt.resolve_heading(tb.asked_sections(spark, d), _longest_term(spark, d).withColumnRenamed("phrase", "asked"))
 
 
 def pages(spark, d):
