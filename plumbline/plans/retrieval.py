@@ -7,6 +7,7 @@ from plumbline.operators import dense as de
 from plumbline.operators import grounding as gr
 from plumbline.operators import retrieval as rt
 from plumbline.plans import sqltext as sq
+from plumbline.session import cut_lineage
 from plumbline.sources import tables as tb
 
 
@@ -55,18 +56,20 @@ def knn(spark, d):
     return de.knn(de.centroids(v), v, 10).select("query_id", "id", "rank")
 
 
-def _dense(spark, d):
-    return rt.rank(de.profile_scorer(tb.questions(spark, d), tb.sections(spark, d)))
+def _rankings(spark, d):
+    """By words, and dense."""
+    q, s = _asked(spark, d)
+    return cut_lineage(rt.lexical_rank(s, q)), rt.rank(de.profile_scorer(q, s))
 
 
 def gate(spark, d):
-    return rt.gate_dense(_dense(spark, d), rt.lexical_rank(tb.sections(spark, d), tb.questions(spark, d))).select(
-        "question_id", "section_idx", "rank")
+    lex, dense = _rankings(spark, d)
+    return rt.gate_dense(dense, lex).select("question_id", "section_idx", "rank")
 
 
 def rrf(spark, d):
-    lex = rt.lexical_rank(tb.sections(spark, d), tb.questions(spark, d))
-    return rt.fuse(lex, rt.gate_dense(_dense(spark, d), lex)).select(
+    lex, dense = _rankings(spark, d)
+    return rt.fuse(lex, rt.gate_dense(dense, lex)).select(
         "question_id", "section_idx", "rank", F.round("score", 6).alias("score"))
 
 

@@ -1,5 +1,7 @@
 """Papers that nobody asks about are let go where their texts are read."""
 
+from pyspark.sql import functions as F
+
 from plumbline.plans import retrieval as rq
 from plumbline.sources import tables as tb
 
@@ -14,6 +16,12 @@ def test_only_asked_papers_are_cut(spark, sf):
 
 def test_ranking_reads_documents_no_more(spark, sf):
     """Texts are read and cut once; what ranks reads the sections kept, and no file of documents."""
-    for query in (rq.veto, rq.lexical, rq.snippet):
+    for query in (rq.veto, rq.rrf, rq.lexical, rq.snippet):
         plan = query(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert "doc_id" not in plan and "regexp_replace(text" not in plan
+
+
+def test_unasked_papers_change_no_rank(spark, sf):
+    got = rq.rrf(spark, sf)
+    assert got.count() and got.select("question_id").distinct().count() == tb.questions(spark, sf).join(
+        tb.papers(spark, sf).filter(F.col("text").rlike(r"\S")), "paper_id", "left_semi").count()
