@@ -32,13 +32,17 @@ def stable(score: Column) -> Column:
     return F.round(score, 9)
 
 
+def _ids_repeat(papers: DataFrame) -> bool:
+    return not papers.groupBy("paper_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+
+
 def term_counts(papers: DataFrame, text: str = "text") -> DataFrame:
     """paper_id, word, n. A paper's words are counted beside its text and not shuffled, unless ids have several rows."""
     words = tx.terms(F.col(text))
-    if papers.groupBy("paper_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        bags = papers.select("paper_id", words.alias("words"))
-    else:
+    if _ids_repeat(papers):
         bags = papers.groupBy("paper_id").agg(F.flatten(F.collect_list(words)).alias("words"))
+    else:
+        bags = papers.select("paper_id", words.alias("words"))
     return bags.select("paper_id", F.inline(tx.tally(F.col("words"))))
 
 
@@ -46,14 +50,26 @@ def idf_of(total: Column, df: Column) -> Column:
     return F.log(1 + total / (1 + df))
 
 
+def _idf(papers: DataFrame) -> DataFrame:
+    """idf of papers that are one row each, with their sections in the array ``contents``."""
+    words = F.flatten(F.transform("contents", lambda c: F.array_distinct(tx.terms(c))))
+    bags = papers.select("paper_id", F.size("contents").alias("total"), F.inline(tx.tally(words, "df")))
+    return bags.select("paper_id", "word", idf_of(F.col("total"), F.col("df")).alias("idf"))
+
+
 def idf(sections: DataFrame) -> DataFrame:
     """paper_id, word, idf over the sections of each paper."""
     # A paper's text travels once, and its words are counted in one row, no larger than the text.
-    bags = sections.select("paper_id", "content").repartition("paper_id").groupBy("paper_id").agg(
-        F.count("*").alias("total"), F.flatten(F.collect_list(F.array_distinct(tx.terms(F.col("content"))))).alias("words"))
-    return bags.select("paper_id", "total", F.inline(tx.tally(F.col("words"), "df"))).select(
-        "paper_id", "word", idf_of(F.col("total"), F.col("df")).alias("idf")
-    )
+    return _idf(sections.select("paper_id", "content").repartition("paper_id").groupBy("paper_id").agg(
+        F.collect_list("content").alias("contents")))
+
+
+def idf_in_texts(papers: DataFrame, cut: Callable[[Column], Column], text: str = "text") -> DataFrame:
+    """idf of whole papers, whose texts ``cut`` turns into sections. Nothing of a paper is shuffled, unless ids have several rows."""
+    contents = cut(F.col(text))
+    if _ids_repeat(papers):
+        return idf(papers.select("paper_id", F.explode(contents).alias("content")))
+    return _idf(papers.select("paper_id", contents.alias("contents")))
 
 
 def bm25(sections: DataFrame, questions: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ def terms(spark, d):
 
 
 def idf(spark, d):
-    return rt.idf(tb.sections(spark, d)).select("paper_id", "word", F.round("idf", 6).alias("idf"))
+    return rt.idf_in_texts(tb.papers(spark, d), tb.contents).select("paper_id", "word", F.round("idf", 6).alias("idf"))
 
 
 def _asked(spark, d):

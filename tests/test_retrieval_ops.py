@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import dense as de
 from plumbline.operators import grounding as gr
 from plumbline.operators import retrieval as rt
+from plumbline.sources import tables as tb
 
 
 def ranks(spark, rows):
@@ -187,3 +188,14 @@ def test_similar_pairs_multiply_a_strip_at_a_time(spark, monkeypatch):
     whole = {tuple(r) for r in de.similar_pairs(v, 0.5).collect()}
     monkeypatch.setattr(de, "STRIP", 3)
     assert {tuple(r) for r in de.similar_pairs(v, 0.5).collect()} == whole and whole
+
+
+def test_idf_is_counted_beside_the_text(spark):
+    key = lambda df: sorted((r["paper_id"], r["word"], round(r["idf"], 9)) for r in df.collect())
+    once = spark.createDataFrame([(1, "alpha beta alpha\n\nbeta gamma\n  "), (2, ""), (3, None), (4, "alpha\r\nalpha")], "paper_id long, text string")
+    counted = rt.idf_in_texts(once, tb.contents)
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert key(counted) == key(rt.idf(tb.sections_of(once))) == [(1, "alpha", 0.693147181), (1, "beta", 0.510825624), (1, "gamma", 0.693147181), (4, "alpha", 0.510825624)]
+    twice = once.union(spark.createDataFrame([(4, "beta\nalpha")], once.schema))
+    assert key(rt.idf_in_texts(twice, tb.contents)) == key(rt.idf(tb.sections_of(twice)))
+    assert (4, "alpha", round(float(np.log(1 + 4 / 4)), 9)) in key(rt.idf_in_texts(twice, tb.contents))
