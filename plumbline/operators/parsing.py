@@ -281,11 +281,16 @@ def body_sections(sections: DataFrame, lines: DataFrame | None = None) -> DataFr
     return both.select("paper_id", F.inline(body_of(F.coalesce("sections", none), F.coalesce("lines", rows))))
 
 
-def _parsed(papers: DataFrame, take) -> DataFrame:
-    """Each paper cut beside its text, so that no line of it is shuffled; ``take`` gives what is asked for of lines and starts."""
+def _cut(text: Column, take) -> Column:
+    """A paper cut from the end of its title; ``take`` gives what is asked for of lines and starts."""
     after = lambda rows: tx.let(title_of(rows)["from_line"], lambda first: F.filter(rows, lambda e: e["line_no"] >= first))
     cut = lambda rows: tx.let(after(rows), lambda body: tx.let(starts_of(body), lambda starts: take(body, starts)))
-    return papers.select("paper_id", tx.let(numbered_lines(F.col("text")), cut).alias("found"))
+    return tx.let(numbered_lines(text), cut)
+
+
+def _parsed(papers: DataFrame, take) -> DataFrame:
+    """Each paper cut beside its text, so that no line of it is shuffled."""
+    return papers.select("paper_id", _cut(F.col("text"), take).alias("found"))
 
 
 def paper_titles(papers: DataFrame) -> DataFrame:
@@ -304,9 +309,14 @@ def paper_sections(papers: DataFrame) -> DataFrame:
     return _parsed(papers, sections_of).select("paper_id", F.inline("found"))
 
 
+def body(text: Column) -> Column:
+    """body_sections of a whole paper, from the end of its title, in one array."""
+    return _cut(text, lambda rows, starts: body_of(sections_of(rows, starts), rows))
+
+
 def paper_body(papers: DataFrame) -> DataFrame:
     """body_sections of whole papers, each from the end of its title."""
-    return _parsed(papers, lambda body, starts: body_of(sections_of(body, starts), body)).select("paper_id", F.inline("found"))
+    return papers.select("paper_id", body(F.col("text")).alias("found")).select("paper_id", F.inline("found"))
 
 
 def author_like(c: Column) -> Column:
